@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.functions.instants import not_exact_utc, utc_micros
+from carryover.operators.drift import TAGS, acyclic, consistent_table, fused_schema, schema_changes
 from carryover.operators.nested import flatten_json, flatten_typed
 from carryover.operators.snapshots import snapshot_changes
 from carryover.session import table
@@ -44,3 +45,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Ids added, removed or changed between consecutive snapshots of ``memory``."""
     body = F.coalesce("content", "text")
     return snapshot_changes(table(spark, d, "memory"), "id", "snapshot_no", [body, F.coalesce("deleted", F.lit(False))], F.struct("received_at", "row_no"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of shape between neighbouring files of a feed."""
+    return schema_changes(table(spark, d, "raw_export"), "feed_id", "file_no", "payload")
+
+
+def p6_schema(spark: SparkSession, d: str) -> DataFrame:
+    """The fused tagged-union schema of each file family."""
+    return fused_schema(table(spark, d, "raw_export"), "file_family", "feed_id", "file_no", "payload")
+
+
+def _consistent(spark: SparkSession, d: str, family: str) -> DataFrame:
+    raw = table(spark, d, "raw_export").where(F.col("file_family") == family)
+    tags = F.aggregate(F.transform(F.split("types", ","), lambda t: F.try_element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), t)), F.lit(0), lambda a, b: a + b)
+    # both are bounded by the number of distinct key paths, not by rows
+    schema = {r[0]: r[1] for r in fused_schema(raw, "file_family", "feed_id", "file_no", "payload").select("path", tags).collect()}
+    renames = {r[0]: r[1] for r in schema_changes(raw, "feed_id", "file_no", "payload").where("change = 'renamed'").groupBy("old_path", "new_path").count().orderBy("count", "old_path", "new_path").select("old_path", "new_path").collect()}
+    return consistent_table(raw, acyclic(renames), schema, ["feed_id", "file_no", "line_no"], "payload")
+
+
+def p6_memory_table(spark: SparkSession, d: str) -> DataFrame:
+    """All ``memory`` export lines in one consistent table."""
+    return _consistent(spark, d, "memory")
+
+
+def p6_memories_table(spark: SparkSession, d: str) -> DataFrame:
+    """All ``memories`` export lines in one consistent table."""
+    return _consistent(spark, d, "memories")
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_schema, p6_memory_table, p6_memories_table)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
