@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carryover.llm.leaks import find_leaks
 from carryover.llm.pii import find_pii, redact
 from carryover.session import table
 
@@ -30,8 +31,21 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(_free_texts(spark, d), "content", table(spark, d, "person_lexicon")).select("src", "rec_key", "redacted")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold 12 words (zh and ja: 20 letters or digits) of an item in a row."""
+    items = table(spark, d, "eval_item")
+    leaks = find_leaks(table(spark, d, "documents"), items)
+    size = items.select("item_id", F.when(F.substring(F.lower("lang"), 1, 2).isin("zh", "ja"), 20).otherwise(12).alias("size"))
+    return leaks.join(F.broadcast(size), "item_id").where("run >= size").select("doc_id", "item_id").distinct()
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a passage of an item within one edit, and the run they share exactly."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_redacted)}
+    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_near)}
 
 
 def oracle_sql() -> dict[str, str]:
