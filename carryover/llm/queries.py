@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carryover.llm.leaks import find_leaks
 from carryover.llm.pii import find_pii, redact
+from carryover.llm.sentences import sentences
 from carryover.session import table
 
 
@@ -44,8 +45,18 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every sentence of every document."""
+    return sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every document, with its number and text."""
+    return sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_near)}
+    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_near, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
