@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.llm.leaks import find_leaks
+from carryover.llm.neardup import classes, id_pairs, links, texts
 from carryover.llm.pii import find_pii, redact
 from carryover.llm.sentences import sentences
 from carryover.session import table
@@ -55,8 +56,28 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
+def _near_duplicate_sources(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """(src, texts): the last snapshot of ``memory`` and all of ``canonical_record``."""
+    memory = table(spark, d, "memory").select("snapshot_no", "id", "content")
+    last = memory.agg(F.max("snapshot_no")).first()[0]
+    records = table(spark, d, "canonical_record").select(F.col("canonical_id").alias("id"), "content")
+    return [("memory", texts(memory.where(F.col("snapshot_no") == last), "content", ["id"], 40)), ("canonical_record", texts(records, "content", ["id"], 40))]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ids whose contents share at least 0.6 of their 5-character substrings."""
+    parts = [id_pairs(links(src), src, "id").select(F.lit(name).alias("src"), "id_a", "id_b") for name, src in _near_duplicate_sources(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each id with the class of alike contents it belongs to, and its number of links."""
+    parts = [classes(links(src), src, "id").select(F.lit(name).alias("src"), "id", "class_id", "n_links") for name, src in _near_duplicate_sources(spark, d)]
+    return parts[0].unionByName(parts[1])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_redacted, p7_found, p7_near, p9_found, p9_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_redacted, p7_found, p7_near, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
