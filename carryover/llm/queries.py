@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.llm.leaks import find_leaks
+from carryover.llm.mixing import Plan
 from carryover.llm.neardup import classes, id_pairs, links, texts
 from carryover.llm.pii import find_pii, redact
 from carryover.llm.sentences import sentences
@@ -46,6 +47,16 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents and how often each is taken."""
+    return Plan(table(spark, d, "documents"), table(spark, d, "mix_target")).chosen()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share each source gets, against its target."""
+    return Plan(table(spark, d, "documents"), table(spark, d, "mix_target")).report()
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The place of every sentence of every document."""
     return sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
@@ -77,7 +88,7 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_redacted, p7_found, p7_near, p9_found, p9_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_redacted, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:
