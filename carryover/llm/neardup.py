@@ -10,7 +10,7 @@ once, by a 128-bit digest, so copies cost nothing and are never paired in the se
    if that is rare; while the tokens taken so far are so frequent that more than
    ``bucket`` texts would be expected to share them, the prefix is extended, and the
    combination of its tokens is the index key. Half of the orders prefer rare tokens.
-3. Texts that share a key, are of compatible size and whose 128-bit sketches don't rule
+3. Texts that share a key, are of compatible size and whose 256-bit sketches don't rule
    the threshold out are candidates; candidates are verified on their whole sets.
 
 Why not one order and a pigeonhole bound: at 0.6 on 5-character tokens a lossless prefix
@@ -37,10 +37,17 @@ from pyspark.sql import functions as F
 from carryover.session import cut
 
 TABLE_BITS = 22
+SKETCH_BITS = 256
 MAX_COMBINATION = 8
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+_FACTORS = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0xA0761D6478BD642E) | np.uint64(1)
+
+
+_SKETCH_FACTOR = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def normalised(text: Column) -> Column:
     """Lower case, each run of characters other than letters and numbers one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -52,16 +59,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_hashes(text: str, width: int) -> np.ndarray:
-    """Distinct 64-bit hashes of all substrings of ``width`` characters, sorted."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(k + 1))
-    return np.unique(h)
+def token_hashes(batch: list[str], width: int) -> list[np.ndarray]:
+    """For each text the distinct 64-bit hashes of all its substrings of ``width`` characters, sorted."""
+    sizes = np.array([len(t) for t in batch], np.int64)
+    codes = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - width + 1)
+    h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(width):  # a multilinear hash over the whole batch at once
+        h += codes[k : k + n] * _FACTORS[k % len(_FACTORS)] + np.uint64(k)
+    h = _mix(h)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    return [np.unique(h[a : max(a, b - width + 1)]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
 def texts(df: DataFrame, text: str, ids: list[str], min_chars: int) -> DataFrame:
@@ -77,11 +85,10 @@ def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << TABLE_BITS, np.uint32), 0
         for batch in batches:
-            hashes = [token_hashes(t, width) for t in batch.column(0).to_pylist()]
+            hashes = token_hashes(batch.column(0).to_pylist(), width)
             n += len(hashes)
             if hashes:
-                slots, counts = np.unique(np.concatenate(hashes) >> shift, return_counts=True)
-                total[slots.astype(np.int64)] += counts.astype(np.uint32)
+                total += np.bincount((np.concatenate(hashes) >> shift).astype(np.int64), minlength=len(total)).astype(np.uint32)
         at = np.flatnonzero(total)
         # slots are grouped by their upper bits, so a row holds many counters
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n]).cast(pa.int64())], names=["slot", "n"])
@@ -105,8 +112,7 @@ class Indexer:
         self.shift = np.uint64(64 - TABLE_BITS)
         self.log_n = np.log(max(count, 2))
         self.log_bucket = np.log(bucket)
-        self.seeds = _mix(np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None]
-        self.weighted = (np.arange(orders) % 2 == 0)[:, None]
+        self.seeds = (_mix(np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[:, None]
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         df = self.table[(hashes >> self.shift).astype(np.int64)]
@@ -115,72 +121,66 @@ class Indexer:
         if not len(h):
             return np.zeros(0, np.uint64)
         rare = np.maximum(self.log_n - np.log(df), 0.05)  # -ln of the share of texts
-        order = _mix(h[None, :] ^ self.seeds)
-        rank = (order >> np.uint64(11)).astype(np.float64)
-        rank = np.where(self.weighted, rank / rare[None, :], rank)
-        k = min(MAX_COMBINATION, len(h))
-        first = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < len(h) else np.tile(np.arange(k), (self.orders, 1))
-        first = np.take_along_axis(first, np.argsort(np.take_along_axis(rank, first, 1), axis=1), 1)
-        # how many texts are expected to share the tokens taken so far
-        expected = self.log_n - np.cumsum(rare[first], axis=1)
-        length = np.minimum((expected > self.log_bucket).sum(axis=1) + 1, k)
-        tokens = order[np.arange(self.orders)[:, None], first]
-        key = self.seeds[:, 0].copy()
-        for j in range(k):
-            key = np.where(j < length, _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ tokens[:, j]), key)
+        # one order per row: a product with an odd factor permutes the hashes
+        rank = ((h[None, :] * self.seeds) >> np.uint64(12)).astype(np.float64)
+        rank[::2] /= rare[None, :]
+        rows = np.arange(self.orders)
+        key, left = self.seeds[:, 0].copy(), np.full(self.orders, self.log_n)
+        for _ in range(min(MAX_COMBINATION, len(h))):
+            at = rank[rows].argmin(axis=1)
+            key[rows] = _mix(key[rows] * np.uint64(0x9E3779B97F4A7C15) ^ h[at])
+            left[rows] -= rare[at]
+            rank[rows, at] = np.inf
+            # extended while too many texts are expected to share the tokens taken so far
+            rows = rows[left[rows] > self.log_bucket]
+            if not len(rows):
+                break
         return key
 
     @staticmethod
-    def sketch(hashes: np.ndarray) -> tuple[int, int]:
-        """One bit of the least hash in each of 128 ranges."""
-        h = _mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    def sketch(hashes: np.ndarray) -> np.ndarray:
+        """One bit of the least hash in each of 256 ranges, as four integers."""
+        h = hashes * _SKETCH_FACTOR
         h.sort()
-        bins, at = np.unique(h >> np.uint64(57), return_index=True)
-        bits = np.zeros(128, np.uint8)
-        bits[bins.astype(np.int64)] = (_mix(h[at]) & np.uint64(1)).astype(np.uint8)
-        a, b = np.packbits(bits).view(">i8")
-        return int(a), int(b)
+        bins = (h >> np.uint64(56)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bins, prepend=-1))
+        bits = np.zeros(SKETCH_BITS, np.uint8)
+        bits[bins[first]] = (_mix(h[first]) & np.uint64(1)).astype(np.uint8)
+        return np.packbits(bits).view(">i8").astype(np.int64)
 
 
 def index_rows(src: DataFrame, table: np.ndarray, count: int, width: int, orders: int, bucket: float) -> DataFrame:
-    """(key, d1, d2, size, s1, s2): each text under its keys."""
+    """(key, d1, d2, size, s1 to s4): each text under its keys."""
     shared = src.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexer = Indexer(shared.value, count, width, orders, bucket)
         for batch in batches:
-            keys, at, sizes, s1, s2 = [], [], [], [], []
-            for t in batch.column(0).to_pylist():
-                h = token_hashes(t, width)
-                k = np.unique(indexer.keys(h))
-                a, b = Indexer.sketch(h)
-                at.append(len(k))
-                keys.append(k)
-                sizes.append(len(h))
-                s1.append(a)
-                s2.append(b)
-            take = np.repeat(np.arange(len(at)), at)
-            grow = lambda x, t: pa.array(np.array(x, t)[take])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)), batch.column(1).take(pa.array(take)), batch.column(2).take(pa.array(take)), grow(sizes, np.int32), grow(s1, np.int64), grow(s2, np.int64)],
-                names=["key", "d1", "d2", "size", "s1", "s2"],
-            )
-
-    return src.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint")
+            hashes = token_hashes(batch.column(0).to_pylist(), width)
+            keys = [np.unique(indexer.keys(h)) for h in hashes]
+            take = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            sketches = np.array([Indexer.sketch(h) for h in hashes], np.int64).reshape(-1, 4)[take]
+            sizes = np.array([len(h) for h in hashes], np.int32)[take]
+            key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            at = pa.array(take)
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4))], names=["key", "d1", "d2", "size", "s1", "s2", "s3", "s4"])
+
+    return src.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
 
 
 def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
-    """Differing bits of 128 that a pair at ``threshold`` exceeds about once in 300,000 times."""
+    """Differing bits that a pair at ``threshold`` exceeds about once in 300,000 times."""
     differ = (1 - threshold) / 2
-    return min(128, round(128 * differ + deviations * (128 * differ * (1 - differ)) ** 0.5))
+    return min(SKETCH_BITS, round(SKETCH_BITS * differ + deviations * (SKETCH_BITS * differ * (1 - differ)) ** 0.5))
 
 
 def candidate_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a1, a2, b1, b2): pairs of digests that share a key and may reach the threshold."""
-    rows = rows.dropDuplicates(["key", "d1", "d2"])
+    # one exchange serves the removal of copies and both sides of the join
+    rows = rows.repartition("key").dropDuplicates(["key", "d1", "d2"])
     a = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in rows.columns[1:]))
     b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in rows.columns[1:]))
-    differ = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("b_s2")))
+    differ = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in (1, 2, 3, 4)), F.lit(0))
     sizes = (F.col("a_size") >= threshold * F.col("b_size") - 1e-9) & (F.col("b_size") >= threshold * F.col("a_size") - 1e-9)
     ordered = (F.col("a_d1") < F.col("b_d1")) | (F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2"))
     met = a.join(b, "key").where(ordered & sizes & (differ <= sketch_limit(threshold)))
@@ -197,9 +197,11 @@ def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = []
+            sims, last, p = [], None, set()
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                p, q = ({t[k : k + width] for k in range(len(t) - width + 1)} for t in (x, y))
+                if x != last:
+                    p, last = {x[k : k + width] for k in range(len(x) - width + 1)}, x
+                q = {y[k : k + width] for k in range(len(y) - width + 1)}
                 both = len(p & q)
                 sims.append(both / max(1, len(p) + len(q) - both))
             keep = pa.array([s >= threshold - 1e-12 for s in sims], pa.bool_())
@@ -210,7 +212,7 @@ def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) ->
     return joined.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 40, bucket: float = 6.0) -> DataFrame:
+def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 32, bucket: float = 6.0) -> DataFrame:
     """(a1, a2, b1, b2, similarity): all links between different texts of ``texts``.
 
     Starts the counting job; the rest is lazy up to the checkpoints of ``verified``.
