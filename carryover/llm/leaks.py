@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,11 +137,8 @@ class Scanner:
 
     def _verify(self, item: list, doc: list | str, hits: set[tuple[int, int]], size: int) -> tuple[int, int]:
         """(longest exact run through a hit, least distance of a passage through a hit)."""
-        run, least, seen = 0, size, set()
+        run, least = 0, size
         for at, unit in sorted(hits):
-            if (at - unit) in seen and run >= size:
-                continue
-            seen.add(at - unit)
             lo = 0
             while at - lo > 0 and unit - lo > 0 and item[at - lo - 1] == doc[unit - lo - 1]:
                 lo += 1
@@ -150,7 +147,7 @@ class Scanner:
                 hi += 1
             run = max(run, lo + hi)
             if run >= size:
-                return max(run, lo + hi), 0
+                return run, 0
         if self.edits and run < size:
             tried = set()
             for at, unit in hits:
@@ -182,17 +179,18 @@ def find_leaks(
     schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in (item_id, "run", "edits"))])
 
     def scan(block: list[tuple[int, str, str]]) -> DataFrame:
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scanner = Scanner(block, words, letters, edits)
-            for pdf in parts:
-                rows = [(d, *hit) for d, text in zip(pdf["d"], pdf["t"], strict=True) for hit in scanner.find(text)]
-                yield pd.DataFrame(rows, columns=[doc_id, item_id, "run", "edits"])
+            for batch in batches:
+                rows = [(n, *hit) for n, text in enumerate(batch.column(1).to_pylist()) for hit in scanner.find(text)]
+                at, *cols = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=schema.names)
 
-        return src.mapInPandas(run, schema)
+        return src.mapInArrow(run, schema)
 
     blocks: list[list] = [[]]
     size = 0
-    for row in chosen.toLocalIterator():  # at most one block's worth is kept beside the plans
+    for row in chosen.toLocalIterator():
         size += len(row[2].encode()) + 16
         if size > block_bytes and blocks[-1]:
             blocks.append([])

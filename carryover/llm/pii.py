@@ -1,8 +1,8 @@
 """Personal data in free text: locate, type, and replace by typed placeholders.
 
 Anchors come first: one Aho-Corasick automaton finds at-signs in all their spellings,
-street words, identifier labels and the names of a lexicon, and digit runs are anchors
-of their own. Deterministic local parsers then expand each anchor to the bounds of an
+street words and identifier labels; digit runs and capitalised words of the lexicon are
+anchors of their own. Deterministic local parsers then expand each anchor to the bounds of an
 item and validate it. Texts stay in their task; nothing is shuffled. The lexicon is
 shipped to the executors, behind a check of its size.
 
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,13 +53,17 @@ NOT_GIVEN = {
 }
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "md", "txt", "zip", "json", "html", "csv", "js", "py", "css"}
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_CJK_RANGES = "\u2e80-\u9fff\u3040-\u30ff\uac00-\ud7af\uf900-\ufaff"
+_LETTER = rf"[^\W\d_{_CJK_RANGES}]"
+_WORD = re.compile(rf"{_LETTER}+(?:['’]{_LETTER}+)*")
+_CAPITALISED = re.compile(rf"(?<!{_LETTER})(?=[^a-zß-öø-ÿ]){_LETTER}{_LETTER}+(?:['’]{_LETTER}+)*")
+_DIGIT = re.compile(r"\d")
+_WIDE = re.compile("[！-～]")
 _ADDRESS_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?|[A-Za-z0-9\-]+ (?:dot|\(dot\)|\[dot\]|\{dot\}) )+[A-Za-z]{2,24}(?![A-Za-z0-9\-])", re.I)
 _DOMAIN_PLAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _SPELLED_LOCAL = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+\-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9][A-Za-z0-9._%+\-]*)*)\s?\Z", re.I)
 
-_DIGITS = re.compile(r"(?<![\w.,/\-])(?:\+ ?\d|\(\+?\d|\d)[\d()\-./   ]{4,26}\d|\d{2}[ \-]?\d{2}", re.A)
 _NUMBER = re.compile(r"(?<![A-Za-z0-9_])[+(]?\d(?:[\d()  ]|[ \-./](?=[\d(]))*", re.A)
 
 _IDS = [
@@ -85,7 +90,6 @@ _FRENCH_AFTER = re.compile(rf" (?:de la |de l['’]|de |du |des |d['’])?{_NAME
 _LATIN_AFTER = re.compile(rf" (?:{_NAME_WORD}|de |del |della |dei |la |las |los |el )(?: ?(?:{_NAME_WORD}|de |del |la ))*?,? (?:n[.º°o]\.? ?)?{_HOUSE}(?![\w])")
 _CYRILLIC_AFTER = re.compile(rf" ?[А-ЯЁA-Z][\w\-]*(?: [А-ЯЁ]?[\w\-]+)?, ?(?:д(?:ом|\.)? ?)?{_HOUSE}(?!\w)", re.I)
 _HOUSE_AFTER = re.compile(rf"\.? ?,? ?{_HOUSE}(?![\w\-])")
-_CAPITALS = re.compile(r"[A-ZÀ-Þ]")
 
 
 def _same_length_lower(text: str) -> str:
@@ -95,7 +99,7 @@ def _same_length_lower(text: str) -> str:
 
 def _narrow(text: str) -> str:
     """Full-width forms as ASCII, one character each."""
-    if not any("！" <= c <= "～" for c in text):
+    if text.isascii() or not _WIDE.search(text):
         return text
     return "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in text)
 
@@ -152,8 +156,6 @@ class Finder:
         for words, kind in ((AT_SIGNS, "at"), (STREETS_AFTER, "street_after"), (STREETS_BEFORE, "street_before"), (STREET_ENDINGS, "street_end"), (ID_LABELS, "label")):
             for w in words:
                 kinds[w].add(kind)
-        for w in self.lexicon.part:
-            kinds[w].add("name")
         for w, k in kinds.items():
             a.add_word(w, (len(w), tuple(sorted(k))))
         a.make_automaton()
@@ -180,16 +182,15 @@ class Finder:
         for s, e in anchors["at"]:
             if span := self._email(flat, low, s, e):
                 add(*span, "email")
-        if any(c.isdigit() for c in flat):
+        if _DIGIT.search(flat):
             for s, e in self._ids(flat, [x for _, x in anchors["label"]]):
                 add(s, e, "id_number")
             for s, e in self._phones(flat, taken):
                 add(s, e, "phone")
             for s, e in self._addresses(flat, low, anchors):
                 add(s, e, "address")
-        if any(c.isupper() for c in flat):
-            for s, e in self._names(flat, low, anchors["name"]):
-                add(s, e, "name")
+        for s, e in self._names(flat, low):
+            add(s, e, "name")
         return sorted(items)
 
     @staticmethod
@@ -294,17 +295,14 @@ class Finder:
         # the longer item wins where two begin alike
         return iter(sorted(set(found), key=lambda x: (x[0], -x[1])))
 
-    def _names(self, flat: str, low: str, anchors: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def _names(self, flat: str, low: str) -> Iterator[tuple[int, int]]:
         lex = self.lexicon
-        words = [(m.start(), m.end()) for m in _WORD.finditer(flat)]
-        # Latin words may touch other scripts: cut them there
-        words = [w for a, b in words for w in _latin_runs(flat, a, b)]
-        at = {a: k for k, (a, b) in enumerate(words)}
-        hits = {at[s] for s, e in anchors if s in at and words[at[s]][1] == e and flat[s].isupper()}
-        hits |= {k for k, (a, b) in enumerate(words) if b - a > 4 and flat[a].isupper() and lex.like(low[a:b], "family")}
-        hits = sorted(hits)
-        if not hits:
+        anchor = lambda a, b: low[a:b] in lex.part or b - a > 4 and lex.like(low[a:b], "family")
+        if not any(anchor(m.start(), m.end()) for m in _CAPITALISED.finditer(flat)):
             return
+        # words of Latin and related scripts; they may touch scripts without spaces
+        words = [m.span() for m in _WORD.finditer(flat)]
+        hits = [k for k, (a, b) in enumerate(words) if flat[a].isupper() and anchor(a, b)]
 
         def group(k: int, step: int) -> int:
             """The last word of a hyphenated run from k."""
@@ -380,19 +378,6 @@ def _cjk(c: str) -> bool:
     return "⺀" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯"
 
 
-def _latin_runs(flat: str, a: int, b: int) -> list[tuple[int, int]]:
-    if not any(_cjk(c) for c in flat[a:b]):
-        return [(a, b)]
-    out, k = [], a
-    while k < b:
-        j = k
-        while j < b and _cjk(flat[j]) == _cjk(flat[k]):
-            j += 1
-        out.append((k, j))
-        k = j
-    return out
-
-
 def _is_phone(raw: str) -> bool:
     """Whether a run of digits and separators is written like a telephone number."""
     digits = re.sub(r"\D", "", raw)
@@ -429,21 +414,20 @@ def find_pii(df: DataFrame, keys: list[str], text: str, lexicon: DataFrame) -> D
     src = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(text).alias("text"))
     schema = T.StructType([*(T.StructField(k, src.schema[i].dataType) for i, k in enumerate(keys)), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(rows)
-        for pdf in parts:
+        for batch in batches:
             at, kind, start, end = [], [], [], []
-            for n, value in enumerate(pdf["text"]):
+            for n, value in enumerate(batch.column(len(keys)).to_pylist()):
                 for s, e, k in finder.find(value):
                     at.append(n)
                     kind.append(k)
                     start.append(s + 1)
                     end.append(e)
-            out = pdf.iloc[at, :-1].reset_index(drop=True)
-            out.columns = keys
-            yield out.assign(**{names[0]: kind, names[1]: start, names[2]: end})
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(keys))), pa.array(kind, pa.string()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=schema.names)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text: str, lexicon: DataFrame, into: str = "redacted") -> DataFrame:
@@ -455,7 +439,7 @@ def redact(df: DataFrame, text: str, lexicon: DataFrame, into: str = "redacted")
     def run(values: pd.Series) -> pd.Series:
         if not holder:
             holder.append(Finder(rows))
-        return values.map(lambda v: v if v is None else replace(v, holder[0].find(v)))
+        return pd.Series([None if v is None or v != v else replace(v, holder[0].find(v)) for v in values], dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -313,16 +313,17 @@ def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     src = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
     schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.StringType())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             at, no, start, end, body = [], [], [], [], []
-            for n, value in enumerate(pdf["t"]):
+            for n, value in enumerate(batch.column(1).to_pylist()):
                 for k, (s, e) in enumerate(split(value)):
                     at.append(n)
                     no.append(k)
                     start.append(s + 1)
                     end.append(e)
                     body.append(value[s:e])
-            yield pd.DataFrame({doc_id: pdf["d"].iloc[at].reset_index(drop=True), names[0]: no, names[1]: start, names[2]: end, names[3]: body})
+            ints = (pa.array(x, pa.int64()) for x in (no, start, end))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *ints, pa.array(body, pa.string())], names=schema.names)
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
