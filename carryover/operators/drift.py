@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carryover.session import cut
+
 # Tags of the JSON types.
 TAGS = {"string": 1, "number": 2, "boolean": 4, "object": 8, "array": 16}
 RECORD_KEYS = ("account_uuid", "id")
@@ -140,27 +142,28 @@ def _best_pairs(pdf):  # noqa: ANN001, ANN202
 def schema_changes(df: DataFrame, feed: str, file: str, payload: str, names: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
     """(feed_id, file_no, change, old_path, new_path) of each file against the one before it."""
     lines = _lines(df, feed, file, payload)
-    paths = file_paths(lines)
-    files = lines.select("feed_id", "file_no").distinct()
+    paths = cut(file_paths(lines))  # one row per path and file; the payloads are read twice in all
     by_feed = Window.partitionBy("feed_id").orderBy("file_no")
-    order = files.withColumn("before", F.lag("file_no").over(by_feed))
+    files = cut(lines.select("feed_id", "file_no").distinct().withColumn("following", F.lead("file_no").over(by_feed)).withColumn("before", F.lag("file_no").over(by_feed)))
+    sides = F.array(F.struct(F.col("file_no").alias("pair"), F.col("before").isNotNull().alias("used"), F.lit(True).alias("new")), F.struct(F.col("following").alias("pair"), F.col("following").isNotNull().alias("used"), F.lit(False).alias("new")))
+
+    def sided(rows: DataFrame) -> DataFrame:
+        """Each row as part of its own file and as part of what the next file is compared with."""
+        twice = rows.join(files, ["feed_id", "file_no"]).withColumn("_s", F.explode(sides)).where("_s.used")
+        return twice.select("feed_id", F.col("_s.pair").alias("pair"), F.col("_s.new").alias("new"), *(c for c in rows.columns if c not in ("feed_id", "file_no"))).withColumnRenamed("pair", "file_no")
 
-    now = paths.join(order.where("before IS NOT NULL"), ["feed_id", "file_no"]).select("feed_id", "file_no", "path", "tags", F.lit(True).alias("new"))
-    was = paths.withColumnRenamed("file_no", "before").join(order, ["feed_id", "before"]).select("feed_id", "file_no", "path", "tags", F.lit(False).alias("new"))
     tags = lambda side: F.max(F.when(F.col("new") == side, F.col("tags")))
-    diff = now.unionByName(was).groupBy("feed_id", "file_no", "path").agg(tags(False).alias("o"), tags(True).alias("w")).where(~F.col("o").eqNullSafe(F.col("w")))
+    diff = sided(paths).groupBy("feed_id", "file_no", "path").agg(tags(False).alias("o"), tags(True).alias("w")).where(~F.col("o").eqNullSafe(F.col("w")))
+    diff = cut(diff)
     moved = diff.where("o IS NULL OR w IS NULL")
 
     # records of both files: which vanished values turn up under an appeared path
-    pairs = moved.groupBy("feed_id", "file_no").agg(F.count("o").alias("gone"), F.count("w").alias("come")).where("gone > 0 AND come > 0").join(order, ["feed_id", "file_no"]).select("feed_id", "file_no", "before")
-    values = record_values(lines, names)
-    new_values = values.join(pairs, ["feed_id", "file_no"]).drop("before")
-    old_values = values.withColumnRenamed("file_no", "before").join(pairs, ["feed_id", "before"]).drop("before")
-    records = new_values.where("path = ''").select("feed_id", "file_no", "record").distinct()
-    gone = moved.where("w IS NULL").select("feed_id", "file_no", "path")
-    come = moved.where("o IS NULL").select("feed_id", "file_no", "path")
-    held = old_values.join(gone, ["feed_id", "file_no", "path"], "left_semi").join(records, ["feed_id", "file_no", "record"], "left_semi").select("feed_id", "file_no", "record", F.col("path").alias("old_path"), "digest").distinct()
-    carried = new_values.join(come, ["feed_id", "file_no", "path"], "left_semi").select("feed_id", "file_no", "record", F.col("path").alias("new_path"), "digest").distinct()
+    pairs = moved.groupBy("feed_id", "file_no").agg(F.count("o").alias("gone"), F.count("w").alias("come")).where("gone > 0 AND come > 0").select("feed_id", "file_no")
+    looked_at = moved.join(pairs, ["feed_id", "file_no"], "left_semi").select("feed_id", "file_no", "path", F.col("o").isNull().alias("new")).union(pairs.select("feed_id", "file_no", F.lit(""), F.lit(True)))
+    values = cut(sided(record_values(lines, names)).join(looked_at, ["feed_id", "file_no", "path", "new"], "left_semi").distinct())
+    records = values.where("new AND path = ''").select("feed_id", "file_no", "record")
+    held = values.where("NOT new AND path <> ''").join(records, ["feed_id", "file_no", "record"], "left_semi").select("feed_id", "file_no", "record", F.col("path").alias("old_path"), "digest")
+    carried = values.where("new AND path <> ''").select("feed_id", "file_no", "record", F.col("path").alias("new_path"), "digest")
     total = held.groupBy("feed_id", "file_no", "old_path").agg(F.count_distinct("record").alias("total"))
     matched = held.join(carried, ["feed_id", "file_no", "record", "digest"]).groupBy("feed_id", "file_no", "old_path", "new_path").agg(F.count_distinct("record").alias("matches"))
     likely = matched.join(total, ["feed_id", "file_no", "old_path"]).where("2 * matches > total").select("feed_id", "file_no", "old_path", "new_path", "matches")
