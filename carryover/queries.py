@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carryover import record_queries
 from carryover.functions.instants import not_exact_utc, utc_micros
 from carryover.operators.drift import TAGS, acyclic, consistent_table, fused_schema, schema_changes
 from carryover.operators.nested import flatten_json, flatten_typed
@@ -77,8 +78,23 @@ def p6_memories_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p5_found, p6_found, p6_schema, p6_memory_table, p6_memories_table)}
+    own = (p2_found, p3_found, p5_found, p6_found, p6_schema, p6_memory_table, p6_memories_table)
+    return {f.__name__: f for f in own} | record_queries.QUERIES
+
+
+P3_SQL = """WITH r AS (SELECT id, snapshot_no::BIGINT AS s, max(coalesce(content, text)) AS b, bool_or(coalesce(deleted, false)) AS x FROM memory WHERE id IS NOT NULL GROUP BY 1, 2)
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.s, o.s + 1) AS snapshot_no, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM r WHERE s > (SELECT min(s) FROM r)) n FULL JOIN (SELECT * FROM r WHERE s < (SELECT max(s) FROM r)) o ON n.id = o.id AND n.s = o.s + 1
+WHERE o.id IS NULL OR n.id IS NULL OR n.b IS DISTINCT FROM o.b OR n.x <> o.x"""
+
+P2_SQL = """WITH RECURSIVE e AS (SELECT row_no, '' AS p, extra::JSON AS v FROM memory WHERE extra IS NOT NULL AND json_valid(extra)
+UNION ALL SELECT row_no, p || '/' || replace(replace(k, '~', '~0'), '/', '~1'), v FROM (SELECT row_no, p, unnest(CASE json_type(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) ELSE json_keys(v) END) AS k,
+unnest(CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$.*') END) AS v FROM e WHERE json_type(v) IN ('ARRAY', 'OBJECT'))),
+a AS (SELECT row_no, p, unnest(range(json_array_length(v)::BIGINT)) AS i FROM e WHERE json_type(v) = 'ARRAY')
+SELECT 'extra' AS child_table, row_no AS parent_key, i AS child_pos, p || '/' || i AS child_key FROM a
+UNION ALL SELECT 'memory_files', export_no, i, coalesce(memory_files[i + 1].path, '') FROM (SELECT export_no, memory_files, unnest(range(len(memory_files))) AS i FROM memories)
+UNION ALL SELECT 'docs', project_no, i, coalesce(docs[i + 1].uuid, '') FROM (SELECT project_no, docs, unnest(range(len(docs))) AS i FROM projects)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL} | record_queries.SQL
