@@ -12,7 +12,8 @@ at most ``block_bytes`` bytes, each block scanning all documents. Documents neve
 
 Defined results: null and empty documents or items match nothing; items shorter than a
 passage can't be held; repeated items and documents are reported each under their own
-id; texts are compared after dropping format characters, NFKC and case folding.
+id; texts are compared after dropping format characters, NFKC and case folding; an
+output that clashes with the document's id column gets the prefix ``item_``.
 """
 
 from __future__ import annotations
@@ -176,7 +177,12 @@ def find_leaks(
     """
     chosen = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_lang).cast("string"), F.col(item_text))
     src = documents.where(F.col(doc_text).isNotNull() & (F.length(doc_text) > 0)).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))
-    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in (item_id, "run", "edits"))])
+    taken = {doc_id}
+    names = []
+    for n in (item_id, "run", "edits"):
+        names.append(f"item_{n}" if n in taken else n)
+        taken.add(names[-1])
+    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in names)])
 
     def scan(block: list[tuple[int, str, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

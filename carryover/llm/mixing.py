@@ -45,9 +45,9 @@ def load_tokenizer(path: str):  # noqa: ANN201
 
 
 def sized(df: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, n_tokens), the source trimmed and in lower case."""
+    """(d, source, n_tokens): the id as ``d``, the source trimmed and in lower case."""
     src = df.select(F.col(doc_id).alias("d"), F.lower(F.trim(F.regexp_replace(F.col(source), r"\s+", " "))).alias("s"), F.col(text).alias("t"))
-    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), T.StructField("source", T.StringType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("d", src.schema["d"].dataType), T.StructField("source", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_tokenizer(tokenizer).encode_ordinary
@@ -62,7 +62,9 @@ class Plan:
     """Targets, rates and what they came from; small, on the driver."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", tokenizer: str = TOKENIZER, total_tokens: float | None = None, seed: int = 17) -> None:
-        self.doc_id, self.seed = doc_id, seed
+        #: the id's name in results, prefixed where it clashes
+        self.doc_id = f"doc_{doc_id}" if doc_id in ("source", "n_tokens", "rate", "copies") else doc_id
+        self.seed = seed
         wanted = targets.where("source IS NOT NULL AND target_share IS NOT NULL").select(F.lower(F.trim("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("cap"))
         rows = wanted.orderBy(F.desc("target_share"), "source").limit(MAX_SOURCES + 1).collect()
         if len(rows) > MAX_SOURCES:
@@ -131,12 +133,12 @@ class Plan:
     def chosen(self) -> DataFrame:
         """(doc_id, source, n_tokens, rate, copies) of each chosen document."""
         if not self.goal:
-            return self.docs.limit(0).select(self.doc_id, "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies"))
+            return self.docs.where("false").select(F.col("d").alias(self.doc_id), "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies"))
         rate, *_ = self._rate(self.tilt)
-        unit = (F.xxhash64(F.lit(self.seed), self.doc_id, "n_tokens").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
+        unit = (F.xxhash64(F.lit(self.seed), "d", "n_tokens").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
         docs = self.docs.where(F.col("source").isin(list(self.goal))).withColumn("rate", rate)
         whole = F.floor("rate")
-        return docs.withColumn("copies", (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("bigint")).where("copies > 0").select(self.doc_id, "source", "n_tokens", "rate", "copies")
+        return docs.withColumn("copies", (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("bigint")).where("copies > 0").select(F.col("d").alias(self.doc_id), "source", "n_tokens", "rate", "copies")
 
     def report(self) -> DataFrame:
         """(source, target_share, feasible_share, actual_share, max_repeats, most_copies, documents, copies, tokens) of each listed source."""

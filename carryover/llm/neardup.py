@@ -72,9 +72,9 @@ def token_hashes(batch: list[str], width: int) -> list[np.ndarray]:
     return [np.unique(h[a : max(a, b - width + 1)]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
 
 
-def texts(df: DataFrame, text: str, ids: list[str], min_chars: int) -> DataFrame:
-    """``ids``, t (normalised text) and its digest (d1, d2)."""
-    made = df.where(F.col(text).isNotNull()).select(*ids, normalised(F.col(text)).alias("t")).where(F.length("t") >= min_chars)
+def texts(df: DataFrame, text: str, ident: str, min_chars: int) -> DataFrame:
+    """(i, t, d1, d2): the id, the normalised text and its digest."""
+    made = df.where(F.col(text).isNotNull()).select(F.col(ident).alias("i"), normalised(F.col(text)).alias("t")).where(F.length("t") >= min_chars)
     return made.withColumns({"d1": F.xxhash64("t"), "d2": F.xxhash64(F.lit("second"), F.col("t"))})
 
 
@@ -121,11 +121,15 @@ class Indexer:
         if not len(h):
             return np.zeros(0, np.uint64)
         rare = np.maximum(self.log_n - np.log(df), 0.05)  # -ln of the share of texts
+        block = max(2, 4_000_000 // len(h)) // 2 * 2  # long texts take fewer orders at a time
+        return np.concatenate([self._keys(h, rare, self.seeds[k : k + block]) for k in range(0, self.orders, block)])
+
+    def _keys(self, h: np.ndarray, rare: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         # one order per row: a product with an odd factor permutes the hashes
-        rank = ((h[None, :] * self.seeds) >> np.uint64(12)).astype(np.float64)
+        rank = ((h[None, :] * seeds) >> np.uint64(12)).astype(np.float64)
         rank[::2] /= rare[None, :]
-        rows = np.arange(self.orders)
-        key, left = self.seeds[:, 0].copy(), np.full(self.orders, self.log_n)
+        rows = np.arange(len(seeds))
+        key, left = seeds[:, 0].copy(), np.full(len(seeds), self.log_n)
         for _ in range(min(MAX_COMBINATION, len(h))):
             at = rank[rows].argmin(axis=1)
             key[rows] = _mix(key[rows] * np.uint64(0x9E3779B97F4A7C15) ^ h[at])
@@ -221,12 +225,12 @@ def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int =
     return verified(candidate_pairs(index_rows(src, table, count, width, orders, bucket), threshold), src, width, threshold)
 
 
-def id_pairs(found: DataFrame, src: DataFrame, ident: str) -> DataFrame:
+def id_pairs(found: DataFrame, src: DataFrame) -> DataFrame:
     """(id_a, id_b) with id_a < id_b: all pairs of ids whose texts are linked or the same.
 
     This spells copies out, as some results ask for; ``classes`` doesn't.
     """
-    members = src.where(F.col(ident).isNotNull()).select(F.col(ident).alias("i"), "d1", "d2").distinct()
+    members = src.where("i IS NOT NULL").select("i", "d1", "d2").distinct()
     shared = members.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
     copies = members.join(shared, ["d1", "d2"], "left_semi")
     same = copies.select("d1", "d2", F.col("i").alias("x")).join(copies.select("d1", "d2", F.col("i").alias("y")), ["d1", "d2"]).where("x < y").select("x", "y")
@@ -236,8 +240,8 @@ def id_pairs(found: DataFrame, src: DataFrame, ident: str) -> DataFrame:
     return same.union(linked).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def classes(found: DataFrame, src: DataFrame, ident: str) -> DataFrame:
-    """(id, class_id, n_links): one row per id, its class and its links to other texts.
+def classes(found: DataFrame, src: DataFrame) -> DataFrame:
+    """(i, class_id, n_links): one row per id, its class and its links to other texts.
 
     Classes are the connected components of the links; labels fall to the least digest
     of the class by propagation with pointer jumping, checkpointed in each round.
@@ -256,11 +260,11 @@ def classes(found: DataFrame, src: DataFrame, ident: str) -> DataFrame:
         label = step.select("u", F.col("new").alias("label"))
         if not changed:
             break
-    members = src.select(F.col(ident), F.struct("d1", "d2").alias("u")).distinct()
+    members = src.select("i", F.struct("d1", "d2").alias("u")).distinct()
     known = label.join(degree, "u")
     name = F.lower(F.concat(F.lpad(F.hex("c.d1"), 16, "0"), F.lpad(F.hex("c.d2"), 16, "0")))
     return (
         members.join(known, "u", "left")
-        .select(ident, F.coalesce("label", "u").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-        .select(ident, name.alias("class_id"), "n_links")
+        .select("i", F.coalesce("label", "u").alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("i", name.alias("class_id"), "n_links")
     )

@@ -15,6 +15,7 @@ that clashes with a key gets the prefix ``pii_``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -183,7 +184,7 @@ class Finder:
             if span := self._email(flat, low, s, e):
                 add(*span, "email")
         if _DIGIT.search(flat):
-            for s, e in self._ids(flat, [x for _, x in anchors["label"]]):
+            for s, e in self._ids(flat, sorted(x for _, x in anchors["label"])):
                 add(s, e, "id_number")
             for s, e in self._phones(flat, taken):
                 add(s, e, "phone")
@@ -230,7 +231,8 @@ class Finder:
     def _ids(flat: str, labels: list[int]) -> Iterator[tuple[int, int]]:
         for pattern, needs_label in _IDS:
             for m in pattern.finditer(flat):
-                labelled = any(0 <= m.start() - x <= 14 for x in labels)
+                near = bisect_right(labels, m.start())
+                labelled = near > 0 and m.start() - labels[near - 1] <= 14
                 if labelled or not needs_label:
                     yield m.start(), m.end()
 
@@ -306,7 +308,9 @@ class Finder:
 
         def group(k: int, step: int) -> int:
             """The last word of a hyphenated run from k."""
-            while 0 <= k + step < len(words):
+            for _ in range(4):  # longer chains aren't names
+                if not 0 <= k + step < len(words):
+                    break
                 a, b = (words[k], words[k + 1]) if step > 0 else (words[k - 1], words[k])
                 if flat[a[1] : b[0]] in ("-", "‐", "‑") and flat[b[0]].isupper():
                     k += step

@@ -72,18 +72,18 @@ def _near_duplicate_sources(spark: SparkSession, d: str) -> list[tuple[str, Data
     memory = table(spark, d, "memory").select("snapshot_no", "id", "content")
     last = memory.agg(F.max("snapshot_no")).first()[0]
     records = table(spark, d, "canonical_record").select(F.col("canonical_id").alias("id"), "content")
-    return [("memory", texts(memory.where(F.col("snapshot_no") == last), "content", ["id"], 40)), ("canonical_record", texts(records, "content", ["id"], 40))]
+    return [("memory", texts(memory.where(F.col("snapshot_no") == last), "content", "id", 40)), ("canonical_record", texts(records, "content", "id", 40))]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ids whose contents share at least 0.6 of their 5-character substrings."""
-    parts = [id_pairs(links(src), src, "id").select(F.lit(name).alias("src"), "id_a", "id_b") for name, src in _near_duplicate_sources(spark, d)]
+    parts = [id_pairs(links(src), src).select(F.lit(name).alias("src"), "id_a", "id_b") for name, src in _near_duplicate_sources(spark, d)]
     return parts[0].unionByName(parts[1])
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each id with the class of alike contents it belongs to, and its number of links."""
-    parts = [classes(links(src), src, "id").select(F.lit(name).alias("src"), "id", "class_id", "n_links") for name, src in _near_duplicate_sources(spark, d)]
+    parts = [classes(links(src), src).select(F.lit(name).alias("src"), F.col("i").alias("id"), "class_id", "n_links") for name, src in _near_duplicate_sources(spark, d)]
     return parts[0].unionByName(parts[1])
 
 

@@ -73,7 +73,7 @@ def token_pattern() -> regex.Pattern:
         rf"(?P<newline>{_BREAK}[^\S\r\n]*)",
         rf"(?P<thai_space>(?<={_THAI})[^\S\r\n]+(?={_THAI}))",
         r"(?P<space>[^\S\r\n]+)",
-        r"(?P<lower>https?://[^\s<>\"”»）)]*[^\s<>\"”»）).,;:!?。]|`[^`\n]+`|[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+)",
+        r"(?P<lower>https?://[^\s<>\"”»）)]*[^\s<>\"”»）).,;:!?。]|`[^`\n]+`|[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+)",
         rf"(?P<may_end>{edge}(?:{dotted(MAY_END)})(?![\p{{Ll}}\p{{N}}]))",
         rf"(?P<abbreviation>{edge}(?:[LlDd]['’])?(?:{dotted(ABBREVIATIONS)})(?!\p{{Ll}})|{edge}(?:\p{{Lu}}\.)+(?=\s*[\p{{L}}\p{{N}}(,;])|{edge}(?:\p{{L}}\.){{2,}}|{edge}\p{{N}}{{1,2}}\.(?=\s(?:{'|'.join(MONTHS)})))",
         r"(?P<digit>\p{N}(?:[\p{N}.,:/\-]*\p{N})?(?:[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|\.(?=\p{N}))*)?)",
