@@ -61,7 +61,7 @@ def findings(text: Column, field_path: str, action: str = "pass", allowlist: fro
 
 
 def mask_text(text: str | None) -> str | None:
-    """``text`` with every secret replaced; overlapping and touching spans become one placeholder."""
+    """``text`` with every secret replaced; overlapping spans become one placeholder."""
     if text is None:
         return None
     spans = sorted(m.span(1) for p in _compiled() for m in p.finditer(text))

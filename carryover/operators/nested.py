@@ -13,7 +13,8 @@ reads only the leaves that are asked for.
 Defined results: a null, empty or invalid document has no rows (``flatten_json`` keeps
 an ``invalid`` root row when asked), an empty array has no children, a null element is a
 child with no cells, repeated elements and repeated records are all kept, and a leaf
-that clashes with a key column is prefixed with ``value_``.
+that clashes with a key column is prefixed with ``value_``, an output of
+``flatten_json`` that clashes with the key with ``child_``.
 """
 
 from __future__ import annotations
@@ -57,10 +58,8 @@ def flatten_json(df: DataFrame, key: str, column: str, roots: bool = False) -> D
     ``invalid`` where it isn't JSON.
     """
     src = df.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("v"))
-    key_type = src.schema["k"].dataType
-    schema = T.StructType(
-        [T.StructField(key, key_type), *(T.StructField(n, T.StringType()) for n in ("table_path", "row_pointer", "parent_pointer")), T.StructField("pos", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("cells", CELLS)]
-    )
+    fields = {"table_path": T.StringType(), "row_pointer": T.StringType(), "parent_pointer": T.StringType(), "pos": T.LongType(), "kind": T.StringType(), "cells": CELLS}
+    schema = T.StructType([T.StructField(key, src.schema["k"].dataType), *(T.StructField(f"child_{n}" if n == key else n, t) for n, t in fields.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,8 +111,11 @@ def repeated_ancestors(schema: T.StructType) -> dict[str, list[str]]:
 def flatten_typed(df: DataFrame, key: str, array: str, leaves: dict[str, str], extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per element of ``array``: key, 0-based pos, and ``leaves`` (name -> path in the element).
 
-    A null element is a row whose leaves are null; a null or empty array has none.
+    A null element is a row whose leaves are null; a null or empty array has none. Leaves
+    that clash are prefixed with ``value_``, the position with ``child_``.
     """
-    kept = {k: v for k, v in (extra or {}).items() if k not in {key, "pos"}}
-    child = df.select(F.col(key), *(v.alias(k) for k, v in kept.items()), F.posexplode(F.col(array)).alias("pos", "_element"))
-    return child.select(key, *kept, F.col("pos").cast("bigint").alias("pos"), *(F.col(f"_element.{p}" if p else "_element").alias(f"value_{n}" if n in {key, "pos", *kept} else n) for n, p in leaves.items()))
+    place = "child_pos" if key == "pos" else "pos"
+    kept = {k: v for k, v in (extra or {}).items() if k not in {key, place}}
+    taken = {key, place, *kept}
+    child = df.select(F.col(key).alias("_key"), F.struct(F.lit(0), *(v.alias(k) for k, v in kept.items())).alias("_kept"), F.posexplode(F.col(array)).alias("_pos", "_element"))
+    return child.select(F.col("_key").alias(key), *(F.col("_kept")[k].alias(k) for k in kept), F.col("_pos").cast("bigint").alias(place), *(F.col(f"_element.{p}" if p else "_element").alias(f"value_{n}" if n in taken else n) for n, p in leaves.items()))
