@@ -180,8 +180,10 @@ def find_leaks(
     taken = {doc_id}
     names = []
     for n in (item_id, "run", "edits"):
-        names.append(f"item_{n}" if n in taken else n)
-        taken.add(names[-1])
+        while n in taken:
+            n = f"item_{n}"  # noqa: PLW2901
+        names.append(n)
+        taken.add(n)
     schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in names)])
 
     def scan(block: list[tuple[int, str, str]]) -> DataFrame:

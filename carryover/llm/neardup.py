@@ -216,7 +216,7 @@ def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) ->
     return joined.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 32, bucket: float = 6.0) -> DataFrame:
+def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 48, bucket: float = 20.0) -> DataFrame:
     """(a1, a2, b1, b2, similarity): all links between different texts of ``texts``.
 
     Starts the counting job; the rest is lazy up to the checkpoints of ``verified``.

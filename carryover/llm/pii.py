@@ -52,6 +52,7 @@ NOT_GIVEN = {
     "ask", "call", "ring", "signed", "contact", "emergency", "bitte", "llama", "remember", "dossier", "old", "new", "see", "section", "will", "cc", "bcc", "reply", "fwd", "from",
     "die", "der", "das", "ein", "eine", "el", "la", "los", "las", "le", "les", "un", "une", "chaque", "cada", "via", "calle", "plaza", "avenida", "rue", "place", "boulevard", "avenue", "port", "sankt",
 }
+NOT_A_HOST = {"the", "a", "an", "this", "that", "my", "our", "your", "its", "each", "every", "some", "one"}
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "md", "txt", "zip", "json", "html", "csv", "js", "py", "css"}
 
 _CJK_RANGES = "\u2e80-\u9fff\u3040-\u30ff\uac00-\ud7af\uf900-\ufaff"
@@ -219,7 +220,7 @@ class Finder:
             while after < len(flat) and flat[after] == " ":
                 after += 1
             d = _DOMAIN.match(flat, after)
-            if sign == " at " and not (d and " dot " in low[d.start() : d.end()]):
+            if sign == " at " and not (d and " dot " in low[d.start() : d.end()] and low[d.start() : d.end()].split()[0] not in NOT_A_HOST):
                 return None
         if not d or not any(c.isalpha() for c in d[0].split(".")[0]):
             return None
