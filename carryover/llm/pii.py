@@ -66,7 +66,9 @@ _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\s?(?:\.|\(do
 _DOMAIN_PLAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _SPELLED_LOCAL = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+\-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9][A-Za-z0-9._%+\-]*)*)\s?\Z", re.I)
 
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_])[+(]?\d(?:[\d()  ]|[ \-./](?=[\d(]))*", re.A)
+_NUMBER = re.compile(r"(?<![A-Za-z0-9_])[+(]?\d(?:[\d()  ]|[ \-./](?=[\d(])){0,47}", re.A)
+
+_AROUND = " ()-./\xa0\u202f"
 
 _IDS = [
     # pattern, needs a label before it
@@ -239,23 +241,21 @@ class Finder:
 
     @staticmethod
     def _phones(flat: str, taken: bytearray) -> Iterator[tuple[int, int]]:
-        for m in _NUMBER.finditer(flat):
-            s, raw = m.start(), m[0].rstrip(" ()-./  ")
+        at = 0
+        while m := _NUMBER.search(flat, at):
+            at, s, raw = m.end(), m.start(), m[0].rstrip(_AROUND)
             if taken[s] or (s and flat[s - 1] in "#№.,/-:@=&%" and raw[:1] not in "+("):
                 continue
             if raw.startswith("(") and raw.count("(") > raw.count(")"):
                 raw, s = raw[1:], s + 1
-            while raw and any(taken[s : s + len(raw)]):  # an item follows
-                raw = raw[:-1].rstrip(" ()-./  ")
-            if _is_phone(raw):
+            used = taken.find(1, s, s + len(raw))
+            if used >= 0:  # an item follows
+                raw = raw[: used - s].rstrip(_AROUND)
+            while raw and not _is_phone(raw):  # a postcode or another number may follow
+                raw = raw.rpartition(" ")[0].rstrip(_AROUND)
+            if raw:
                 yield s, s + len(raw)
-            else:
-                cut = raw
-                while " " in cut:  # a postcode or another number may follow
-                    cut = cut.rpartition(" ")[0].rstrip(" ()-./")
-                    if _is_phone(cut):
-                        yield s, s + len(cut)
-                        break
+                at = s + len(raw)
 
     @staticmethod
     def _addresses(flat: str, low: str, anchors: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
