@@ -6,6 +6,7 @@ expression per rule; masking, which must merge overlapping spans, is an Arrow UD
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -99,3 +100,64 @@ def may_hold_secret(text: Column) -> Column:
 
 def masked(text: Column) -> Column:
     return F.when(may_hold_secret(text), mask(text)).otherwise(text)
+
+
+def _walk(value: object, at: str):  # noqa: ANN202
+    """(pointer, string, whether it is a key) of all strings of a JSON value, in document order."""
+    todo = [(at, value)]
+    while todo:
+        here, v = todo.pop()
+        if isinstance(v, str):
+            yield here, v, False
+        elif isinstance(v, list):
+            todo += [(f"{here}/{k}", x) for k, x in reversed(list(enumerate(v)))]
+        elif isinstance(v, dict):
+            for k in v:
+                yield here, k, True
+            todo += [(f"{here}/{str(k).replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(list(v.items()))]
+
+
+def find_in_json(value: object, at: str = "") -> list[tuple[str, str, int, int, bool]]:
+    """(rule, pointer, first byte, byte behind the last, in a key) over all values and keys.
+
+    A hit in a key has the pointer of the object. The value of a key ``password`` counts
+    as assigned to it, so a bare value is found too.
+    """
+    out = []
+    for pointer, text, is_key in _walk(value, at):
+        found = [(r, s, e) for r, s, e in find_secrets(text)]
+        if not is_key and pointer.rpartition("/")[2].lower() == "password":
+            found += [(r, s - 9, e - 9) for r, s, e in find_secrets(f"password={text}") if r == "password-assignment" and s == 9]
+        out += [(r, pointer, s, e, is_key) for r, s, e in found]
+    return out
+
+
+def mask_json(value: object) -> object:
+    """The value with all its strings masked; keys stay as they are."""
+    if isinstance(value, str):
+        return mask_text(value)
+    if isinstance(value, list):
+        return [mask_json(v) for v in value]
+    if isinstance(value, dict):
+        return {k: (MASK if isinstance(v, str) and k.lower() == "password" and len(v) >= 8 and not any(c.isspace() for c in v) else mask_json(v)) for k, v in value.items()}
+    return value
+
+
+def json_findings(column: Column, action: str = "pass", allowlist: frozenset[str] = frozenset()) -> Column:
+    """Findings of a JSON text over values and keys; text that isn't JSON is scanned as it is."""
+    check_policy(action, set(allowlist))
+
+    @F.pandas_udf(FINDING)
+    def scan(values: pd.Series) -> pd.Series:
+        def one(text: object) -> list[dict]:
+            if not isinstance(text, str):
+                return []
+            try:
+                hits = find_in_json(json.loads(text))
+            except (ValueError, RecursionError):
+                hits = [(r, "", s, e, False) for r, s, e in find_secrets(text)]
+            return [{"rule_id": r, "field_path": p, "start": s, "end": e, "disposition": "allowlisted" if r in allowlist else "blocked" if action == "block" else "passed"} for r, p, s, e, _ in hits]
+
+        return values.map(one)
+
+    return F.when(column.isNotNull(), scan(column)).otherwise(F.array().cast(FINDING))

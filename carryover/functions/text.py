@@ -82,3 +82,19 @@ def front_matter(text: Column) -> Column:
 def index_links(text: Column) -> Column:
     """How many lines are list items that begin with a Markdown link."""
     return F.size(F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"^\s*-\s+\[[^\]]+\]\([^)]+\)"))).cast("bigint")
+
+
+def rfc3339_text(value: Column) -> Column:
+    """Exact time text: RFC 3339 in capitals, Unix seconds (also with a fraction) as UTC, else null.
+
+    Works on decimals and text, so nanoseconds and offsets are kept; calendar dates are
+    never made into times.
+    """
+    clean = F.upper(F.trim(value))
+    shaped = clean.rlike(r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})\z") & calendar_date(F.substring(clean, 1, 10))
+    clock = (F.substring(clean, 12, 2).try_cast("int") < 24) & (F.substring(clean, 15, 2).try_cast("int") < 60) & (F.substring(clean, 18, 2).try_cast("int") < 60)
+    number = clean.rlike(r"\A\d{1,11}(\.\d{1,9})?\z")
+    seconds = F.when(number, F.split(clean, r"\.")[0]).try_cast("bigint")
+    fraction = F.regexp_replace(F.regexp_extract(clean, r"\.(\d+)\z", 1), "0+$", "")
+    whole = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_seconds(seconds).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(shaped & clock, clean).when(number, F.concat(whole, F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z")))

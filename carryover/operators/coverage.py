@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +58,41 @@ def unreported(leaves: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
     chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     known = leaves.where("leaf IS NOT NULL").withColumn("path", F.explode(chain)).join(mapped.select(key, "path").distinct(), [key, "path"], "left_semi").select(key, "leaf").distinct()
     return leaves.where("leaf IS NOT NULL").join(known, [key, "leaf"], "left_anti")
+
+
+def without_mapped(text: str | None, mapped: list[str] | None) -> str | None:
+    """The JSON object less the pointers that were mapped; null where nothing is left or it isn't an object."""
+    if text is None:
+        return None
+    try:
+        value = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    if not isinstance(value, dict):
+        return None
+    for path in sorted(set(mapped or []), key=len):
+        keys = [k.replace("~1", "/").replace("~0", "~") for k in path.split("/")[1:]]
+        holders: list[tuple[dict, str]] = []
+        node: object = value
+        for k in keys:
+            if not isinstance(node, dict) or k not in node:
+                break
+            holders.append((node, k))
+            node = node[k]
+        else:
+            while holders:  # drop the leaf, and objects that it leaves empty
+                holder, k = holders.pop()
+                del holder[k]
+                if holder or not holders:
+                    break
+    return json.dumps(value, ensure_ascii=False, sort_keys=True) if value else None
+
+
+def preserved(df: DataFrame, column: str, mapped: str, into: str = "source_extra") -> DataFrame:
+    """``df`` with what no reader mapped: ``column`` (JSON object) less the pointers in the array ``mapped``."""
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([without_mapped(t if isinstance(t, str) else None, None if p is None else list(p)) for t, p in zip(texts, paths, strict=True)], dtype=object)
+
+    return df.withColumn(into, rest(F.col(column), F.col(mapped)))

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 import base64
+import hashlib
+import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carryover.functions.canonical_json import canonical, strict_load
 from carryover.functions.identity import SATELLITE_PREFIX
+from carryover.functions.secrets import check_policy
+from carryover.sinks.files import read_or_none, replace_file, safe_join
+
+log = logging.getLogger(__name__)
 
 REGISTRY = T.StructType([T.StructField("satellite_id", T.StringType(), False), T.StructField("path", T.StringType()), T.StructField("label", T.StringType())])
 
@@ -52,3 +60,80 @@ def register(registry: DataFrame, satellite_id: str, path: str, label: str | Non
 
 def empty_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], REGISTRY)
+
+
+CONTROL = ".control"
+
+
+def init_home(root: str, action: str = "pass") -> list[str]:
+    """Creates what a home lacks and says what it created; what is there stays."""
+    check_policy(action, set())
+    made = []
+    for name, data in (("index.md", "# Index\n"), ("log.md", "# Log\n"), (f"{CONTROL}/config.json", canonical({"gate": action, "satellites": []}) + "\n")):
+        at = safe_join(root, name)
+        if read_or_none(at) is None:
+            replace_file(at, data.encode(), None)
+            made.append(name)
+    return made
+
+
+def read_config(root: str) -> dict:
+    """The home's settings: gate action, allowlist and satellites; raises ValueError where they don't hold."""
+    data = read_or_none(safe_join(root, f"{CONTROL}/config.json"))
+    config = strict_load((data or b'{"gate":"pass"}').decode())
+    if not isinstance(config, dict):
+        raise ValueError("the settings aren't an object")
+    check_policy(config.get("gate", "pass"), set(config.get("allowlist", [])))
+    sats = config.get("satellites", [])
+    if len({s["satellite_id"] for s in sats}) != len(sats) or len({s["path"] for s in sats if s.get("path")}) != len([s for s in sats if s.get("path")]):
+        raise ValueError("satellites aren't unique")
+    return config
+
+
+def write_config(root: str, config: dict) -> None:
+    at = safe_join(root, f"{CONTROL}/config.json")
+    replace_file(at, (canonical(config) + "\n").encode(), read_or_none(at))
+
+
+def file_receipt(entries: DataFrame, root: str, satellite_id: str, run_id: str) -> str:
+    """Files the entries of a run; a run is filed once."""
+    path = f"{root}/{CONTROL}/receipts/satellite_id={satellite_id}/run={run_id}"
+    entries.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def read_receipts(spark: SparkSession, root: str, satellite_id: str | None = None) -> DataFrame:
+    """All filed entries, or those of one satellite (read from its folder only)."""
+    df = spark.read.option("basePath", f"{root}/{CONTROL}/receipts").parquet(f"{root}/{CONTROL}/receipts")
+    return df.where(F.col("satellite_id") == satellite_id) if satellite_id else df
+
+
+def discovered(candidates: DataFrame, registry: DataFrame) -> DataFrame:
+    """(path, records, satellite_id, registered): folders that were found, with what is known of them."""
+    known = registry.select("path", "satellite_id")
+    return candidates.join(F.broadcast(known), "path", "left").withColumn("registered", F.col("satellite_id").isNotNull())
+
+
+# Exit codes from mild to grave.
+SEVERITY = [0, 3, 4, 1]
+
+
+def worst_exit(codes: list[int]) -> int:
+    return max(codes, key=lambda c: SEVERITY.index(c) if c in SEVERITY else len(SEVERITY), default=0)
+
+
+def sync(satellites: list[tuple[str, str | None]], run_one: Callable[[str, str], int]) -> int:
+    """Plans and applies one satellite after the other and goes on after a failure.
+
+    Never in parallel: each run moves the state that the next is compared with.
+    """
+    codes = []
+    for satellite_id, path in satellites:
+        if path is None:
+            continue
+        try:
+            codes.append(run_one(satellite_id, path))
+        except Exception:
+            log.exception("%s failed", satellite_id)
+            codes.append(1)
+    return worst_exit(codes)

@@ -88,3 +88,18 @@ def prepend_log(old: str | None, day: str, added: int, updated: int) -> str:
     else:
         rest = [f"## {day}", event, *rest]
     return "\n".join([head, *rest]) + "\n"
+
+
+def divergence(read: DataFrame, records: DataFrame) -> DataFrame:
+    """(canonical_id, changed): what owners edited in their copies since they were written.
+
+    ``changed`` lists ``/content`` and front matter fields; an id that isn't in
+    ``records`` is ``unmanaged``, a note without an id isn't listed.
+    """
+    kept = [f for f in FRONT_FIELDS if f != "canonical_id" and f in records.columns]
+    line = lambda f: F.regexp_extract("front", rf'(?m)^{f}: (".*")$', 1)
+    text = lambda f: F.from_json(F.concat(F.lit('{"v":'), F.when(line(f) != "", line(f)).otherwise("null"), F.lit("}")), "v string")["v"]
+    ours = records.select("canonical_id", F.struct("content", *kept).alias("r"))
+    both = read.where("canonical_id IS NOT NULL").join(ours, "canonical_id", "left")
+    changed = F.array_compact(F.array(F.when(~F.col("body").eqNullSafe(F.col("r.content")), F.lit("/content")), *(F.when(~text(f).eqNullSafe(F.col(f"r.{f}").cast("string")), F.lit(f"/{f}")) for f in kept)))
+    return both.select("canonical_id", F.when(F.col("r").isNull(), F.array(F.lit("unmanaged"))).otherwise(changed).alias("changed")).where(F.size("changed") > 0)

@@ -101,3 +101,47 @@ def source_shape(names: DataFrame, path: str) -> DataFrame:
 def claims_twice(claims: DataFrame, path: str, reader: str) -> DataFrame:
     """Paths that more than one reader claims; a run must refuse them."""
     return claims.groupBy(path).agg(F.count_distinct(reader).alias("n")).where("n > 1")
+
+
+MEMORY_ITEM = "struct<id:string,content:string,text:string,kind:string,type:string,enabled:boolean,deleted:boolean,created_at:string,updated_at:string>"
+ACCOUNT = "struct<account_uuid:string,memory_files:array<struct<path:string,content:string,type:string,updated_at:string>>,conversations_memory:string,project_memories:map<string,string>>"
+PROJECT = "struct<uuid:string,name:string,docs:array<struct<uuid:string,filename:string,content:string>>,prompt_template:string>"
+
+
+def _documents(files: DataFrame, item: str, envelope: str | None) -> DataFrame:
+    """(path, pos, x): the items of JSON files that hold an array, or an object with the array ``envelope``."""
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
+    listed = F.from_json("t", f"array<{item}>")
+    if envelope:
+        listed = F.when(F.ltrim("t").startswith("{"), F.from_json("t", f"struct<{envelope}:array<{item}>>")[envelope]).otherwise(listed)
+    return files.select("path", text.alias("t")).select("path", F.posexplode(listed).alias("pos", "x"))
+
+
+def read_saved_memories(files: DataFrame) -> DataFrame:
+    """Records of saved-memory files of an inventory (a bare array, or ``{"memory": [...]}``)."""
+    return saved_memories(_documents(files, MEMORY_ITEM, "memory").select("path", "pos", "x.*"))
+
+
+def read_account_exports(files: DataFrame) -> DataFrame:
+    """Records of account-memory files of an inventory; ``export_no`` is the place in the file."""
+    return account_memories(_documents(files, ACCOUNT, None).select(F.col("pos").alias("export_no"), "x.*"))
+
+
+def read_projects(files: DataFrame) -> DataFrame:
+    """Records of project files of an inventory; ``project_no`` is the place in the file."""
+    return project_records(_documents(files, PROJECT, None).select(F.col("pos").alias("project_no"), "x.*"))
+
+
+def read_prompt_logs(files: DataFrame) -> DataFrame:
+    """Prompt lines of log files; files in order of path, lines in order of place."""
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
+    lines = files.select("path", F.posexplode(F.split(text, r"\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
+    kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("```"))
+    return prompt_lines(kept.withColumn("place", F.struct("path", "n")), "place", "line").withColumns({"line_no": F.col("n") + 1}).drop("n", "place")
+
+
+def transcript_counts(files: DataFrame) -> DataFrame:
+    """(path, conversations, valid): files of conversations are registered and counted, their turns never read."""
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "UTF-8"))
+    shells = F.from_json("t", "array<struct<mapping:map<string,string>,chat_messages:array<string>>>")
+    return files.select("path", text.alias("t")).select("path", F.coalesce(F.size(shells), F.lit(0)).cast("bigint").alias("conversations"), F.coalesce(shells.isNotNull() & ~F.exists(shells, lambda x: x["mapping"].isNull() & x["chat_messages"].isNull()), F.lit(False)).alias("valid"))
