@@ -359,3 +359,51 @@ def change_log(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "memory").where("id IS NOT NULL").select(F.to_date("received_at").alias("day"), "id", "snapshot_no")
     first = a.groupBy("id").agg(F.min("snapshot_no").alias("first"))
     return a.join(first, "id").groupBy("day").agg(F.count_if(F.col("snapshot_no") == F.col("first")).alias("added"), F.count_if(F.col("snapshot_no") > F.col("first")).alias("updated"))
+
+
+@query(f"""WITH r AS (SELECT *, sha256(source.system || chr(0) || coalesce(source.satellite_id, '') || chr(0) || source_record_id) AS h FROM canonical_record),
+f AS (SELECT canonical_id, unnest(list_filter([
+CASE WHEN scope NOT IN ('user', 'project', 'agent', 'session', 'tenant', 'wing', 'room') THEN 'vocabulary:/scope' END, CASE WHEN dna_class NOT IN ('dna', 'standard') THEN 'vocabulary:/dna_class' END,
+CASE WHEN evidence_level NOT IN ('measured', 'official', 'third_party', 'inferred') THEN 'vocabulary:/evidence_level' END, CASE WHEN provenance.actor_kind NOT IN ('user', 'agent', 'model', 'import', 'scan') THEN 'vocabulary:/provenance/actor_kind' END,
+CASE WHEN NOT regexp_full_match(canonical_id, '[a-z2-7]{{32}}') THEN 'shape:/canonical_id' END, CASE WHEN NOT regexp_full_match(content_hash, 'sha256:[0-9a-f]{{64}}') THEN 'shape:/content_hash' END,
+CASE WHEN content_hash <> 'sha256:' || sha256(content) THEN 'derived:/content_hash' END, CASE WHEN canonical_id <> {_b32_sql("h", 40)} THEN 'derived:/canonical_id' END,
+CASE WHEN canonical_id IS NULL THEN 'missing:/canonical_id' END, CASE WHEN source IS NULL THEN 'missing:/source' END, CASE WHEN source_record_id IS NULL THEN 'missing:/source_record_id' END, CASE WHEN source_locator IS NULL THEN 'missing:/source_locator' END,
+CASE WHEN scope IS NULL THEN 'missing:/scope' END, CASE WHEN content IS NULL THEN 'missing:/content' END, CASE WHEN content_hash IS NULL THEN 'missing:/content_hash' END, CASE WHEN dna_class IS NULL THEN 'missing:/dna_class' END,
+CASE WHEN provenance IS NULL THEN 'missing:/provenance' END, CASE WHEN evidence_level IS NULL THEN 'missing:/evidence_level' END], lambda x: x IS NOT NULL)) AS problem FROM r)
+SELECT canonical_id, problem, count(*) AS n FROM f GROUP BY ALL""")
+def record_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that records break."""
+    from carryover.canonical import problems
+
+    return problems(table(spark, d, "canonical_record")).groupBy("canonical_id", "problem").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type <> 'click' THEN md5(props) END AS rest FROM (SELECT event_id, event_type, '{"k": ' || json_extract_string(props, '$.k') || '}' AS props FROM events)""")
+def preserved_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of the event properties when clicks have mapped theirs (digest of the JSON text)."""
+    from carryover.operators.coverage import preserved
+
+    e = table(spark, d, "events").select("event_id", "props", F.when(F.col("event_type") == "click", F.array(F.lit("/k"))).alias("mapped"))
+    return preserved(e, "props", "mapped", "rest").select("event_id", F.md5("rest").alias("rest"))
+
+
+@query("""WITH t AS (SELECT receipt_no, upper(trim(created_at, ' ')) AS v FROM receipts), u AS (SELECT receipt_no, v, regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})') AS shaped, regexp_full_match(v, '\d{1,11}(\.\d{1,9})?') AS number FROM t)
+SELECT receipt_no, CASE WHEN shaped AND try_cast(v[1:10] AS DATE) IS NOT NULL AND v[12:13]::INT < 24 AND v[15:16]::INT < 60 AND v[18:19]::INT < 60 THEN v
+WHEN number THEN strftime(epoch_ms(str_split(v, '.')[1]::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN rtrim(regexp_extract(v, '\.(\d+)$', 1), '0') <> '' THEN '.' || rtrim(regexp_extract(v, '\.(\d+)$', 1), '0') ELSE '' END || 'Z' END AS time_text FROM u""")
+def time_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Exact time texts of receipts, where they are RFC 3339 or Unix seconds."""
+    return table(spark, d, "receipts").select("receipt_no", txt.rfc3339_text(F.col("created_at")).alias("time_text"))
+
+
+@query("""SELECT row_no, coalesce(CASE WHEN json_valid(extra) THEN CASE json_type(extra) WHEN 'ARRAY' THEN json_array_length(extra) WHEN 'OBJECT' THEN len(json_keys(extra)) ELSE 1 END END, 0)::BIGINT AS parts FROM memory WHERE extra IS NOT NULL""")
+def extra_parts(spark: SparkSession, d: str) -> DataFrame:
+    """How many top-level parts each JSON extra has (0 where it isn't JSON)."""
+    from carryover.operators.nested import flatten_json
+
+    m = table(spark, d, "memory").where("extra IS NOT NULL")
+    trees = flatten_json(m, "row_no", "extra", roots=True)
+    top = trees.where("table_path = ''").groupBy("row_no").agg(F.count("*").alias("n"))
+    kinds = trees.where("pos IS NULL").select("row_no", "kind")
+    keys = F.coalesce(F.size(F.json_object_keys("extra")), F.lit(0))
+    joined = m.select("row_no", keys.alias("keys")).join(kinds, "row_no").join(top, "row_no", "left")
+    return joined.select("row_no", F.when(F.col("kind") == "object", F.col("keys")).when(F.col("kind") == "array", F.coalesce("n", F.lit(0))).when(F.col("kind") == "invalid", 0).otherwise(1).cast("bigint").alias("parts"))
