@@ -96,7 +96,9 @@ def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
 
     table = np.zeros(1 << TABLE_BITS, np.uint32)
     count = 0
-    summed = src.select("t").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    # every task gives up to 2^22 rows, so there are no more tasks than the cluster can use
+    few = src.select("t").coalesce(4 * src.sparkSession.sparkContext.defaultParallelism)
+    summed = few.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slots, n = summed.column("slot").to_numpy(), summed.column("n").to_numpy()
     real = slots >= 0
     table[slots[real]] = np.minimum(n[real], 2**32 - 1)
@@ -156,6 +158,8 @@ class Indexer:
 def index_rows(src: DataFrame, table: np.ndarray, count: int, width: int, orders: int, bucket: float) -> DataFrame:
     """(key, d1, d2, size, s1 to s4): each text under its keys."""
     shared = src.sparkSession.sparkContext.broadcast(table)
+    # copies are dropped before they are indexed; a text that much of the corpus repeats shrinks map-side
+    once = src.groupBy("d1", "d2").agg(F.max("t").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexer = Indexer(shared.value, count, width, orders, bucket)
@@ -169,7 +173,7 @@ def index_rows(src: DataFrame, table: np.ndarray, count: int, width: int, orders
             at = pa.array(take)
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4))], names=["key", "d1", "d2", "size", "s1", "s2", "s3", "s4"])
 
-    return src.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
+    return once.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
 
 
 def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
@@ -180,15 +184,13 @@ def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
 
 def candidate_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """(a1, a2, b1, b2): pairs of digests that share a key and may reach the threshold."""
-    # one exchange serves the removal of copies and both sides of the join
-    rows = rows.repartition("key").dropDuplicates(["key", "d1", "d2"])
-    a = rows.select("key", *(F.col(c).alias(f"a_{c}") for c in rows.columns[1:]))
-    b = rows.select("key", *(F.col(c).alias(f"b_{c}") for c in rows.columns[1:]))
-    differ = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in (1, 2, 3, 4)), F.lit(0))
-    sizes = (F.col("a_size") >= threshold * F.col("b_size") - 1e-9) & (F.col("b_size") >= threshold * F.col("a_size") - 1e-9)
-    ordered = (F.col("a_d1") < F.col("b_d1")) | (F.col("a_d1") == F.col("b_d1")) & (F.col("a_d2") < F.col("b_d2"))
-    met = a.join(b, "key").where(ordered & sizes & (differ <= sketch_limit(threshold)))
-    return met.select(F.col("a_d1").alias("a1"), F.col("a_d2").alias("a2"), F.col("b_d1").alias("b1"), F.col("b_d2").alias("b2")).distinct()
+    # both sides are the rows as they are, so that one exchange serves both and the planner can split hot keys
+    a, b = rows.alias("a"), rows.alias("b")
+    differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in (1, 2, 3, 4)), F.lit(0))
+    sizes = (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
+    ordered = (F.col("a.d1") < F.col("b.d1")) | (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") < F.col("b.d2"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered & sizes & (differ <= sketch_limit(threshold)))
+    return met.select(F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2")).distinct()
 
 
 def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) -> DataFrame:
