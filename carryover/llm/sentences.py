@@ -66,16 +66,20 @@ _THAI = r"(?:(?=[฀-๿])[\p{L}\p{M}])"
 @lru_cache(maxsize=1)
 def token_pattern() -> regex.Pattern:
     """One alternation; the name of the matching group is the class, or is refined by ``_refine``."""
-    dotted = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"[^\S\r\n]?\s?") for w in sorted(set(words), key=len, reverse=True))
+    # those of one word are looked up after tokenising, see _dotted_word
+    dotted = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"[^\S\r\n]?\s?") for w in sorted({x for x in words if " " in x or "." in x[:-1]}, key=len, reverse=True))
     edge = r"(?<![\p{L}\p{M}\p{N}])"
     parts = [
+        # the two commonest tokens first; what follows shows that no rule below applies to them
+        r"(?P<simple>[A-Za-zА-яё][a-zа-яё]{3,}(?=[ ,\n]))",
+        r"(?P<gap> (?=[^\s฀-๿]))",
         rf"(?P<blank>{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+)",
         rf"(?P<newline>{_BREAK}[^\S\r\n]*)",
         rf"(?P<thai_space>(?<={_THAI})[^\S\r\n]+(?={_THAI}))",
         r"(?P<space>[^\S\r\n]+)",
         r"(?P<lower>https?://[^\s<>\"”»）)]*[^\s<>\"”»）).,;:!?。]|`[^`\n]+`|[\w.+\-]{1,64}@[\w\-]+(?:\.[\w\-]+)+)",
-        rf"(?P<may_end>{edge}(?:{dotted(MAY_END)})(?![\p{{Ll}}\p{{N}}]))",
-        rf"(?P<abbreviation>{edge}(?:[LlDd]['’])?(?:{dotted(ABBREVIATIONS)})(?!\p{{Ll}})|{edge}(?:\p{{Lu}}\.)+(?=\s*[\p{{L}}\p{{N}}(,;])|{edge}(?:\p{{L}}\.){{2,}}|{edge}\p{{N}}{{1,2}}\.(?=\s(?:{'|'.join(MONTHS)})))",
+        rf"(?P<may_end>{edge}(?=\p{{L}}{{1,3}}[.\s])(?:{dotted(MAY_END)})(?![\p{{Ll}}\p{{N}}]))",
+        rf"(?P<abbreviation>{edge}(?=\p{{L}}{{1,3}}[.\s])(?:(?:{dotted(ABBREVIATIONS)})(?!\p{{Ll}})|(?:\p{{Lu}}\.)+(?=\s*[\p{{L}}\p{{N}}(,;])|(?:\p{{L}}\.){{2,}})|{edge}\p{{N}}{{1,2}}\.(?=\s(?:{'|'.join(MONTHS)})))",
         r"(?P<digit>\p{N}(?:[\p{N}.,:/\-]*\p{N})?(?:[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}]|\.(?=\p{N}))*)?)",
         r"(?P<word>[\p{L}\p{M}_](?:[\p{L}\p{M}\p{N}_]|['’\-‑/](?=[\p{L}\p{N}_])|\.(?=\p{Ll}(?!\p{Lu})|\p{Lu}{2,4}(?![\p{L}\p{M}]))|(?<=\p{N})\.(?=\p{N}))*)",
         r"(?P<end>[.!?…。！？｡．؟۔।॥]+)",
@@ -100,6 +104,7 @@ def token_pattern() -> regex.Pattern:
 
 
 _MARKER_AT = regex.compile(_MARKER)
+end_mark = regex.compile(r"[.!?…。！？｡．؟۔।॥]+")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}々〆ー]")
 #: words run on across scripts without spaces, so the class is that of their first letter
 _KIND: dict[str, int] = {}
@@ -131,6 +136,17 @@ def _refine(group: str, text: str) -> int:
     return CODE["dot"]
 
 
+_SIMPLE = {w: CODE["abbreviation"] for w in ABBREVIATIONS} | {w: CODE["may_end"] for w in MAY_END}
+
+
+def _dotted_word(word: str) -> int | None:
+    """The class of a word that is written with a point, if it is an abbreviation; an elided article doesn't matter."""
+    code = _SIMPLE.get(word)
+    if code is None and word[1:2] in "'’" and word[:1] in "LlDd":
+        code = _SIMPLE.get(word[2:])
+    return code
+
+
 def tokens(text: str) -> tuple[list[int], list[int], list[int]]:
     """(classes, starts, ends) of all tokens; a break before a heading or list line is a ``marker``."""
     classes, starts, ends = [], [], []
@@ -138,13 +154,28 @@ def tokens(text: str) -> tuple[list[int], list[int], list[int]]:
         classes.append(CODE["marker"])
         starts.append(0)
         ends.append(0)
-    newline, blank, marker, lower = CODE["newline"], CODE["blank"], CODE["marker"], CODE["lower"]
+    newline, blank, marker, lower, upper, space, abbreviation, may_end = (CODE[c] for c in ("newline", "blank", "marker", "lower", "upper", "space", "abbreviation", "may_end"))
+    words = {CODE[c] for c in ("lower", "upper", "caseless")}
     for m in token_pattern().finditer(text):
         g = m.lastgroup
         s, e = m.span()
         code = CODE.get(g)
         if code is None:
-            code = _refine(g, m[0])
+            if g == "simple":
+                code = lower if text[s].islower() else upper
+            elif g == "gap":
+                code = space
+            elif g == "end" and ends and ends[-1] == s and m[0][0] == "." and classes[-1] in words and (a := _dotted_word(text[starts[-1] : s + 1])) is not None:
+                after = text[s + 1 : s + 2]
+                if a == abbreviation and not after.islower() or a == may_end and not (after.islower() or after.isnumeric()):
+                    classes[-1] = a
+                    ends[-1] = s + 1
+                    if e == s + 1:
+                        continue
+                    m = end_mark.match(text, s + 1)  # noqa: PLW2901
+                    s += 1
+            if code is None:
+                code = _refine(g, m[0])
         elif code == newline or code == blank:
             if _MARKER_AT.match(text, e):
                 code = marker
