@@ -387,7 +387,7 @@ def preserved_fields(spark: SparkSession, d: str) -> DataFrame:
     return preserved(e, "props", "mapped", "rest").select("event_id", F.md5("rest").alias("rest"))
 
 
-@query("""WITH t AS (SELECT receipt_no, upper(trim(created_at, ' ')) AS v FROM receipts), u AS (SELECT receipt_no, v, regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})') AS shaped, regexp_full_match(v, '\d{1,11}(\.\d{1,9})?') AS number FROM t)
+@query(r"""WITH t AS (SELECT receipt_no, upper(trim(created_at, ' ')) AS v FROM receipts), u AS (SELECT receipt_no, v, regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})') AS shaped, regexp_full_match(v, '\d{1,11}(\.\d{1,9})?') AS number FROM t)
 SELECT receipt_no, CASE WHEN shaped AND try_cast(v[1:10] AS DATE) IS NOT NULL AND v[12:13]::INT < 24 AND v[15:16]::INT < 60 AND v[18:19]::INT < 60 THEN v
 WHEN number THEN strftime(epoch_ms(str_split(v, '.')[1]::BIGINT * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN rtrim(regexp_extract(v, '\.(\d+)$', 1), '0') <> '' THEN '.' || rtrim(regexp_extract(v, '\.(\d+)$', 1), '0') ELSE '' END || 'Z' END AS time_text FROM u""")
 def time_texts(spark: SparkSession, d: str) -> DataFrame:
