@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from carryover.session import table
 
 def _free_texts(spark: SparkSession, d: str) -> DataFrame:
     """(src, rec_key, content) of all texts that may hold personal data."""
-    memory = table(spark, d, "memory").select(F.lit("memory").alias("src"), F.col("row_no").cast("string").alias("rec_key"), "content")
+    memory = table(spark, d, "memory", heavy=True).select(F.lit("memory").alias("src"), F.col("row_no").cast("string").alias("rec_key"), "content")
     nested = lambda name, key, array: (
-        table(spark, d, name)
+        table(spark, d, name, heavy=True)
         .select(key, F.posexplode(f"{array}.content").alias("pos", "content"))
         .select(F.lit(name).alias("src"), F.concat_ws("/", F.col(key).cast("string"), F.col("pos").cast("string")).alias("rec_key"), "content")
     )
@@ -37,53 +39,59 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 12 words (zh and ja: 20 letters or digits) of an item in a row."""
     items = table(spark, d, "eval_item")
-    leaks = find_leaks(table(spark, d, "documents"), items)
+    leaks = find_leaks(table(spark, d, "documents", heavy=True), items)
     size = items.select("item_id", F.when(F.substring(F.lower("lang"), 1, 2).isin("zh", "ja"), 20).otherwise(12).alias("size"))
     return leaks.join(F.broadcast(size), "item_id").where("run >= size").select("doc_id", "item_id").distinct()
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a passage of an item within one edit, and the run they share exactly."""
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return find_leaks(table(spark, d, "documents", heavy=True), table(spark, d, "eval_item"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """The chosen documents and how often each is taken."""
-    return Plan(table(spark, d, "documents"), table(spark, d, "mix_target")).chosen()
+    return Plan(table(spark, d, "documents", heavy=True), table(spark, d, "mix_target")).chosen()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The share each source gets, against its target."""
-    return Plan(table(spark, d, "documents"), table(spark, d, "mix_target")).report()
+    return Plan(table(spark, d, "documents", heavy=True), table(spark, d, "mix_target")).report()
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The place of every sentence of every document."""
-    return sentences(table(spark, d, "documents")).select("doc_id", "start_pos", "end_pos")
+    return sentences(table(spark, d, "documents", heavy=True)).select("doc_id", "start_pos", "end_pos")
 
 
 def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every document, with its number and text."""
-    return sentences(table(spark, d, "documents"))
+    return sentences(table(spark, d, "documents", heavy=True))
 
 
 def _near_duplicate_sources(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     """(src, texts): the last snapshot of ``memory`` and all of ``canonical_record``."""
-    memory = table(spark, d, "memory").select("snapshot_no", "id", "content")
+    memory = table(spark, d, "memory", heavy=True).select("snapshot_no", "id", "content")
     last = memory.agg(F.max("snapshot_no")).first()[0]
-    records = table(spark, d, "canonical_record").select(F.col("canonical_id").alias("id"), "content")
+    records = table(spark, d, "canonical_record", heavy=True).select(F.col("canonical_id").alias("id"), "content")
     return [("memory", texts(memory.where(F.col("snapshot_no") == last), "content", "id", 40)), ("canonical_record", texts(records, "content", "id", 40))]
 
 
+def _side_by_side(make, sources: list[tuple[str, DataFrame]]) -> list[DataFrame]:  # noqa: ANN001
+    """``make`` of each source; their jobs share the cluster instead of waiting for each other."""
+    with ThreadPoolExecutor(len(sources)) as pool:
+        return list(pool.map(lambda s: make(*s), sources))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of ids whose contents share at least 0.6 of their 5-character substrings."""
-    parts = [id_pairs(links(src), src).select(F.lit(name).alias("src"), "id_a", "id_b") for name, src in _near_duplicate_sources(spark, d)]
+    parts = _side_by_side(lambda name, src: id_pairs(links(src), src).select(F.lit(name).alias("src"), "id_a", "id_b"), _near_duplicate_sources(spark, d))
     return parts[0].unionByName(parts[1])
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each id with the class of alike contents it belongs to, and its number of links."""
-    parts = [classes(links(src), src).select(F.lit(name).alias("src"), F.col("i").alias("id"), "class_id", "n_links") for name, src in _near_duplicate_sources(spark, d)]
+    parts = _side_by_side(lambda name, src: classes(links(src), src).select(F.lit(name).alias("src"), F.col("i").alias("id"), "class_id", "n_links"), _near_duplicate_sources(spark, d))
     return parts[0].unionByName(parts[1])
 
 
