@@ -16,7 +16,7 @@ from carryover.session import table
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """One UTC instant for each value that isn't yet in the canonical form."""
     text = lambda c: c.cast("string")
-    memory = table(spark, d, "memory").select(F.lit("memory").alias("src"), text(F.col("row_no")).alias("rec_key"), F.col("created_at").alias("value"), F.col("home_zone").alias("zone"))
+    memory = table(spark, d, "memory", heavy=True).select(F.lit("memory").alias("src"), text(F.col("row_no")).alias("rec_key"), F.col("created_at").alias("value"), F.col("home_zone").alias("zone"))
     files = (
         table(spark, d, "memories")
         .select("export_no", "home_zone", F.posexplode("memory_files.updated_at").alias("pos", "value"))
@@ -37,7 +37,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     shape = lambda df, name, key: df.select(F.lit(name).alias("child_table"), F.col(key).cast("bigint").alias("parent_key"), F.col("pos").alias("child_pos"), F.col("child_key"))
     files = flatten_typed(table(spark, d, "memories"), "export_no", "memory_files", {"child_key": "path"})
     docs = flatten_typed(table(spark, d, "projects"), "project_no", "docs", {"child_key": "uuid"})
-    extra = flatten_json(table(spark, d, "memory"), "row_no", "extra").withColumnRenamed("row_pointer", "child_key")
+    extra = flatten_json(table(spark, d, "memory", heavy=True), "row_no", "extra").withColumnRenamed("row_pointer", "child_key")
     blank = lambda df: df.withColumn("child_key", F.coalesce("child_key", F.lit("")))
     return shape(blank(files), "memory_files", "export_no").unionByName(shape(blank(docs), "docs", "project_no")).unionByName(shape(extra, "extra", "row_no"))
 
@@ -50,7 +50,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of shape between neighbouring files of a feed."""
-    return schema_changes(table(spark, d, "raw_export"), "feed_id", "file_no", "payload")
+    return schema_changes(table(spark, d, "raw_export", heavy=True), "feed_id", "file_no", "payload")
 
 
 def p6_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _consistent(spark: SparkSession, d: str, family: str) -> DataFrame:
-    raw = table(spark, d, "raw_export").where(F.col("file_family") == family)
+    raw = table(spark, d, "raw_export", heavy=True).where(F.col("file_family") == family)
     tags = F.aggregate(F.transform(F.split("types", ","), lambda t: F.try_element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), t)), F.lit(0), lambda a, b: a + b)
     # both are bounded by the number of distinct key paths, not by rows
     schema = {r[0]: r[1] for r in fused_schema(raw, "file_family", "feed_id", "file_no", "payload").select("path", tags).collect()}

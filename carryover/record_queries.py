@@ -146,7 +146,7 @@ k AS (SELECT *, sha256(day || chr(0) || kind || chr(0) || body) AS identity FROM
 SELECT row_no, CASE WHEN NOT ok THEN 'invalid_prompt_line' WHEN row_number() OVER (PARTITION BY CASE WHEN ok THEN identity ELSE row_no::VARCHAR END ORDER BY row_no) > 1 THEN 'duplicate_prompt_line' WHEN NOT (regexp_matches(day, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(day AS DATE) IS NOT NULL) THEN 'invalid_prompt_date' END AS anomaly, CASE WHEN ok THEN kind END AS kind FROM k""")
 def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
     """Memories written as prompt lines and read back: the first of equal lines wins."""
-    m = table(spark, d, "memory")
+    m = table(spark, d, "memory", heavy=True)
     body = F.regexp_replace(F.coalesce("content", "text"), r"\s+", " ")
     lines = m.select("row_no", F.concat(F.lit("["), F.coalesce("created_at", F.lit("")), F.lit("] ["), F.coalesce("kind", F.lit("none")), F.lit("] "), body).alias("line")).where("line IS NOT NULL")
     return exports.prompt_lines(lines, "row_no", "line").select("row_no", "anomaly", "kind")
@@ -155,7 +155,7 @@ def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT doc_id, 'password-assignment' AS rule_id, octet_length(encode(text)) + 10 AS start_byte, octet_length(encode(text)) + 42 AS end_byte, 'blocked' AS disposition FROM documents WHERE text IS NOT NULL""")
 def gate_findings(spark: SparkSession, d: str) -> DataFrame:
     """Secrets found after a password line is added to every document, with byte spans."""
-    docs = _with_password(table(spark, d, "documents"))
+    docs = _with_password(table(spark, d, "documents", heavy=True))
     found = docs.select("doc_id", F.explode(secrets.findings(F.col("text"), "/content", "block")).alias("f"))
     return found.select("doc_id", "f.rule_id", F.col("f.start").alias("start_byte"), F.col("f.end").alias("end_byte"), "f.disposition")
 
@@ -163,7 +163,7 @@ def gate_findings(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, 'sha256:' || sha256(text || chr(10) || 'password=[secret]') AS masked_hash FROM documents WHERE text IS NOT NULL")
 def mask_text(spark: SparkSession, d: str) -> DataFrame:
     """The same documents with secrets masked."""
-    return _with_password(table(spark, d, "documents")).select("doc_id", ident.content_hash(secrets.masked(F.col("text"))).alias("masked_hash"))
+    return _with_password(table(spark, d, "documents", heavy=True)).select("doc_id", ident.content_hash(secrets.masked(F.col("text"))).alias("masked_hash"))
 
 
 def _with_password(docs: DataFrame) -> DataFrame:

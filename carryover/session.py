@@ -9,8 +9,20 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table of the folder; ``heavy`` says that much work per row follows, see ``spread``."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over too few row groups to occupy half of the cores, spread over all of them.
+
+    Only for a plain scan, whose number of splits is known without running anything. A
+    table of many splits, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 _SHIPPED: set[str] = set()
