@@ -5,8 +5,8 @@ constraints; among all rates that meet them, those closest to one copy per docum
 relative entropy, with each rate at most the source's cap) are exponentially tilted by
 document length: rate = min(cap, exp(lambda * tokens / mean)). The convex dual has one
 variable per source; each Newton step for all of them is one distributed aggregation
-over the histogram of (source, tokens). Rates become whole copies by hash rounding, so
-no source is ever sorted or gathered.
+over the histogram of (source, tokens). Rates become whole copies by systematic rounding
+along small cells in order of length, so no source is ever sorted or gathered whole.
 
 Defined results: sources are compared trimmed and in lower case; documents of null or
 unlisted sources and documents without tokens aren't chosen; shares of sources without
@@ -24,7 +24,7 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How text is split before merging (fixed value of the rank files).
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_SOURCES = 10_000
+#: Documents of one source that are put in order together, about, and the parts of a copy that rates are rounded to.
+CELL, PARTS = 10_000, 1_000_000
 
 
 def load_tokenizer(path: str):  # noqa: ANN201
@@ -81,6 +83,7 @@ class Plan:
         have = {r[0]: (r[1], r[2]) for r in self.lengths.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")), F.sum("n")).collect()}
         self.tokens = {s: float(have.get(s, (0, 0))[0]) for s in self.share}
         self.mean = {s: have[s][0] / have[s][1] for s in have}
+        self.count = {s: have[s][1] for s in have}
         usable = {s: p for s, p in self.share.items() if p > 0 and self.tokens[s] > 0 and self.cap[s] > 0}
         whole = sum(usable.values())
         self.goal = {s: p / whole for s, p in usable.items()}
@@ -135,10 +138,17 @@ class Plan:
         if not self.goal:
             return self.docs.where("false").select(F.col("d").alias(self.doc_id), "source", "n_tokens", F.lit(0.0).alias("rate"), F.lit(0).cast("bigint").alias("copies"))
         rate, *_ = self._rate(self.tilt)
-        unit = (F.xxhash64(F.lit(self.seed), "d", "n_tokens").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-        docs = self.docs.where(F.col("source").isin(list(self.goal))).withColumn("rate", rate)
-        whole = F.floor("rate")
-        return docs.withColumn("copies", (whole + F.when(unit < F.col("rate") - whole, 1).otherwise(0)).cast("bigint")).where("copies > 0").select(F.col("d").alias(self.doc_id), "source", "n_tokens", "rate", "copies")
+        # documents of a source are put into cells of bounded size by hash; along each cell, in order of
+        # length, copies are dealt out where the running sum of rates passes a whole number, in exact integers
+        cells = F.create_map(*(F.lit(x) for s in self.goal for x in (s, math.ceil(self.count[s] / CELL))))
+        docs = self.docs.where(F.col("source").isin(list(self.goal)))
+        docs = docs.withColumns({"rate": rate, "_cell": F.pmod(F.xxhash64(F.lit(self.seed + 1), "d"), F.try_element_at(cells, F.col("source"))), "_order": F.xxhash64(F.lit(self.seed), "d")})
+        parts = F.round(F.col("rate") * PARTS).cast("bigint")
+        along = Window.partitionBy("source", "_cell").orderBy("n_tokens", "_order", "d").rowsBetween(Window.unboundedPreceding, 0)
+        start = F.pmod(F.xxhash64(F.lit(self.seed + 2), "source", "_cell"), F.lit(PARTS))
+        docs = docs.withColumn("_parts", parts).withColumn("_end", F.sum("_parts").over(along) + start)
+        whole = lambda x: F.expr(f"({x}) div {PARTS}")
+        return docs.withColumn("copies", whole("_end") - whole("_end - _parts")).where("copies > 0").select(F.col("d").alias(self.doc_id), "source", "n_tokens", "rate", "copies")
 
     def report(self) -> DataFrame:
         """(source, target_share, feasible_share, actual_share, max_repeats, most_copies, documents, copies, tokens) of each listed source."""
