@@ -99,5 +99,14 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_classes, p4_found, p4_redacted, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_sentences)}
 
 
+P1_SQL = r"""WITH s AS (SELECT 'memory' AS src, id, content FROM memory WHERE snapshot_no = (SELECT max(snapshot_no) FROM memory) UNION ALL SELECT 'canonical_record', canonical_id, content FROM canonical_record),
+k AS (SELECT * FROM (SELECT DISTINCT src, id, trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) AS t FROM s WHERE content IS NOT NULL AND id IS NOT NULL) WHERE length(t) >= 40),
+u AS (SELECT src, t, dense_rank() OVER (ORDER BY src, t) AS u, list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) AS g FROM (SELECT DISTINCT src, t FROM k)),
+x AS (SELECT src, u, len(g) AS c, unnest(g) AS g FROM u),
+p AS (SELECT a.u AS ua, b.u AS ub FROM x a JOIN x b ON a.src = b.src AND a.g = b.g AND a.u < b.u GROUP BY a.u, b.u, a.c, b.c HAVING count(*) >= 0.6 * (a.c + b.c - count(*)) - 1e-9),
+m AS (SELECT k.src, k.id, u.u FROM k JOIN u ON k.src = u.src AND k.t = u.t)
+SELECT DISTINCT a.src, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM m a JOIN (SELECT ua, ub FROM p UNION ALL SELECT DISTINCT u, u FROM m) q ON a.u = q.ua JOIN m b ON b.u = q.ub WHERE a.id <> b.id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL}
