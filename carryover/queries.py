@@ -95,6 +95,34 @@ SELECT 'extra' AS child_table, row_no AS parent_key, i AS child_pos, p || '/' ||
 UNION ALL SELECT 'memory_files', export_no, i, coalesce(memory_files[i + 1].path, '') FROM (SELECT export_no, memory_files, unnest(range(len(memory_files))) AS i FROM memories)
 UNION ALL SELECT 'docs', project_no, i, coalesce(docs[i + 1].uuid, '') FROM (SELECT project_no, docs, unnest(range(len(docs))) AS i FROM projects)"""
 
+P5_SQL = r"""WITH v AS (SELECT 'memory' AS src, row_no::VARCHAR AS rec_key, created_at AS v, home_zone AS z FROM memory UNION ALL SELECT 'receipts', receipt_no::VARCHAR, created_at, site_zone FROM receipts
+UNION ALL SELECT 'memories', export_no || '/' || i, memory_files[i + 1].updated_at, home_zone FROM (SELECT *, unnest(range(len(memory_files))) AS i FROM memories)),
+w AS (SELECT src, rec_key, z, regexp_replace(v, '^[\s\x{a0}\x{202f}]+|[\s\x{a0}\x{202f}]+$', '', 'g') AS s FROM v WHERE NOT regexp_full_match(v, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z')),
+e AS (SELECT src, rec_key, z, s, CASE
+WHEN regexp_matches(s, '^\d{4}-?\d{2}-?\d{2}(?:[Tt]|\s+)\d{2}:?\d{2}') THEN regexp_extract(s, '^(\d{4})-?(\d{2})-?(\d{2})(?:[Tt]|\s+)(\d{2}):?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?\s*(.*)$', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^[A-Z][a-z]{2}, \d') THEN regexp_extract(s, '^[A-Z][a-z]{2}, (\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d{2}):(\d{2}):(\d{2})()\s*(.*)$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^\d{1,2}\.\d{1,2}\.\d{4}\s+\d') THEN regexp_extract(s, '^(\d{1,2})\.(\d{1,2})\.(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?()\s*(.*)$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^(1[3-9]|[23]\d)/\d') THEN regexp_extract(s, '^(\d{1,2})/(\d{1,2})/(\d{4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?()[\s\x{202f}\x{a0}]*(.*)$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^\d{1,2}/(1[3-9]|[23]\d)/') THEN regexp_extract(s, '^(\d{1,2})/(\d{1,2})/(\d{4}),?\s+(\d{1,2}):(\d{2})(?::(\d{2}))?()[\s\x{202f}\x{a0}]*(.*)$', ['m', 'd', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^[A-Z][a-z]{2} \d{1,2}, \d{4} ') THEN regexp_extract(s, '^([A-Z][a-z]{2}) (\d{1,2}), (\d{4}) (\d{1,2}):(\d{2})(?::(\d{2}))?()[\s\x{202f}\x{a0}]*(.*)$', ['m', 'd', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, ' Uhr$') THEN regexp_extract(s, '^(\d{1,2})\. (\pL+) (\d{4}), (\d{1,2}):(\d{2})(?::(\d{2}))?()( Uhr)$', ['d', 'm', 'y', 'h', 'i', 's', 'f', 'r'])
+WHEN regexp_matches(s, '^\d{4}年') THEN regexp_extract(s, '^(\d{4})年(\d{1,2})月(\d{1,2})日\s*(\d{1,2}):(\d{2})(?::(\d{2}))?()(.*)$', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'r']) END AS c,
+CASE WHEN regexp_full_match(s, '\d{9,20}(\.\d+)?') THEN s END AS n FROM w),
+f AS (SELECT *, try_cast(c.y AS INT) AS y, coalesce(try_cast(c.m AS INT), nullif(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(c.m)), 0),
+list_position(['januar', 'februar', 'märz', 'april', 'mai', 'juni', 'juli', 'august', 'september', 'oktober', 'november', 'dezember'], lower(c.m))) AS m, try_cast(c.d AS INT) AS d,
+CASE WHEN regexp_matches(c.r, '^[AaPp][Mm]$') THEN CASE WHEN try_cast(c.h AS INT) BETWEEN 1 AND 12 THEN try_cast(c.h AS INT) % 12 + CASE WHEN lower(c.r) = 'pm' THEN 12 ELSE 0 END END ELSE try_cast(c.h AS INT) END AS h,
+try_cast(c.i AS INT) AS i, coalesce(try_cast(c.s AS INT), 0) AS sec, coalesce(try_cast(rpad(substr(c.f, 1, 6), 6, '0') AS INT), 0) AS us, CASE WHEN regexp_matches(c.r, '^[AaPp][Mm]$|^ Uhr$') THEN '' ELSE c.r END AS r FROM e),
+g AS (SELECT *, CASE WHEN y >= 1 AND m BETWEEN 1 AND 12 AND h BETWEEN 0 AND 23 AND i < 60 AND sec < 60 THEN try_cast(format('{:04d}-{:02d}-{:02d} {:02d}:{:02d}:{:02d}', y, m, d, h, i, sec) AS TIMESTAMP) END AS t,
+regexp_extract(r, '^([+−-])(\d{2}):?(\d{2})(?:\[.*\])?$', ['g', 'h', 'm']) AS o, CASE WHEN regexp_full_match(r, '[A-Z][A-Za-z_]+/[A-Za-z_/]+') THEN r WHEN r = '' THEN z END AS zone FROM f),
+k AS (SELECT *, CASE WHEN r IN ('Z', 'z', 'UTC', 'GMT') THEN 0 WHEN o.h <> '' THEN (try_cast(o.h AS INT) * 60 + try_cast(o.m AS INT)) * CASE WHEN o.g = '+' THEN 1 ELSE -1 END
+WHEN (z, r) IN (('Europe/Berlin', 'CET'), ('Europe/Paris', 'CET'), ('Europe/London', 'BST')) THEN 60 WHEN (z, r) IN (('Europe/Berlin', 'CEST'), ('Europe/Paris', 'CEST')) THEN 120
+WHEN (z, r) IN (('America/New_York', 'EST'), ('America/Chicago', 'CDT')) THEN -300 WHEN (z, r) = ('America/New_York', 'EDT') THEN -240 WHEN (z, r) = ('America/Chicago', 'CST') THEN -360
+WHEN (z, r) = ('America/Los_Angeles', 'PST') THEN -480 WHEN (z, r) = ('America/Los_Angeles', 'PDT') THEN -420 WHEN (z, r) = ('Asia/Tokyo', 'JST') THEN 540 WHEN (z, r) = ('Asia/Shanghai', 'CST') THEN 480
+WHEN (z, r) = ('Asia/Kolkata', 'IST') THEN 330 WHEN (z, r) = ('Australia/Sydney', 'AEST') THEN 600 WHEN (z, r) = ('Australia/Sydney', 'AEDT') THEN 660 END AS minutes, t AT TIME ZONE zone AS late FROM g),
+q AS (SELECT src, rec_key, CASE WHEN n IS NOT NULL THEN CASE WHEN length(split_part(n, '.', 1)) <= 11 THEN try_cast(split_part(n, '.', 1) AS HUGEINT) * 1000000 + coalesce(try_cast(rpad(substr(split_part(n, '.', 2), 1, 6), 6, '0') AS INT), 0) WHEN length(n) <= 14 THEN try_cast(n AS HUGEINT) * 1000 WHEN length(n) <= 17 THEN try_cast(n AS HUGEINT) ELSE try_cast(n AS HUGEINT) // 1000 END
+WHEN minutes IS NOT NULL THEN epoch_us(t) + us - minutes * 60000000::BIGINT WHEN (late - INTERVAL 1 HOUR) AT TIME ZONE zone = t THEN epoch_us(late - INTERVAL 1 HOUR) + us WHEN late AT TIME ZONE zone = t THEN epoch_us(late) + us END AS utc_us FROM k)
+SELECT src, rec_key, utc_us::BIGINT AS utc_us FROM q WHERE utc_us IS NOT NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL} | record_queries.SQL
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL} | record_queries.SQL
