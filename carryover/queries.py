@@ -123,12 +123,14 @@ q AS (SELECT src, rec_key, CASE WHEN n IS NOT NULL THEN CASE WHEN length(split_p
 WHEN minutes IS NOT NULL THEN epoch_us(t) + us - minutes * 60000000::BIGINT WHEN (late - INTERVAL 1 HOUR) AT TIME ZONE zone = t THEN epoch_us(late - INTERVAL 1 HOUR) + us WHEN late AT TIME ZONE zone = t THEN epoch_us(late) + us END AS utc_us FROM k)
 SELECT src, rec_key, utc_us::BIGINT AS utc_us FROM q WHERE utc_us IS NOT NULL"""
 
-P6_SQL = """WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER () AS rn, feed_id, file_no::BIGINT AS file_no, payload::JSON AS v FROM raw_export WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
+_NODES_SQL = """WITH RECURSIVE r AS MATERIALIZED (SELECT row_number() OVER () AS rn, feed_id, file_no::BIGINT AS file_no, payload::JSON AS v FROM raw_export WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
 e AS (SELECT rn, feed_id, file_no, '' AS p, '' AS o, true AS keyed, v FROM r UNION ALL
 SELECT rn, feed_id, file_no, CASE WHEN arr THEN p || '[]' WHEN p = '' THEN k ELSE p || '.' || k END, o || printf('%05d', i), NOT arr, x FROM (SELECT rn, feed_id, file_no, p, o, json_type(v) = 'ARRAY' AS arr,
 unnest(CASE json_type(v) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda q: '') ELSE json_keys(v) END) AS k, unnest(CASE json_type(v) WHEN 'ARRAY' THEN json_extract(v, '$[*]') ELSE json_extract(v, '$.*') END) AS x,
 unnest(range(CASE json_type(v) WHEN 'ARRAY' THEN json_array_length(v)::BIGINT ELSE len(json_keys(v)) END)) AS i FROM e WHERE json_type(v) IN ('ARRAY', 'OBJECT'))),
-n AS MATERIALIZED (SELECT rn, feed_id, file_no, p, o, v::VARCHAR AS v, CASE json_type(v) WHEN 'VARCHAR' THEN 's' WHEN 'BOOLEAN' THEN 'b' WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' ELSE 'n' END AS t FROM e WHERE keyed AND p <> '' AND json_type(v) <> 'NULL'),
+n AS MATERIALIZED (SELECT rn, feed_id, file_no, p, o, v::VARCHAR AS v, CASE json_type(v) WHEN 'VARCHAR' THEN 's' WHEN 'BOOLEAN' THEN 'b' WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' ELSE 'n' END AS t FROM e WHERE keyed AND p <> '' AND json_type(v) <> 'NULL')"""
+
+P6_SQL = _NODES_SQL + """,
 paths AS MATERIALIZED (SELECT feed_id, file_no, p, string_agg(DISTINCT t, '' ORDER BY t) AS ts FROM n GROUP BY ALL),
 files AS (SELECT feed_id, file_no, lag(file_no) OVER (PARTITION BY feed_id ORDER BY file_no) AS before FROM (SELECT DISTINCT feed_id, file_no::BIGINT AS file_no FROM raw_export)),
 d AS MATERIALIZED (SELECT f.feed_id, f.file_no, f.before, p, max(CASE WHEN x.file_no = f.before THEN ts END) AS o, max(CASE WHEN x.file_no = f.file_no THEN ts END) AS w FROM files f JOIN paths x ON f.feed_id = x.feed_id AND x.file_no IN (f.file_no, f.before) WHERE f.before IS NOT NULL GROUP BY ALL HAVING o IS DISTINCT FROM w),
@@ -142,6 +144,11 @@ SELECT feed_id, file_no, 'renamed' AS change, op AS old_path, np AS new_path FRO
 UNION ALL SELECT feed_id, file_no, CASE WHEN o IS NULL THEN 'added' WHEN w IS NULL THEN 'removed' ELSE 'type_changed' END, CASE WHEN o IS NULL THEN '' ELSE p END, CASE WHEN w IS NULL THEN '' ELSE p END FROM d
 WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.feed_id = d.feed_id AND ren.file_no = d.file_no AND d.p IN (op, np))"""
 
+P6_SCHEMA_SQL = _NODES_SQL + """,
+f AS (SELECT DISTINCT feed_id, file_family AS family FROM raw_export)
+SELECT family, path, array_to_string(list_filter(['string', 'number', 'boolean', 'object', 'array'], lambda x: list_contains(ts, x[1])), ',') AS types, files, first_file, last_file
+FROM (SELECT family, p AS path, list(DISTINCT t) AS ts, count(DISTINCT (n.feed_id, n.file_no)) AS files, min(n.file_no) AS first_file, max(n.file_no) AS last_file FROM n JOIN f ON n.feed_id = f.feed_id GROUP BY ALL)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL} | record_queries.SQL
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_schema": P6_SCHEMA_SQL} | record_queries.SQL
