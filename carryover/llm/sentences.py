@@ -70,8 +70,9 @@ def token_pattern() -> regex.Pattern:
     dotted = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"[^\S\r\n]?\s?") for w in sorted({x for x in words if " " in x or "." in x[:-1]}, key=len, reverse=True))
     edge = r"(?<![\p{L}\p{M}\p{N}])"
     parts = [
-        # the two commonest tokens first; what follows shows that no rule below applies to them
-        r"(?P<simple>[A-Za-zА-яё][a-zа-яё]{3,}(?=[ ,\n]))",
+        # the commonest tokens first, a word with its space as one; what follows shows that no rule below applies
+        r"(?P<pair>(?:[A-Za-z][a-z]*|[А-яё][а-яё]{3,}) (?=[^\s฀-๿]))",
+        r"(?P<simple>(?:[A-Za-z][a-z]*|[А-яё][а-яё]{3,})(?=[,\n]))",
         r"(?P<gap> (?=[^\s฀-๿]))",
         rf"(?P<blank>{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+)",
         rf"(?P<newline>{_BREAK}[^\S\r\n]*)",
@@ -161,7 +162,12 @@ def tokens(text: str) -> tuple[list[int], list[int], list[int]]:
         s, e = m.span()
         code = CODE.get(g)
         if code is None:
-            if g == "simple":
+            if g == "pair":
+                classes.append(lower if text[s].islower() else upper)
+                starts.append(s)
+                ends.append(e - 1)
+                s, code = e - 1, space
+            elif g == "simple":
                 code = lower if text[s].islower() else upper
             elif g == "gap":
                 code = space
