@@ -12,9 +12,9 @@ FLOOR, RATIO = 5, 0.6
 def relocation_candidates(current: DataFrame, known: DataFrame, source: str, record: str, digest: str, floor: int = FLOOR, ratio: float = RATIO) -> DataFrame:
     """(source, candidate, matched, total, ratio): known sources whose records turn up under another name.
 
-    Fingerprints are distinct per source; a fingerprint that many sources share is
-    matched through one aggregate per fingerprint and never as pairs of rows of one
-    source. Null ids or digests match nothing.
+    Fingerprints are distinct per source before they meet, so repeated rows cost
+    nothing; pairs of sources are counted with a map-side part. Null ids or digests match
+    nothing.
     """
     prints = lambda df: df.where(F.col(record).isNotNull() & F.col(digest).isNotNull() & F.col(source).isNotNull()).select(F.col(source).alias("s"), F.col(record).alias("r"), F.col(digest).alias("d")).distinct()
     now, before = prints(current), prints(known)

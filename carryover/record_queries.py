@@ -282,13 +282,13 @@ def plan_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT DISTINCT canonical_id, scope, scope_qualifier FROM canonical_record)
-SELECT scope || coalesce(': ' || scope_qualifier, '') AS label, count(*) AS entries, md5(string_agg('- [' || canonical_id || '](memories/' || canonical_id || '.md)', chr(10) ORDER BY canonical_id)) AS block_hash FROM r GROUP BY 1""")
+SELECT scope || coalesce(': ' || scope_qualifier, '') AS label, count(*) AS entries, min(line) AS first, max(line) AS last, sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT AS digest FROM (SELECT *, '- [' || canonical_id || '](memories/' || canonical_id || '.md)' AS line FROM r) GROUP BY 1""")
 def scope_index(spark: SparkSession, d: str) -> DataFrame:
-    """Index entries per scope label, in order (digest of the text block)."""
-    from carryover.sinks.notes import index_blocks
+    """Index entries per scope label: how many, first, last, and a digest of all lines."""
+    from carryover.sinks.notes import index_lines, index_summary
 
     r = table(spark, d, "canonical_record").select("canonical_id", "scope", "scope_qualifier").distinct()
-    return index_blocks(r).select("label", "entries", F.md5("block").alias("block_hash"))
+    return index_summary(index_lines(r))
 
 
 @query("""SELECT canonical_id, CASE source_kind WHEN 'profile' THEN 'identity' WHEN 'identity' THEN 'identity' WHEN 'instruction' THEN 'procedural' WHEN 'procedural' THEN 'procedural' WHEN 'episodic' THEN 'episodic' WHEN 'working' THEN 'working' ELSE 'semantic' END AS kind,

@@ -64,15 +64,23 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     return parts.select("path", F.from_json(F.concat(F.lit('{"v":'), F.when(value != "", value).otherwise("null"), F.lit("}")), "v string")["v"].alias("canonical_id"), "p.front", "p.body", "p.unclosed")
 
 
-def index_blocks(df: DataFrame) -> DataFrame:
-    """(label, entries, block): the index lines of each scope, in order of id.
-
-    A block is text of a document and grows with its scope; it is gathered as sorted
-    lines of ids only.
-    """
+def index_lines(df: DataFrame) -> DataFrame:
+    """(label, canonical_id, line): the index line of each record under its scope."""
     label = F.concat("scope", F.coalesce(F.concat(F.lit(": "), "scope_qualifier"), F.lit("")))
     line = F.concat(F.lit("- ["), "canonical_id", F.lit("](memories/"), "canonical_id", F.lit(".md)"))
-    return df.groupBy(label.alias("label")).agg(F.count("*").alias("entries"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("block"))
+    return df.select(label.alias("label"), "canonical_id", line.alias("line"))
+
+
+def index_summary(lines: DataFrame) -> DataFrame:
+    """(label, entries, first, last, digest) of each scope; the digest doesn't depend on order."""
+    part = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")
+    return lines.groupBy("label").agg(F.count("*").alias("entries"), F.min("line").alias("first"), F.max("line").alias("last"), F.sum(part).alias("digest"))
+
+
+def write_index(lines: DataFrame, path: str) -> None:
+    """Index files in order of scope and id: ranges of lines, so that no scope is gathered in one task."""
+    ordered = lines.repartitionByRange("label", "canonical_id").sortWithinPartitions("label", "canonical_id")
+    ordered.select(F.concat_ws("\t", "label", "line").alias("value")).write.mode("overwrite").text(path)
 
 
 def prepend_log(old: str | None, day: str, added: int, updated: int) -> str:

@@ -165,3 +165,12 @@ def test_stream_of_snapshots(spark, tmp_path):
         stream = spark.readStream.schema("id string, h string").parquet(src)
         follow_snapshots(stream, "id", "h", state, out, cp).awaitTermination()
     assert rows(spark.read.parquet(out), "batch", "id", "change") == [(0, "a", "added"), (0, "b", "added"), (1, "a", "removed"), (1, "b", "changed"), (1, "c", "added")]
+
+
+def test_index(spark, tmp_path):
+    df = records(spark, [(x * 32, "project" if x in "bc" else "user", "q" if x in "bc" else None, None, x) for x in "cab"])
+    lines = notes.index_lines(df)
+    assert [(r["label"], r["entries"], r["first"][3]) for r in notes.index_summary(lines).orderBy("label").collect()] == [("project: q", 2, "b"), ("user", 1, "a")]
+    notes.write_index(lines, str(tmp_path / "index"))
+    text = [r[0] for r in spark.read.text(str(tmp_path / "index")).collect()]
+    assert sorted(text) == sorted(f"{label}\t- [{x * 32}](memories/{x * 32}.md)" for label, x in (("project: q", "b"), ("project: q", "c"), ("user", "a")))
