@@ -61,7 +61,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The place of every sentence of every document."""
-    return sentences(table(spark, d, "documents", heavy=True)).select("doc_id", "start_pos", "end_pos")
+    return sentences(table(spark, d, "documents", heavy=True), bodies=False).select("doc_id", "start_pos", "end_pos")
 
 
 def p9_sentences(spark: SparkSession, d: str) -> DataFrame:

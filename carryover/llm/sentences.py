@@ -344,11 +344,14 @@ def split(text: str, chunk: int = CHUNK_TOKENS) -> list[tuple[int, int]]:
     return spans
 
 
-def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sentence_no, start_pos, end_pos, sentence): each sentence of each document."""
+def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bodies: bool = True) -> DataFrame:
+    """(doc_id, sentence_no, start_pos, end_pos, sentence): each sentence of each document.
+
+    Without ``bodies`` the text of the sentences is left out.
+    """
     names = [f"sentence_{n}" if n == doc_id else n for n in ("sentence_no", "start_pos", "end_pos", "sentence")]
     src = df.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in names[:3]), T.StructField(names[3], T.StringType())])
+    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), *(T.StructField(n, T.LongType()) for n in names[:3]), *([T.StructField(names[3], T.StringType())] if bodies else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,8 +362,10 @@ def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                     no.append(k)
                     start.append(s + 1)
                     end.append(e)
-                    body.append(value[s:e])
+                    if bodies:
+                        body.append(value[s:e])
             ints = (pa.array(x, pa.int64()) for x in (no, start, end))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *ints, pa.array(body, pa.string())], names=schema.names)
+            texts = [pa.array(body, pa.string())] if bodies else []
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *ints, *texts], names=schema.names)
 
     return src.mapInArrow(run, schema)
