@@ -259,7 +259,7 @@ def _cuts(pend: str, cls: str) -> bool:
         return spaced and cls in ("upper", "digit", "inverted", "dq_open", "lq_open", "br_open")
     if not spaced:
         return cls in joined
-    if base in ("fin", "ell"):
+    if base in ("fin", "ell", "strong"):
         return cls != "lower"
     return True
 

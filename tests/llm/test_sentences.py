@@ -14,6 +14,7 @@ CASES = [
     ['The memo said "Keep it. Do not merge it." and nobody objected.', '"It failed twice."', "Another."],
     ['"Is it approved?" asked the reviewer.', "He asked: 'Who owns it?' but got no reply."],
     ["Sync stalled… then it went on.", "Nobody knows why…", "The rule (which is old. Very old.) still holds.", "(See the appendix, p. 3.)", "5 of the files were skipped."],
+    ["Stop!! the vault is read-only.", "Really?", "Yes!", "iNotes-x starts small."],
     ["It ends at 7 p.m.", "The U.S. copy of Quavith Inc. lags behind.", "Tags, etc. are kept.", "Kept notes, logs, etc.", "阅读清单移动了全部标签。"],
     ["Das gilt z. B. für x, d. h. für alle Ordner.", "Am 9. Mai lag der Wert bei 9.700,9 Punkten.", "Siehe Nr. 4 usw. im Ordner.", "„Ist es fertig?“, fragte das Team.", "Der Vermerk „Nicht löschen. Niemals.“ blieb stehen."],
     ["La note « Ne rien fusionner. Jamais. » reste en place.", "Pourquoi garder x.zip ?", "M. Crun garde env. 6 fiches, c.-à-d. tout le lot.", "Voir l'art. 5 al. 2 pour y."],
