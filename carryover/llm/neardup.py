@@ -4,14 +4,18 @@ Two texts are alike when the sets of their character n-grams share at least
 ``threshold`` of their union. Texts are normalised and identical ones are represented
 once, by a 128-bit digest, so copies cost nothing and are never paired in the search.
 
-1. Frequencies of all tokens are counted into a table of 2^22 hashed counters. A token
-   that occurs in one text can't be shared and leaves the search.
+1. Frequencies of all tokens in different texts are counted into a table of 2^22 hashed
+   counters. A token that occurs in one text can't be shared and leaves the search.
 2. Each text is indexed under ``orders`` token orders. In each it takes its first token
    if that is rare; while the tokens taken so far are so frequent that more than
    ``bucket`` texts would be expected to share them, the prefix is extended, and the
    combination of its tokens is the index key. Half of the orders prefer rare tokens.
 3. Texts that share a key, are of compatible size and whose 256-bit sketches don't rule
    the threshold out are candidates; candidates are verified on their whole sets.
+4. Hot texts, whose most frequent tokens (as many as a partner must share) need more than
+   ``HOT_COMBINATION`` in a combination on average, are compared among themselves in
+   blocks instead, by an upper bound of what they share that loses no pair. A pair of
+   which one text isn't hot shares tokens that are rare enough for the combinations.
 
 Why not one order and a pigeonhole bound: at 0.6 on 5-character tokens a lossless prefix
 needs a quarter to two fifths of all tokens, most of them frequent, and meets nearly all
@@ -39,6 +43,8 @@ from carryover.session import cut
 TABLE_BITS = 22
 SKETCH_BITS = 256
 MAX_COMBINATION = 8
+HOT_COMBINATION = 3.5
+BLOCK_TEXTS, BLOCK_CHARS, BLOCK_TOKENS = 2_000, 4_000_000, 4096
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -79,7 +85,7 @@ def texts(df: DataFrame, text: str, ident: str, min_chars: int) -> DataFrame:
 
 
 def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(hashed counters of the tokens of all texts, number of texts): 16 MB, whatever the corpus."""
+    """(hashed counters of the tokens of all rows, number of rows): 16 MB, whatever the corpus."""
     shift = np.uint64(64 - TABLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +149,13 @@ class Indexer:
                 break
         return key
 
+    def hot(self, hashes: np.ndarray, threshold: float) -> bool:
+        """Whether a text alike may share only tokens too frequent for short combinations."""
+        df = self.table[(hashes >> self.shift).astype(np.int64)]
+        rare = np.sort(np.maximum(self.log_n - np.log(np.maximum(df, 1)), 0.05))
+        least = rare[: max(1, int(np.ceil(threshold * len(rare) - 1e-9)))]
+        return len(rare) > 0 and self.log_n - self.log_bucket > HOT_COMBINATION * least.mean()
+
     @staticmethod
     def sketch(hashes: np.ndarray) -> np.ndarray:
         """One bit of the least hash in each of 256 ranges, as four integers."""
@@ -155,11 +168,9 @@ class Indexer:
         return np.packbits(bits).view(">i8").astype(np.int64)
 
 
-def index_rows(src: DataFrame, table: np.ndarray, count: int, width: int, orders: int, bucket: float) -> DataFrame:
-    """(key, d1, d2, size, s1 to s4): each text under its keys."""
-    shared = src.sparkSession.sparkContext.broadcast(table)
-    # copies are dropped before they are indexed; a text that much of the corpus repeats shrinks map-side
-    once = src.groupBy("d1", "d2").agg(F.max("t").alias("t"))
+def index_rows(once: DataFrame, table: np.ndarray, count: int, width: int, orders: int, bucket: float, threshold: float) -> DataFrame:
+    """(key, d1, d2, size, s1 to s4, hot): each text of ``once`` under its keys."""
+    shared = once.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indexer = Indexer(shared.value, count, width, orders, bucket)
@@ -169,11 +180,77 @@ def index_rows(src: DataFrame, table: np.ndarray, count: int, width: int, orders
             take = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             sketches = np.array([Indexer.sketch(h) for h in hashes], np.int64).reshape(-1, 4)[take]
             sizes = np.array([len(h) for h in hashes], np.int32)[take]
+            hot = np.array([indexer.hot(h, threshold) for h in hashes], bool)[take]
             key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
             at = pa.array(take)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4))], names=["key", "d1", "d2", "size", "s1", "s2", "s3", "s4"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4)), pa.array(hot)], names=["key", "d1", "d2", "size", "s1", "s2", "s3", "s4", "hot"])
+
+    return once.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint, hot boolean")
+
 
-    return once.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
+def hot_texts(once: DataFrame, table: np.ndarray, count: int, width: int, bucket: float, threshold: float) -> DataFrame:
+    """(t, d1, d2, scale): the hot texts; texts alike differ by one ``scale`` at most."""
+    shared = once.sparkSession.sparkContext.broadcast(table)
+    step = 1.001 * max(0.05, -np.log(threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexer = Indexer(shared.value, count, width, 1, bucket)
+        for batch in batches:
+            hashes = token_hashes(batch.column(0).to_pylist(), width)
+            at = [k for k, h in enumerate(hashes) if indexer.hot(h, threshold)]
+            scale = pa.array([int(np.log(len(hashes[k])) / step) for k in at], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), scale], names=["t", "d1", "d2", "scale"])
+
+    return once.select("t", "d1", "d2").mapInArrow(run, "t string, d1 bigint, d2 bigint, scale int")
+
+
+def hot_pairs(hot: DataFrame, width: int, threshold: float) -> DataFrame | None:
+    """(a1, a2, b1, b2): all pairs of ``hot_texts`` that may reach the threshold; None without texts.
+
+    Texts are dealt to blocks of one scale and bounded size; each pair of blocks of
+    neighbouring scales is compared in one task. Tokens that a hundredth of the texts of a
+    pair of blocks hold are counted as a product of matrices; of the others, the shorter
+    rest bounds what is shared.
+    """
+    known = hot.groupBy("scale").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).orderBy("scale").collect()
+    if not known:
+        return None
+    sizes = {r["scale"]: max(1, -(-r["n"] // BLOCK_TEXTS), -(-r["chars"] // BLOCK_CHARS)) for r in known}
+    first = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
+    near = lambda g: [k for k in (g - 1, g, g + 1) if k in sizes]
+    places = [(g, n, first[g], first[near(g)[0]], first[near(g)[-1]] + sizes[near(g)[-1]] - 1) for g, n in sizes.items()]
+    place = hot.sparkSession.createDataFrame(places, "scale int, n int, start int, y0 int, y1 int")
+    dealt = hot.join(F.broadcast(place), "scale").withColumn("x", (F.col("start") + F.pmod("d1", "n")).cast("int")).withColumn("y", F.explode(F.sequence("y0", "y1")))
+
+    def run(group: pa.Table) -> pa.Table:
+        x, lo, hi = group.column("x").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        hashes = token_hashes(group.column("t").to_pylist(), width)
+        size = np.array([len(h) for h in hashes], np.int64)
+        owner = np.repeat(np.arange(len(hashes)), size)
+        _, code, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        common = n >= max(2, len(hashes) // 100)
+        col = np.where(common, np.cumsum(common) - 1, -1)[code]
+        left, right = np.flatnonzero(x == lo), np.flatnonzero(x == hi)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for k in range(0, int(common.sum()), BLOCK_TOKENS):
+            now = (col >= k) & (col < k + BLOCK_TOKENS)
+            bits = np.zeros((len(hashes), BLOCK_TOKENS), np.float32)
+            bits[owner[now], col[now] - k] = 1
+            both += bits[left] @ bits[right].T
+        rest = size - np.bincount(owner[col >= 0], minlength=len(size))
+        both += np.minimum(rest[left][:, None], rest[right][None, :])
+        i, j = np.nonzero(both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-2)
+        d1, d2 = group.column("d1").to_numpy(), group.column("d2").to_numpy()
+        a, b = left[i], right[j]
+        before = (d1[a] < d1[b]) | (d1[a] == d1[b]) & (d2[a] < d2[b])
+        if lo == hi:
+            a, b = a[before], b[before]
+        else:
+            a, b = np.where(before, a, b), np.where(before, b, a)
+        return pa.table({"a1": d1[a], "a2": d2[a], "b1": d1[b], "b2": d2[b]})
+
+    pairs = dealt.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "t", "d1", "d2")
+    return pairs.groupBy("lo", "hi").applyInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
@@ -183,13 +260,13 @@ def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
 
 
 def candidate_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of digests that share a key and may reach the threshold."""
+    """(a1, a2, b1, b2): pairs of digests that share a key, may reach the threshold and aren't both hot."""
     # both sides are the rows as they are, so that one exchange serves both and the planner can split hot keys
     a, b = rows.alias("a"), rows.alias("b")
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in (1, 2, 3, 4)), F.lit(0))
     sizes = (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
     ordered = (F.col("a.d1") < F.col("b.d1")) | (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") < F.col("b.d2"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ordered & sizes & (differ <= sketch_limit(threshold)))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ~(F.col("a.hot") & F.col("b.hot")) & ordered & sizes & (differ <= sketch_limit(threshold)))
     return met.select(F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2")).distinct()
 
 
@@ -221,10 +298,15 @@ def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) ->
 def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 48, bucket: float = 20.0) -> DataFrame:
     """(a1, a2, b1, b2, similarity): all links between different texts of ``texts``.
 
-    Starts the counting job; the rest is lazy up to the checkpoints of ``verified``.
+    Starts the jobs that count tokens and find hot texts; the rest is lazy up to the
+    checkpoints of ``verified``.
     """
-    table, count = frequencies(src, width)
-    return verified(candidate_pairs(index_rows(src, table, count, width, orders, bucket), threshold), src, width, threshold)
+    # copies are dropped before they are counted; a text that much of the corpus repeats shrinks map-side
+    once = cut(src.groupBy("d1", "d2").agg(F.max("t").alias("t")))
+    table, count = frequencies(once, width)
+    pairs = candidate_pairs(index_rows(once, table, count, width, orders, bucket, threshold), threshold)
+    hot = hot_pairs(cut(hot_texts(once, table, count, width, bucket, threshold)), width, threshold)
+    return verified(pairs if hot is None else pairs.union(hot), once, width, threshold)
 
 
 def id_pairs(found: DataFrame, src: DataFrame) -> DataFrame:

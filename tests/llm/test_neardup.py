@@ -111,3 +111,31 @@ def test_orders_parameter(spark, orders):
     src = nd.texts(frame(spark, data), "content", "t", 40)
     got = rows(nd.id_pairs(nd.links(src, 0.8, orders=orders), src))
     assert got == brute(data, 0.8, 40)
+
+
+def near(rng, words, share):
+    """``words`` with a share of them, spread at random, replaced by words of no other text."""
+    return " ".join(w if rng.random() > share else "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for w in words)
+
+
+def strangers(rng, n):
+    return [(f"o{k}", " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(12))) for k in range(n)]
+
+
+def test_edits_of_a_text_that_a_third_of_the_rows_repeat(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a, b in zip(rng.choices(WORDS, k=20), rng.choices(WORDS, k=20), strict=True)]
+    hot = " ".join(words)
+    edits = [t for t in (near(rng, words, rng.uniform(0.1, 0.25)) for _ in range(1500)) if 0.6 <= jaccard(hot, t) <= 0.66][:200]
+    src = nd.texts(frame(spark, [(f"h{k}", hot) for k in range(3000)] + strangers(rng, 6000) + [(f"e{k}", t) for k, t in enumerate(edits)]), "content", "t", 40)
+    d1 = src.where("i = 'h0'").first()["d1"]
+    assert nd.links(src).where((F.col("a1") == d1) | (F.col("b1") == d1)).count() == len(edits) == 200
+
+
+def test_family_of_different_edits(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a, b in zip(rng.choices(WORDS, k=30), rng.choices(WORDS, k=30), strict=True)]
+    family = [(f"f{k}", near(rng, words, rng.uniform(0, 0.16))) for k in range(250)]
+    src = nd.texts(frame(spark, family + strangers(rng, 500)), "content", "t", 40)
+    # a small bucket needs as many tokens here as the usual one in a large corpus
+    assert rows(nd.id_pairs(nd.links(src, bucket=1.0), src)) == brute(family, 0.6, 40)
