@@ -7,7 +7,7 @@ neighbours is compared by the values that shared records carry, joined on the va
 digest, so no pairs of paths or records are spelled out.
 
 ``consistent_table`` splits paths of conflicting types into one typed branch per tag
-plus a canonical text, under the newest name of renamed paths.
+plus a canonical text, under one name of renamed paths, in array elements too.
 
 Defined results: invalid lines and JSON that isn't an object have no paths; files
 without a valid line still count as files; null values don't count; lines delivered
@@ -195,57 +195,92 @@ def fused_schema(df: DataFrame, family: str, feed: str, file: str, payload: str)
     )
 
 
-def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, int], keep: list[str], payload: str) -> DataFrame:
+def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, int], keep: list[str], payload: str, by_feed: dict[int, dict[str, str]] | None = None, feed: str = "feed_id") -> DataFrame:
     """One row per valid line: ``keep``, then a column per object path of ``schema`` (path -> tags).
 
-    Paths inside arrays stay in their array's JSON text; ``renames`` maps old to
-    newest names. A path of one scalar type is a column of that type; otherwise it has
-    a branch ``path__type`` per type and the canonical text ``path``. Column names
-    that clash with ``keep`` get the prefix ``value_``.
+    ``renames`` maps old to newest names; ``by_feed``, of ``canonical_names``, maps the
+    names of each feed instead, and a line that holds two names of one field keeps the
+    second in the column of its own name. A path of one scalar type is a column of that
+    type; otherwise it has a branch ``path__type`` per type and the canonical text
+    ``path``. Column names that clash with ``keep`` get the prefix ``value_``. Arrays are
+    JSON text whose objects are laid out in the same way, by paths inside the array.
     """
+    own = by_feed is not None
+    linked = {path for names in (by_feed or {}).values() for path in names}
+
+    def target(path: str, names: dict[str, str] | None) -> str:
+        if own:
+            return (names or {}).get(path, path)
+        while path in renames and renames[path] in schema and renames[path] != path:
+            path = renames[path]
+        return path
+
     newest: dict[str, int] = {}
     for path, tags in schema.items():
-        if "[]" not in path:
-            while path in renames and renames[path] in schema and renames[path] != path:
-                path = renames[path]
-            newest[path] = newest.get(path, 0) | tags
+        into = {target(path, n) for n in by_feed.values()} | {path} if own and path in linked else {target(path, None)}
+        for name in into:
+            newest[name] = newest.get(name, 0) | tags
     arrow = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), "object": pa.string(), "array": pa.string()}
     spark = {"string": "string", "number": "double", "boolean": "boolean", "object": "string", "array": "string"}
+    kinds_of = {path: [k for k, v in TAGS.items() if tags & v] for path, tags in newest.items()}
     columns: list[tuple[str, str, str]] = []  # name, path, type or '' for the canonical text
-    for path, tags in sorted(newest.items()):
-        kinds = [k for k, v in TAGS.items() if tags & v]
-        if kinds == ["object"]:
+    for path, kinds in sorted(kinds_of.items()):
+        if kinds == ["object"] or "[]" in path:
             continue
         name = f"value_{path}" if path in keep else path
         columns += [(name, path, kinds[0])] if len(kinds) == 1 else [(name, path, ""), *((f"{name}__{k}", path, k) for k in kinds)]
-    kept = df.select(*keep, payload)
+    kept = df.select(*keep, *([F.col(feed).cast("bigint").alias("_feed")] if own else []), payload)
     names = [*keep, *(c[0] for c in columns)]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != payload), *(f"`{n}` {spark[k or 'string']}" for n, _, k in columns)])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in (payload, "_feed")), *(f"`{n}` {spark[k or 'string']}" for n, _, k in columns)])
     text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
 
-    def flat(record: dict) -> dict[str, object]:
-        out, todo = {}, [("", record)]
+    def flat(record: dict, at: str, named: dict[str, str] | None) -> dict[str, object]:
+        """path -> value of an object at ``at``, under canonical names; arrays are laid out."""
+        found, todo = [], [(at, record)]
         while todo:
-            at, node = todo.pop()
+            above, node = todo.pop()
             for k, v in node.items():
-                path = f"{at}.{k}" if at else k
-                if v is None:
-                    continue
-                target = path
-                while target in renames and renames[target] in newest and renames[target] != target:
-                    target = renames[target]
-                out.setdefault(target, v)
-                if isinstance(v, dict):
-                    todo.append((path, v))
+                if v is not None:
+                    path = f"{above}.{k}" if above else k
+                    found.append((path, v))
+                    if isinstance(v, dict):
+                        todo.append((path, v))
+        out: dict[str, object] = {}
+        for path, v in sorted(found, key=lambda x: target(x[0], named) != x[0]):  # a field under its own name goes first
+            name = target(path, named)
+            v = laid_out(v, path, named) if isinstance(v, list) else v
+            if name in out and path not in out:
+                name = path
+            out.setdefault(name, v)
         return out
 
+    def laid_out(values: list, path: str, named: dict[str, str] | None) -> list:
+        made = []
+        for v in values:
+            if isinstance(v, list):
+                v = laid_out(v, path + "[]", named)
+            elif isinstance(v, dict):
+                cells: dict[str, object] = {}
+                for name, x in flat(v, path + "[]", named).items():
+                    inner = next((name[len(p) + 3 :] for p in (target(path, named), path) if name.startswith(p + "[].")), name)
+                    kinds = kinds_of.get(name, [])
+                    if len(kinds) > 1:
+                        cells[inner] = text(x)
+                        cells[f"{inner}__{next(k for k, b in TAGS.items() if b == tag(x))}"] = x
+                    elif kinds != ["object"] or not x:
+                        cells[inner] = x
+                v = cells
+            made.append(v)
+        return made
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = [], []
+            feeds = batch.column(len(keep)).to_pylist() if own else [None] * batch.num_rows
             for n, line in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 record = read_object(line)
                 if record is not None:
-                    rows.append(flat(record))
+                    rows.append(flat(record, "", by_feed.get(feeds[n]) if own else None))
                     at.append(n)
             take = pa.array(at, pa.int64())
             made = []
@@ -257,11 +292,39 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
                     bit = TAGS[kind]
                     cells = [v if v is not None and tag(v) == bit else None for v in cells]
                     made.append(pa.array([None if v is None else float(v) if kind == "number" else text(v) if kind in ("object", "array") else v for v in cells], arrow[kind]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(batch.num_columns - 1)), *made], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keep))), *made], names=names)
 
     return kept.mapInArrow(run, ddl)
 
 
+def canonical_names(renames: list[tuple[int, str, str]]) -> dict[int, dict[str, str]]:
+    """feed -> {path: canonical path} from all (feed, old path, new path).
+
+    Names linked in any feed are one field. Its canonical path is the name most feeds
+    start from, so that feeds which never renamed it hold it there too; a feed maps only
+    the names that it linked itself.
+    """
+    head: dict[str, str] = {}
+
+    def find(path: str) -> str:
+        while head.setdefault(path, path) != path:
+            path = head[path]
+        return path
+
+    starts: dict[str, int] = {}
+    for _, old, new in renames:
+        head[find(new)] = find(old)
+        starts[old] = starts.get(old, 0) + 1
+        starts[new] = starts.get(new, 0) - 1
+    best: dict[str, str] = {}
+    for path in sorted(starts, key=lambda p: (-starts[p], p)):
+        best.setdefault(find(path), path)
+    out: dict[int, dict[str, str]] = {}
+    for feed, old, new in renames:
+        out.setdefault(feed, {}).update({old: best[find(old)], new: best[find(new)]})
+    return out
+
+
 def acyclic(renames: dict[str, str]) -> dict[str, str]:
     """``renames`` without the links that would lead back (a name given up and taken again)."""
     out: dict[str, str] = {}

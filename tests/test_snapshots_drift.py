@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from carryover.operators.drift import acyclic, consistent_table, fused_schema, schema_changes
+from carryover.operators.drift import acyclic, canonical_names, consistent_table, fused_schema, schema_changes
 from carryover.operators.snapshots import snapshot_changes, tree_bits
 from tests.conftest import rows
 
@@ -89,3 +89,23 @@ def test_empty(spark):
     df = export(spark, [(1, 1, ["x"])]).limit(0)
     assert schema_changes(df, "feed_id", "file_no", "payload").count() == 0
     assert fused_schema(df, "fam", "feed_id", "file_no", "payload").count() == 0
+
+
+def test_feeds_that_rename_one_path_differently(spark):
+    names = canonical_names([(1, "text", "body"), (2, "text", "content"), (2, "content", "note")])
+    assert names == {1: {"text": "text", "body": "text"}, 2: {"text": "text", "content": "text", "note": "text"}}
+    data = [(1, '{"text": "a"}'), (1, '{"body": "b"}'), (2, '{"content": "c"}'), (2, '{"note": "d"}'), (3, '{"text": "e"}'), (3, '{"body": "other"}'), (1, '{"text": "f", "body": "g"}')]
+    df = spark.createDataFrame(data, "feed_id int, payload string")
+    got = consistent_table(df, {}, {k: 1 for k in ("text", "body", "content", "note")}, ["feed_id"], "payload", names)
+    want = [(1, "a", None), (1, "b", None), (1, "f", "g"), (2, "c", None), (2, "d", None), (3, "e", None), (3, None, "other")]
+    assert rows(got, "feed_id", "text", "body") == sorted(want, key=repr)
+    assert rows(got.selectExpr("count(content)", "count(note)")) == [(0, 0)]
+
+
+def test_drift_inside_arrays(spark):
+    data = [(1, '{"m": [{"body": "x", "e": {"on": true}}, {"body": "z", "e": {"on": "yes"}}]}'), (2, '{"m": [{"content": "y", "e": {"on": 1}}]}')]
+    df = spark.createDataFrame(data, "feed_id int, payload string")
+    schema = {"m": 16, "m[].body": 1, "m[].content": 1, "m[].e": 8, "m[].e.on": 7}
+    got = consistent_table(df, {}, schema, ["feed_id"], "payload", canonical_names([(2, "m[].body", "m[].content")]))
+    made = {r[0]: json.loads(r[1]) for r in got.select("feed_id", "m").collect()}
+    assert made == {1: [{"body": "x", "e.on": "true", "e.on__boolean": True}, {"body": "z", "e.on": "yes", "e.on__string": "yes"}], 2: [{"body": "y", "e.on": "1", "e.on__number": 1}]}
