@@ -202,7 +202,8 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
     names of each feed instead, and a line that holds two names of one field keeps the
     second in the column of its own name. A path of one scalar type is a column of that
     type; otherwise it has a branch ``path__type`` per type and the canonical text
-    ``path``. Column names that clash with ``keep`` get the prefix ``value_``. Arrays are
+    ``path``. Column names that clash with ``keep`` get the prefix ``value_``, those that
+    differ from another in case alone an underscore at the end. Arrays are
     JSON text whose objects are laid out in the same way, by paths inside the array.
     """
     own = by_feed is not None
@@ -223,11 +224,19 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
     arrow = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), "object": pa.string(), "array": pa.string()}
     spark = {"string": "string", "number": "double", "boolean": "boolean", "object": "string", "array": "string"}
     kinds_of = {path: [k for k, v in TAGS.items() if tags & v] for path, tags in newest.items()}
+    canonical = {name for names in (by_feed or {}).values() for name in names.values()}
+    label, used = {}, set()  # names that differ in case alone would clash in files
+    for path in sorted(kinds_of, key=lambda p: (p in linked and p not in canonical, p)):
+        if kinds_of[path] != ["object"] and "[]" not in path:
+            label[path] = f"value_{path}" if path in keep else path
+            while label[path].lower() in used:
+                label[path] += "_"
+            used.add(label[path].lower())
     columns: list[tuple[str, str, str]] = []  # name, path, type or '' for the canonical text
     for path, kinds in sorted(kinds_of.items()):
         if kinds == ["object"] or "[]" in path:
             continue
-        name = f"value_{path}" if path in keep else path
+        name = label[path]
         columns += [(name, path, kinds[0])] if len(kinds) == 1 else [(name, path, ""), *((f"{name}__{k}", path, k) for k in kinds)]
     kept = df.select(*keep, *([F.col(feed).cast("bigint").alias("_feed")] if own else []), payload)
     names = [*keep, *(c[0] for c in columns)]

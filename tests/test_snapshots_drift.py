@@ -109,3 +109,10 @@ def test_drift_inside_arrays(spark):
     got = consistent_table(df, {}, schema, ["feed_id"], "payload", canonical_names([(2, "m[].body", "m[].content")]))
     made = {r[0]: json.loads(r[1]) for r in got.select("feed_id", "m").collect()}
     assert made == {1: [{"body": "x", "e.on": "true", "e.on__boolean": True}, {"body": "z", "e.on": "yes", "e.on__string": "yes"}], 2: [{"body": "y", "e.on": "1", "e.on__number": 1}]}
+
+
+def test_names_that_differ_in_case(spark, tmp_path):
+    df = spark.createDataFrame([(1, '{"loc": "a"}'), (1, '{"Loc": "b"}'), (2, '{"Loc": "c"}')], "feed_id int, payload string")
+    got = consistent_table(df, {}, {"loc": 1, "Loc": 1}, ["feed_id"], "payload", canonical_names([(1, "loc", "Loc")]))
+    got.write.parquet(str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "feed_id", "loc", "Loc_") == [(1, "a", None), (1, "b", None), (2, None, "c")]
