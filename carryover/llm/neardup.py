@@ -210,7 +210,7 @@ def hot_pairs(hot: DataFrame, width: int, threshold: float) -> DataFrame | None:
     Texts are dealt to blocks of one scale and bounded size; each pair of blocks of
     neighbouring scales is compared in one task. Tokens that a hundredth of the texts of a
     pair of blocks hold are counted as a product of matrices; of the others, the shorter
-    rest bounds what is shared.
+    rest bounds what is shared. Pairs within the bound are counted whole.
     """
     known = hot.groupBy("scale").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).orderBy("scale").collect()
     if not known:
@@ -242,6 +242,9 @@ def hot_pairs(hot: DataFrame, width: int, threshold: float) -> DataFrame | None:
         i, j = np.nonzero(both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-2)
         d1, d2 = group.column("d1").to_numpy(), group.column("d2").to_numpy()
         a, b = left[i], right[j]
+        shared = np.array([len(np.intersect1d(hashes[k], hashes[m], assume_unique=True)) for k, m in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
+        alike = shared >= threshold * (size[a] + size[b] - shared) - 1e-6
+        a, b = a[alike], b[alike]
         before = (d1[a] < d1[b]) | (d1[a] == d1[b]) & (d2[a] < d2[b])
         if lo == hi:
             a, b = a[before], b[before]
