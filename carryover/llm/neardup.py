@@ -256,8 +256,8 @@ def hot_pairs(hot: DataFrame, width: int, threshold: float) -> DataFrame | None:
     return pairs.groupBy("lo", "hi").applyInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def sketch_limit(threshold: float, deviations: float = 4.5) -> int:
-    """Differing bits that a pair at ``threshold`` exceeds about once in 300,000 times."""
+def sketch_limit(threshold: float, deviations: float = 6.0) -> int:
+    """Differing bits that a pair at ``threshold`` exceeds less than once in 100 million times."""
     differ = (1 - threshold) / 2
     return min(SKETCH_BITS, round(SKETCH_BITS * differ + deviations * (SKETCH_BITS * differ * (1 - differ)) ** 0.5))
 

@@ -139,3 +139,10 @@ def test_family_of_different_edits(spark):
     src = nd.texts(frame(spark, family + strangers(rng, 500)), "content", "t", 40)
     # a small bucket needs as many tokens here as the usual one in a large corpus
     assert rows(nd.id_pairs(nd.links(src, bucket=1.0), src)) == brute(family, 0.6, 40)
+
+
+def test_sketch_margin():
+    from math import comb
+
+    beyond = sum(comb(256, k) * 0.2**k * 0.8 ** (256 - k) for k in range(nd.sketch_limit(0.6) + 1, 257))
+    assert beyond < 1e-8
