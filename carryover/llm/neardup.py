@@ -4,24 +4,27 @@ Two texts are alike when the sets of their character n-grams share at least
 ``threshold`` of their union. Texts are normalised and identical ones are represented
 once, by a 128-bit digest, so copies cost nothing and are never paired in the search.
 
-1. Frequencies of all tokens in different texts are counted into a table of 2^22 hashed
-   counters. A token that occurs in one text can't be shared and leaves the search.
-2. Each text is indexed under ``orders`` token orders. In each it takes its first token
+1. Frequencies of all tokens in different texts are counted into a table of hashed
+   counters (2^22, or more for many texts, 2^24 at most). A token that occurs in one
+   text can't be shared and leaves the search.
+2. Each text is indexed under several token orders. In each it takes its first token
    if that is rare; while the tokens taken so far are so frequent that more than
    ``bucket`` texts would be expected to share them, the prefix is extended, and the
    combination of its tokens is the index key. Half of the orders prefer rare tokens.
 3. Texts that share a key, are of compatible size and whose 256-bit sketches don't rule
    the threshold out are candidates; candidates are verified on their whole sets.
-4. Hot texts, whose most frequent tokens (as many as a partner must share) need more than
-   ``HOT_COMBINATION`` in a combination on average, are compared among themselves in
-   blocks instead, by an upper bound of what they share that loses no pair. A pair of
-   which one text isn't hot shares tokens that are rare enough for the combinations.
 
 Why not one order and a pigeonhole bound: at 0.6 on 5-character tokens a lossless prefix
 needs a quarter to two fifths of all tokens, most of them frequent, and meets nearly all
-pairs (README, with figures). A pair at similarity s is met in one order with
-probability s^k for combinations of k tokens, so the miss rate falls exponentially with
-``orders``; the tests and the README give the measured recall against brute force.
+pairs (README, with figures). A pair at similarity s that needs k tokens is met in one
+order with probability s^k, so each text takes as many orders as its own worst case
+asks for: if all that a partner shares are its most frequent tokens, k follows from
+their frequencies (at most MAX_COMBINATION), and the orders from k and ``miss``, the
+chance that a pair just at the threshold is lost by the orders that don't prefer rare
+tokens; the others come on top. Both texts of a pair take at least the orders that the
+pair needs, so ``miss`` holds for rare and frequent tokens, small and large corpora
+alike; what grows with frequent tokens is the work, linearly. The tests and the README
+give the measured recall against brute force.
 
 Defined results: null texts and texts shorter than ``min_chars`` after normalisation
 have no links; a text delivered several times under one id counts once; different ids
@@ -40,11 +43,9 @@ from pyspark.sql import functions as F
 
 from carryover.session import cut
 
-TABLE_BITS = 22
+TABLE_BITS, MOST_TABLE_BITS = 22, 24
 SKETCH_BITS = 256
 MAX_COMBINATION = 8
-HOT_COMBINATION = 3.5
-BLOCK_TEXTS, BLOCK_CHARS, BLOCK_TOKENS = 2_000, 4_000_000, 4096
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -85,77 +86,84 @@ def texts(df: DataFrame, text: str, ident: str, min_chars: int) -> DataFrame:
 
 
 def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(hashed counters of the tokens of all rows, number of rows): 16 MB, whatever the corpus."""
-    shift = np.uint64(64 - TABLE_BITS)
+    """(hashed counters of the tokens of all rows, number of rows): 16 to 64 MB, whatever the corpus."""
+    count = src.count()
+    bits = min(MOST_TABLE_BITS, max(TABLE_BITS, (16 * count).bit_length()))
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << TABLE_BITS, np.uint32), 0
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             hashes = token_hashes(batch.column(0).to_pylist(), width)
-            n += len(hashes)
             if hashes:
                 total += np.bincount((np.concatenate(hashes) >> shift).astype(np.int64), minlength=len(total)).astype(np.uint32)
         at = np.flatnonzero(total)
-        # slots are grouped by their upper bits, so a row holds many counters
-        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n]).cast(pa.int64())], names=["slot", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["slot", "n"])
 
-    table = np.zeros(1 << TABLE_BITS, np.uint32)
-    count = 0
-    # every task gives up to 2^22 rows, so there are no more tasks than the cluster can use
+    table = np.zeros(1 << bits, np.uint32)
+    # every task gives up to one row per counter, so there are no more tasks than the cluster can use
     few = src.select("t").coalesce(4 * src.sparkSession.sparkContext.defaultParallelism)
     summed = few.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slots, n = summed.column("slot").to_numpy(), summed.column("n").to_numpy()
-    real = slots >= 0
-    table[slots[real]] = np.minimum(n[real], 2**32 - 1)
-    count = int(n[~real].sum())
+    table[summed.column("slot").to_numpy()] = np.minimum(summed.column("n").to_numpy(), 2**32 - 1)
     return table, count
 
 
 class Indexer:
     """Index keys and sketch of one text."""
 
-    def __init__(self, table: np.ndarray, count: int, width: int, orders: int, bucket: float) -> None:
-        self.table, self.width, self.orders = table, width, orders
-        self.shift = np.uint64(64 - TABLE_BITS)
+    def __init__(self, table: np.ndarray, count: int, threshold: float, bucket: float, miss: float) -> None:
+        self.table, self.threshold, self.log_miss = table, threshold, np.log(miss)
+        self.shift = np.uint64(64 - (len(table).bit_length() - 1))
         self.log_n = np.log(max(count, 2))
-        self.log_bucket = np.log(bucket)
-        self.seeds = (_mix(np.arange(1, orders + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))[:, None]
+        #: how rare the tokens of a key have to be together
+        self.need = max(0.0, self.log_n - np.log(bucket))
+        most = self.orders(float(MAX_COMBINATION))
+        self.seeds = (_mix(np.arange(1, most + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1))
+
+    def orders(self, combination: float) -> int:
+        """Orders that a pair at the threshold needs if it shares keys of so many tokens."""
+        met = self.threshold**combination
+        return 2 if met >= 1 else 2 * int(np.ceil(self.log_miss / np.log1p(-met)))
+
+    def worst(self, rare: np.ndarray) -> float:
+        """Tokens in a key if a partner shares the most frequent tokens only."""
+        m = min(len(rare), max(1, int(np.ceil(self.threshold * len(rare) - 1e-9))))
+        least = np.partition(rare, m - 1)[:m].mean()
+        # the last token of a key overshoots what is needed by half of its share
+        return min(max(1.0, self.need / least + 0.5), MAX_COMBINATION)
 
     def keys(self, hashes: np.ndarray) -> np.ndarray:
         df = self.table[(hashes >> self.shift).astype(np.int64)]
         kept = df > 1
-        h, df = hashes[kept], df[kept]
-        if not len(h):
+        if not kept.any():
             return np.zeros(0, np.uint64)
-        rare = np.maximum(self.log_n - np.log(df), 0.05)  # -ln of the share of texts
-        block = max(2, 4_000_000 // len(h)) // 2 * 2  # long texts take fewer orders at a time
-        return np.concatenate([self._keys(h, rare, self.seeds[k : k + block]) for k in range(0, self.orders, block)])
+        rare = np.maximum(self.log_n - np.log(np.maximum(df, 1)), 0.05)  # -ln of the share of texts
+        orders = self.orders(self.worst(rare))
+        h, rare = hashes[kept], rare[kept].astype(np.float32)
+        block = max(1, 2_000_000 // len(h))  # long texts take fewer orders at a time
+        return np.concatenate([self._keys(h, rare, slice(k, min(k + block, orders // 2)), half) for half in (0, 1) for k in range(0, orders // 2, block)])
 
-    def _keys(self, h: np.ndarray, rare: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    def _keys(self, h: np.ndarray, rare: np.ndarray, which: slice, half: int) -> np.ndarray:
         # one order per row: a product with an odd factor permutes the hashes
-        rank = ((h[None, :] * seeds) >> np.uint64(12)).astype(np.float64)
-        rank[::2] /= rare[None, :]
+        seeds = self.seeds[half::2][which]
+        rank = (h >> np.uint64(32)).astype(np.uint32)[None, :] * (seeds >> np.uint64(32) | np.uint64(1)).astype(np.uint32)[:, None]
+        top = np.uint32(2**32 - 1)
+        if half:  # rare tokens first
+            rank = rank.astype(np.float32) * (1 / rare)
+            top = np.float32(np.inf)
         rows = np.arange(len(seeds))
-        key, left = seeds[:, 0].copy(), np.full(len(seeds), self.log_n)
+        key, left, extended = seeds.copy(), np.full(len(seeds), self.need), np.ones(len(seeds), bool)
         for _ in range(min(MAX_COMBINATION, len(h))):
-            at = rank[rows].argmin(axis=1)
-            key[rows] = _mix(key[rows] * np.uint64(0x9E3779B97F4A7C15) ^ h[at])
-            left[rows] -= rare[at]
-            rank[rows, at] = np.inf
+            at = rank.argmin(axis=1)
+            key = np.where(extended, _mix(key * np.uint64(0x9E3779B97F4A7C15) ^ h[at]), key)
+            left -= rare[at]
             # extended while too many texts are expected to share the tokens taken so far
-            rows = rows[left[rows] > self.log_bucket]
-            if not len(rows):
+            extended &= left > 0
+            if not extended.any():
                 break
+            rank[rows, at] = top
         return key
 
-    def hot(self, hashes: np.ndarray, threshold: float) -> bool:
-        """Whether a text alike may share only tokens too frequent for short combinations."""
-        df = self.table[(hashes >> self.shift).astype(np.int64)]
-        rare = np.sort(np.maximum(self.log_n - np.log(np.maximum(df, 1)), 0.05))
-        least = rare[: max(1, int(np.ceil(threshold * len(rare) - 1e-9)))]
-        return len(rare) > 0 and self.log_n - self.log_bucket > HOT_COMBINATION * least.mean()
-
     @staticmethod
     def sketch(hashes: np.ndarray) -> np.ndarray:
         """One bit of the least hash in each of 256 ranges, as four integers."""
@@ -168,148 +176,81 @@ class Indexer:
         return np.packbits(bits).view(">i8").astype(np.int64)
 
 
-def index_rows(once: DataFrame, table: np.ndarray, count: int, width: int, orders: int, bucket: float, threshold: float) -> DataFrame:
-    """(key, d1, d2, size, s1 to s4, hot): each text of ``once`` under its keys."""
+def index_rows(once: DataFrame, table: np.ndarray, count: int, width: int, threshold: float, bucket: float, miss: float) -> DataFrame:
+    """(key, u, size, s1 to s4): each text of ``once`` under its keys."""
     shared = once.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexer = Indexer(shared.value, count, width, orders, bucket)
+        indexer = Indexer(shared.value, count, threshold, bucket, miss)
         for batch in batches:
             hashes = token_hashes(batch.column(0).to_pylist(), width)
-            keys = [np.unique(indexer.keys(h)) for h in hashes]
+            keys = [indexer.keys(h) for h in hashes]
             take = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             sketches = np.array([Indexer.sketch(h) for h in hashes], np.int64).reshape(-1, 4)[take]
             sizes = np.array([len(h) for h in hashes], np.int32)[take]
-            hot = np.array([indexer.hot(h, threshold) for h in hashes], bool)[take]
             key = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            at = pa.array(take)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4)), pa.array(hot)], names=["key", "d1", "d2", "size", "s1", "s2", "s3", "s4", "hot"])
-
-    return once.select("t", "d1", "d2").mapInArrow(run, "key bigint, d1 bigint, d2 bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint, hot boolean")
-
-
-def hot_texts(once: DataFrame, table: np.ndarray, count: int, width: int, bucket: float, threshold: float) -> DataFrame:
-    """(t, d1, d2, scale): the hot texts; texts alike differ by one ``scale`` at most."""
-    shared = once.sparkSession.sparkContext.broadcast(table)
-    step = 1.001 * max(0.05, -np.log(threshold))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexer = Indexer(shared.value, count, width, 1, bucket)
-        for batch in batches:
-            hashes = token_hashes(batch.column(0).to_pylist(), width)
-            at = [k for k, h in enumerate(hashes) if indexer.hot(h, threshold)]
-            scale = pa.array([int(np.log(len(hashes[k])) / step) for k in at], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns), scale], names=["t", "d1", "d2", "scale"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(1).take(pa.array(take)), pa.array(sizes), *(pa.array(np.ascontiguousarray(sketches[:, k])) for k in range(4))], names=["key", "u", "size", "s1", "s2", "s3", "s4"])
 
-    return once.select("t", "d1", "d2").mapInArrow(run, "t string, d1 bigint, d2 bigint, scale int")
+    return once.select("t", "u").mapInArrow(run, "key bigint, u bigint, size int, s1 bigint, s2 bigint, s3 bigint, s4 bigint")
 
 
-def hot_pairs(hot: DataFrame, width: int, threshold: float) -> DataFrame | None:
-    """(a1, a2, b1, b2): all pairs of ``hot_texts`` that may reach the threshold; None without texts.
+def sketch_limit(sizes: Column, threshold: float, deviations: float = 6.0) -> Column:
+    """Differing bits that a pair at ``threshold`` exceeds less than once in 100 million times.
 
-    Texts are dealt to blocks of one scale and bounded size; each pair of blocks of
-    neighbouring scales is compared in one task. Tokens that a hundredth of the texts of a
-    pair of blocks hold are counted as a product of matrices; of the others, the shorter
-    rest bounds what is shared. Pairs within the bound are counted whole.
+    ``sizes`` is the sum of both texts' tokens. Of the ranges that the union fills, at
+    most 1 - threshold have different least tokens, and half of those differ in the bit.
     """
-    known = hot.groupBy("scale").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars")).orderBy("scale").collect()
-    if not known:
-        return None
-    sizes = {r["scale"]: max(1, -(-r["n"] // BLOCK_TEXTS), -(-r["chars"] // BLOCK_CHARS)) for r in known}
-    first = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist(), strict=False))
-    near = lambda g: [k for k in (g - 1, g, g + 1) if k in sizes]
-    places = [(g, n, first[g], first[near(g)[0]], first[near(g)[-1]] + sizes[near(g)[-1]] - 1) for g, n in sizes.items()]
-    place = hot.sparkSession.createDataFrame(places, "scale int, n int, start int, y0 int, y1 int")
-    dealt = hot.join(F.broadcast(place), "scale").withColumn("x", (F.col("start") + F.pmod("d1", "n")).cast("int")).withColumn("y", F.explode(F.sequence("y0", "y1")))
-
-    def run(group: pa.Table) -> pa.Table:
-        x, lo, hi = group.column("x").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        hashes = token_hashes(group.column("t").to_pylist(), width)
-        size = np.array([len(h) for h in hashes], np.int64)
-        owner = np.repeat(np.arange(len(hashes)), size)
-        _, code, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-        common = n >= max(2, len(hashes) // 100)
-        col = np.where(common, np.cumsum(common) - 1, -1)[code]
-        left, right = np.flatnonzero(x == lo), np.flatnonzero(x == hi)
-        both = np.zeros((len(left), len(right)), np.float32)
-        for k in range(0, int(common.sum()), BLOCK_TOKENS):
-            now = (col >= k) & (col < k + BLOCK_TOKENS)
-            bits = np.zeros((len(hashes), BLOCK_TOKENS), np.float32)
-            bits[owner[now], col[now] - k] = 1
-            both += bits[left] @ bits[right].T
-        rest = size - np.bincount(owner[col >= 0], minlength=len(size))
-        both += np.minimum(rest[left][:, None], rest[right][None, :])
-        i, j = np.nonzero(both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-2)
-        d1, d2 = group.column("d1").to_numpy(), group.column("d2").to_numpy()
-        a, b = left[i], right[j]
-        shared = np.array([len(np.intersect1d(hashes[k], hashes[m], assume_unique=True)) for k, m in zip(a.tolist(), b.tolist(), strict=True)], np.float64)
-        alike = shared >= threshold * (size[a] + size[b] - shared) - 1e-6
-        a, b = a[alike], b[alike]
-        before = (d1[a] < d1[b]) | (d1[a] == d1[b]) & (d2[a] < d2[b])
-        if lo == hi:
-            a, b = a[before], b[before]
-        else:
-            a, b = np.where(before, a, b), np.where(before, b, a)
-        return pa.table({"a1": d1[a], "a2": d2[a], "b1": d1[b], "b2": d2[b]})
-
-    pairs = dealt.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "x", "t", "d1", "d2")
-    return pairs.groupBy("lo", "hi").applyInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-
-
-def sketch_limit(threshold: float, deviations: float = 6.0) -> int:
-    """Differing bits that a pair at ``threshold`` exceeds less than once in 100 million times."""
     differ = (1 - threshold) / 2
-    return min(SKETCH_BITS, round(SKETCH_BITS * differ + deviations * (SKETCH_BITS * differ * (1 - differ)) ** 0.5))
+    empty = F.exp(-sizes / ((1 + threshold) * SKETCH_BITS))
+    filled = SKETCH_BITS * (1 - empty)
+    return 1 + filled * differ + deviations * F.sqrt(filled * differ * (1 - differ) + SKETCH_BITS * empty * (1 - empty) * differ**2)
 
 
-def candidate_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """(a1, a2, b1, b2): pairs of digests that share a key, may reach the threshold and aren't both hot."""
+def candidate_pairs(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
+    """(a, b): pairs of texts that share a key and may reach the threshold."""
     # both sides are the rows as they are, so that one exchange serves both and the planner can split hot keys
     a, b = rows.alias("a"), rows.alias("b")
     differ = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in (1, 2, 3, 4)), F.lit(0))
     sizes = (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9)
-    ordered = (F.col("a.d1") < F.col("b.d1")) | (F.col("a.d1") == F.col("b.d1")) & (F.col("a.d2") < F.col("b.d2"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & ~(F.col("a.hot") & F.col("b.hot")) & ordered & sizes & (differ <= sketch_limit(threshold)))
-    return met.select(F.col("a.d1").alias("a1"), F.col("a.d2").alias("a2"), F.col("b.d1").alias("b1"), F.col("b.d2").alias("b2")).distinct()
+    near = differ <= sketch_limit(F.col("a.size") + F.col("b.size"), threshold, deviations)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.u") < F.col("b.u")) & sizes & near)
+    return met.select(F.col("a.u").alias("a"), F.col("b.u").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, src: DataFrame, width: int, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, once: DataFrame, width: int, threshold: float) -> DataFrame:
     """(a1, a2, b1, b2, similarity) of the pairs that reach the threshold on whole sets."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a1").alias("d1"), F.col("a2").alias("d2")).union(pairs.select("b1", "b2")).distinct()
-    body = cut(src.select("d1", "d2", "t").join(wanted, ["d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"]))
-    left = body.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("t").alias("ta"))
-    right = body.select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("t").alias("tb"))
+    side = lambda name: once.select(F.col("u").alias(name), F.struct("d1", "d2", "t").alias(f"t{name}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, q = None, set()
         for batch in batches:
-            sims, last, p = [], None, set()
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if x != last:
-                    p, last = {x[k : k + width] for k in range(len(x) - width + 1)}, x
-                q = {y[k : k + width] for k in range(len(y) - width + 1)}
+            sims = []
+            left, right = (batch.column(c).field("t").to_pylist() for c in ("ta", "tb"))
+            for x, y in zip(left, right, strict=True):
+                if y != last:  # rows come in order of b
+                    q, last = {y[k : k + width] for k in range(len(y) - width + 1)}, y
+                p = {x[k : k + width] for k in range(len(x) - width + 1)}
                 both = len(p & q)
                 sims.append(both / max(1, len(p) + len(q) - both))
             keep = pa.array([s >= threshold - 1e-12 for s in sims], pa.bool_())
-            cols = [batch.column(c) for c in ("a1", "a2", "b1", "b2")]
+            cols = [batch.column(c).field(d) for c in ("ta", "tb") for d in ("d1", "d2")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sims, pa.float64())], names=["a1", "a2", "b1", "b2", "similarity"]).filter(keep)
 
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "ta", "tb")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("ta", "tb")
     return joined.mapInArrow(run, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, similarity double")
 
 
-def links(src: DataFrame, threshold: float = 0.6, width: int = 5, orders: int = 48, bucket: float = 20.0) -> DataFrame:
+def links(src: DataFrame, threshold: float = 0.6, width: int = 5, bucket: float = 20.0, miss: float = 1e-2, deviations: float = 6.0) -> DataFrame:
     """(a1, a2, b1, b2, similarity): all links between different texts of ``texts``.
 
-    Starts the jobs that count tokens and find hot texts; the rest is lazy up to the
-    checkpoints of ``verified``.
+    ``miss`` sets the number of orders, ``deviations`` the margin of the sketches
+    (infinite: no filter). Starts the job that counts tokens; the rest is lazy.
     """
     # copies are dropped before they are counted; a text that much of the corpus repeats shrinks map-side
-    once = cut(src.groupBy("d1", "d2").agg(F.max("t").alias("t")))
+    once = cut(src.groupBy("d1", "d2").agg(F.max("t").alias("t")).withColumn("u", F.monotonically_increasing_id()))
     table, count = frequencies(once, width)
-    pairs = candidate_pairs(index_rows(once, table, count, width, orders, bucket, threshold), threshold)
-    hot = hot_pairs(cut(hot_texts(once, table, count, width, bucket, threshold)), width, threshold)
-    return verified(pairs if hot is None else pairs.union(hot), once, width, threshold)
+    pairs = candidate_pairs(index_rows(once, table, count, width, threshold, bucket, miss), threshold, deviations)
+    return verified(pairs, once, width, threshold)
 
 
 def id_pairs(found: DataFrame, src: DataFrame) -> DataFrame:

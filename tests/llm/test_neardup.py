@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from carryover.llm import neardup as nd
@@ -102,15 +101,22 @@ def test_hashes_and_bounds():
     a, b = nd.token_hashes(["abcdefg", "xx", "", "abcdefg"], 5)[::3]
     assert np.array_equal(a, b) and len(a) == 3
     assert [len(x) for x in nd.token_hashes(["abcde", "éa𝄞bc", "ab"], 5)] == [1, 1, 0]
-    assert nd.sketch_limit(1.0) == 0 and nd.sketch_limit(0.6) < 100
 
 
-@pytest.mark.parametrize("orders", [16])
-def test_orders_parameter(spark, orders):
+def test_parameters(spark):
     data = corpus(9, 60)
     src = nd.texts(frame(spark, data), "content", "t", 40)
-    got = rows(nd.id_pairs(nd.links(src, 0.8, orders=orders), src))
-    assert got == brute(data, 0.8, 40)
+    assert rows(nd.id_pairs(nd.links(src, 0.8, miss=0.05, deviations=float("inf")), src)) == brute(data, 0.8, 40)
+
+
+def test_orders_follow_the_worst_case():
+    table = np.zeros(1 << 22, np.uint32)
+    ix = nd.Indexer(table, 10**9, 0.6, 20.0, 1e-2)
+    common, rare = np.full(100, np.log(10**9) - np.log(5 * 10**8)), np.full(100, 18.0)
+    assert ix.worst(rare) < 1.6 and ix.worst(common) == nd.MAX_COMBINATION
+    for k in (1.0, 2.5, 4.0, 8.0):  # half of the orders prefer rare tokens and come on top
+        assert (1 - 0.6**k) ** (ix.orders(k) / 2) <= 1e-2 < (1 - 0.6**k) ** (ix.orders(k) / 2 - 1)
+    assert len(ix.seeds) == ix.orders(8.0)
 
 
 def near(rng, words, share):
@@ -141,8 +147,17 @@ def test_family_of_different_edits(spark):
     assert rows(nd.id_pairs(nd.links(src, bucket=1.0), src)) == brute(family, 0.6, 40)
 
 
-def test_sketch_margin():
+def test_sketch_margin(spark):
     from math import comb
 
-    beyond = sum(comb(256, k) * 0.2**k * 0.8 ** (256 - k) for k in range(nd.sketch_limit(0.6) + 1, 257))
-    assert beyond < 1e-8
+    sizes = [2, 40, 200, 1000, 100_000]
+    limits = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n int").select(nd.sketch_limit(F.col("n"), 0.6)).collect()]
+    assert limits == sorted(limits) and sum(comb(256, k) * 0.2**k * 0.8 ** (256 - k) for k in range(int(limits[-1]) + 1, 257)) < 1e-8
+    rng = np.random.default_rng(5)
+    for n, limit in zip(sizes[1:4], limits[1:4], strict=True):  # pairs at the threshold stay far below the limit
+        for _ in range(50):
+            union = rng.integers(0, 2**63, round(n / 1.6), dtype=np.uint64)
+            own = len(union) - round(0.6 * len(union))
+            a, b = union[own // 2 :], np.delete(union, slice(own // 2, own))
+            x, y = nd.Indexer.sketch(a), nd.Indexer.sketch(b)
+            assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y) < limit
