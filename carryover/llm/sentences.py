@@ -3,9 +3,10 @@
 One pattern cuts a document into tokens of a few classes (kinds of words, end marks,
 quotes, breaks). The boundary rules are compiled once into the tables of a finite
 transducer over these classes, whose output says before which tokens a sentence
-begins. A long document is cut into chunks of tokens; each chunk is evaluated as a
-state-transition function (from every state at once), the functions are composed by a
-parallel prefix scan, and all chunks then emit their output from their true first state.
+begins. Documents follow each other in one stream of tokens, with a reset between them;
+the stream is cut into chunks, wherever documents begin and end. Each chunk is evaluated
+as a state-transition function (from every state at once), the functions are composed by
+a parallel prefix scan, and all chunks then emit their output from their true first state.
 
 Defined results: null, empty and blank documents have no sentences; positions count
 code points from 1, end inclusive; repeated documents keep their own ids; output columns
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK_TOKENS = 8192
+#: Tokens of a chunk; characters of whole documents that are looked at together, at least one document.
+CHUNK_TOKENS, GROUP_CHARS = 512, 1_000_000
 
 # Abbreviations that don't end a sentence, and those that may.
 ABBREVIATIONS = [
@@ -277,40 +279,43 @@ def transducer() -> tuple[np.ndarray, np.ndarray]:
                 todo.append(new)
             row.append((index[new], cut))
         rows.append(row)
-    return np.array([[n for n, _ in r] for r in rows], np.int16), np.array([[c for _, c in r] for r in rows], bool)
+    return _minimal(np.array([[n for n, _ in r] for r in rows]), np.array([[c for _, c in r] for r in rows], bool))
 
 
-@lru_cache(maxsize=1)
-def _plain_tables() -> tuple[list, list]:
-    nxt, out = transducer()
-    return nxt.tolist(), out.tolist()
+def _minimal(nxt: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same transducer with states of equal behaviour merged; the start stays state 0."""
+    count, part = 0, np.unique(out, axis=0, return_inverse=True)[1].reshape(-1)
+    while part.max() + 1 > count:
+        count = part.max() + 1
+        part = np.unique(np.column_stack([part, part[nxt]]), axis=0, return_inverse=True)[1].reshape(-1)
+    first = np.unique(part, return_index=True)[1]
+    order = np.argsort(first)  # state 0 is the first of its part, so its part comes first
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    keep = first[order]
+    return number[part[nxt[keep]]], out[keep]
 
 
-def outputs(classes: list[int], chunk: int = CHUNK_TOKENS) -> np.ndarray | list[bool]:
+def outputs(classes: np.ndarray, chunk: int = CHUNK_TOKENS) -> np.ndarray:
     """Whether a sentence begins at each token."""
-    if len(classes) <= chunk:
-        nxt, out = _plain_tables()
-        state, cuts = 0, []
-        for c in classes:
-            cuts.append(out[state][c])
-            state = nxt[state][c]
-        return cuts
     nxt, out = transducer()
-    count = -(-len(classes) // chunk)
-    cls = np.full(count * chunk, CODE["space"], np.int16)
+    width = len(CLASSES)
+    jump, cuts_at = (nxt * width).reshape(-1), out.reshape(-1)  # a state is kept as the place of its row
+    count = max(1, -(-len(classes) // chunk))
+    cls = np.full(count * chunk, CODE["space"])
     cls[: len(classes)] = classes
-    cls = cls.reshape(count, chunk)
+    cls = np.ascontiguousarray(cls.reshape(count, chunk).T)
     # each chunk as a function of its first state
-    f = np.tile(np.arange(len(nxt), dtype=np.int16), (count, 1))
+    f = np.tile(np.arange(len(nxt)) * width, (count, 1))
     for j in range(chunk):
-        f = nxt[f, cls[:, j : j + 1]]
-    first = prefix_states(f)
+        f = jump.take(f + cls[j][:, None])
+    state = prefix_states(f // width) * width
     cuts = np.empty(cls.shape, bool)
-    state = first
     for j in range(chunk):
-        cuts[:, j] = out[state, cls[:, j]]
-        state = nxt[state, cls[:, j]]
-    return cuts.reshape(-1)[: len(classes)]
+        at = state + cls[j]
+        cuts[j] = cuts_at.take(at)
+        state = jump.take(at)
+    return cuts.T.reshape(-1)[: len(classes)]
 
 
 def prefix_states(f: np.ndarray) -> np.ndarray:
@@ -318,30 +323,48 @@ def prefix_states(f: np.ndarray) -> np.ndarray:
     scan, shift = f.copy(), 1
     while shift < len(scan):
         later = scan.copy()
-        later[shift:] = np.take_along_axis(scan[shift:], scan[:-shift].astype(np.int64), axis=1)
+        later[shift:] = np.take_along_axis(scan[shift:], scan[:-shift], axis=1)
         scan, shift = later, shift * 2
-    return np.concatenate([[0], scan[:-1, 0]]).astype(np.int16)
+    return np.concatenate([[0], scan[:-1, 0]])
+
 
+_IS_SPACE = np.isin(np.arange(len(CLASSES)), [CODE[c] for c in ("space", "newline", "blank", "marker", "thai_space")])
 
-_SPACES = {CODE[c] for c in ("space", "newline", "blank", "marker", "thai_space")}
+
+def split_all(texts: list[str], chunk: int = CHUNK_TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each sentence of all texts, 0-based, end exclusive, without outer spaces."""
+    classes, starts, ends, sizes = [], [], [], []
+    for text in texts:
+        c, s, e = tokens(text)
+        classes += [*c, CODE["blank"]]  # a blank line brings the transducer back to its start
+        starts += [*s, len(text)]
+        ends += [*e, len(text)]
+        sizes.append(len(c) + 1)
+    cls = np.array(classes, np.int64)
+    cuts = outputs(cls, chunk)
+    kept = np.flatnonzero(~_IS_SPACE[cls])  # the first of them in each text begins a sentence
+    begins = np.flatnonzero(cuts[kept])
+    last = np.append(begins[1:], len(kept))[: len(begins)] - 1
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    return owner[kept[begins]], np.array(starts, np.int64)[kept[begins]], np.array(ends, np.int64)[kept[last]]
 
 
 def split(text: str, chunk: int = CHUNK_TOKENS) -> list[tuple[int, int]]:
-    """(start, end) of each sentence, 0-based, end exclusive, without outer spaces."""
-    classes, starts, ends = tokens(text)
-    spans: list[tuple[int, int]] = []
-    begin = last = -1
-    for c, s, e, cut in zip(classes, starts, ends, outputs(classes, chunk), strict=True):
-        if c in _SPACES:
-            continue
-        if cut:
-            if begin >= 0:
-                spans.append((begin, last))
-            begin = s
-        last = e
-    if begin >= 0:
-        spans.append((begin, last))
-    return spans
+    """(start, end) of each sentence of one text."""
+    _, start, end = split_all([text], chunk)
+    return list(zip(start.tolist(), end.tolist(), strict=True))
+
+
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of about GROUP_CHARS characters."""
+    first, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= GROUP_CHARS:
+            yield first, k + 1
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bodies: bool = True) -> DataFrame:
@@ -355,17 +378,11 @@ def sentences(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bodies:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, no, start, end, body = [], [], [], [], []
-            for n, value in enumerate(batch.column(1).to_pylist()):
-                for k, (s, e) in enumerate(split(value)):
-                    at.append(n)
-                    no.append(k)
-                    start.append(s + 1)
-                    end.append(e)
-                    if bodies:
-                        body.append(value[s:e])
-            ints = (pa.array(x, pa.int64()) for x in (no, start, end))
-            texts = [pa.array(body, pa.string())] if bodies else []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *ints, *texts], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _groups(texts):
+                owner, start, end = split_all(texts[lo:hi])
+                no = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                body = [pa.array([texts[lo + k][s:e] for k, s, e in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)], pa.string())] if bodies else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + owner)), pa.array(no), pa.array(start + 1), pa.array(end), *body], names=schema.names)
 
     return src.mapInArrow(run, schema)

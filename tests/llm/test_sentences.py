@@ -59,6 +59,28 @@ def test_chunks_compose():
         assert texts(body, chunk) == texts(body)
 
 
+def test_many_texts_in_one_stream(monkeypatch):
+    rng = random.Random(3)
+    bodies = [" ".join(rng.choice(CASES)) + rng.choice(["", ' "open', "\n- line", " etc"]) for _ in range(50)] + ["", " ", "- x", "ก ข"]
+    owner, start, end = sn.split_all(bodies, 16)
+    assert [(int(o), bodies[o][s:e]) for o, s, e in zip(owner, start, end, strict=True)] == [(k, t) for k, b in enumerate(bodies) for t in texts(b)]
+    monkeypatch.setattr(sn, "GROUP_CHARS", 100)
+    assert [k for a, b in sn._groups(bodies) for k in range(a, b)] == list(range(len(bodies)))
+
+
+def test_transducer_is_minimal_and_equal():
+    nxt, out = sn.transducer()
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        classes = rng.integers(0, len(sn.CLASSES), 200)
+        state, cuts = sn.START, []
+        for c in classes:
+            state, cut = sn.step(state, sn.CLASSES[c])
+            cuts.append(cut)
+        assert sn.outputs(classes, 7).tolist() == cuts
+    assert len(np.unique(np.column_stack([nxt, out]), axis=0)) == len(nxt)
+
+
 def test_prefix_scan():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 5, (37, 5)).astype(np.int16)
