@@ -48,7 +48,7 @@ def piece_length(size: int, edits: int) -> int:
     return max(b for b in range(1, size + 1) if (size - b + 1) // b >= edits + 1 or b == 1)
 
 
-def myers(pattern: list, text: list) -> tuple[int, int]:
+def myers(pattern: list | str, text: list | str) -> tuple[int, int]:
     """(least edit distance of ``pattern`` to any part of ``text``, the end of that part)."""
     m = len(pattern)
     peq: dict = {}
@@ -87,15 +87,16 @@ class Scanner:
         self.edits = edits
         self.items: dict[bool, list[_Item]] = {False: [], True: []}
         self.automata: dict[bool, ahocorasick.Automaton | None] = {}
+        self.lengths = {dense: piece_length(n, edits) for dense, n in self.sizes.items()}
         for item_id, lang, text in items:
             dense = (lang or "").lower().replace("_", "-").split("-")[0] in SCRIPTLESS
             units = normal_words(text)
             self.items[dense].append(_Item(item_id, list("".join(units)) if dense else units))
         for dense, group in self.items.items():
-            length = piece_length(self.sizes[dense], edits)
+            length = self.lengths[dense]
             pieces: dict[str, list[tuple[int, int]]] = {}
             for n, item in enumerate(group):
-                if len(item.units) < self.sizes[dense] - edits:
+                if len(item.units) < self.sizes[dense]:
                     continue
                 for at in range(0, len(item.units) - length + 1, length):
                     piece = item.units[at : at + length]
@@ -131,37 +132,34 @@ class Scanner:
             units = flat if dense else words
             for n, found in hits.items():
                 item = self.items[dense][n]
-                run, least = self._verify(item.units, units, found, self.sizes[dense])
+                run, least = self._verify(item.units, units, found, self.sizes[dense], self.lengths[dense])
                 if least <= self.edits:
                     out.append((item.item_id, run, least))
         return out
 
-    def _verify(self, item: list, doc: list | str, hits: set[tuple[int, int]], size: int) -> tuple[int, int]:
-        """(longest exact run through a hit, least distance of a passage through a hit)."""
-        run, least = 0, size
+    def _verify(self, item: list, doc: list | str, hits: set[tuple[int, int]], size: int, length: int) -> tuple[int, int]:
+        """(longest exact run through a hit, least distance of a passage that holds a piece whole)."""
+        run, seen = 0, {}
         for at, unit in sorted(hits):
-            lo = 0
+            if at < seen.get(unit - at, 0):  # inside a run that was measured
+                continue
+            lo = hi = 0
             while at - lo > 0 and unit - lo > 0 and item[at - lo - 1] == doc[unit - lo - 1]:
                 lo += 1
-            hi = 0
             while at + hi < len(item) and unit + hi < len(doc) and item[at + hi] == doc[unit + hi]:
                 hi += 1
+            seen[unit - at] = at + hi
             run = max(run, lo + hi)
-            if run >= size:
-                return run, 0
-        if self.edits and run < size:
-            tried = set()
-            for at, unit in hits:
-                for begin in range(max(0, at - size + 1), min(at, len(item) - size) + 1):
-                    if (begin, unit - at) in tried:
-                        continue
+        least, tried = size, set()
+        for at, unit in hits:
+            for begin in range(max(0, at + length - size), min(at, len(item) - size) + 1):
+                if (begin, unit - at) not in tried:
                     tried.add((begin, unit - at))
-                    left = max(0, unit - (at - begin) - self.edits)
-                    window = doc[left : unit + size - (at - begin) + self.edits]
-                    least = min(least, myers(item[begin : begin + size], list(window))[0])
-                    if least <= 1:
-                        return run, least
-        return run, 0 if run >= size else least
+                    first = unit - (at - begin)
+                    least = min(least, myers(item[begin : begin + size], doc[max(0, first - self.edits) : first + size + self.edits])[0])
+                    if not least:
+                        return run, 0
+        return run, least
 
 
 def find_leaks(
@@ -170,10 +168,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, run, edits): documents that hold a passage of an item within ``edits``.
 
-    ``run`` is the longest exact run of units through a hit, ``edits`` the distance of
-    the nearest passage looked at (0 where the run is a passage, else an upper bound of
-    the least). Starts a job that reads the items; each block of them is one pass over
-    the documents.
+    ``edits`` is the least distance of any passage, ``run`` the longest exact run of
+    units through a piece, also where it is longer than a passage. Starts a job that
+    reads the items; each block of them is one pass over the documents.
     """
     chosen = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_lang).cast("string"), F.col(item_text))
     src = documents.where(F.col(doc_text).isNotNull() & (F.length(doc_text) > 0)).select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t"))

@@ -38,10 +38,8 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold 12 words (zh and ja: 20 letters or digits) of an item in a row."""
-    items = table(spark, d, "eval_item")
-    leaks = find_leaks(table(spark, d, "documents", heavy=True), items)
-    size = items.select("item_id", F.when(F.substring(F.lower("lang"), 1, 2).isin("zh", "ja"), 20).otherwise(12).alias("size"))
-    return leaks.join(F.broadcast(size), "item_id").where("run >= size").select("doc_id", "item_id").distinct()
+    leaks = find_leaks(table(spark, d, "documents", heavy=True), table(spark, d, "eval_item"), edits=0)
+    return leaks.select("doc_id", "item_id").distinct()
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:

@@ -100,3 +100,10 @@ def test_edits_are_found(spark):
     assert leaks.find_leaks(d, i.limit(0)).count() == 0 and leaks.find_leaks(d.limit(0), i).count() == 0
     long = d.limit(0).union(spark.createDataFrame([(9, "p1 " * 200_000 + " ".join(passage))], "doc_id bigint, text string"))
     assert rows(leaks.find_leaks(long, i), "doc_id") == [(9,)]
+
+
+def test_run_is_the_longest(spark):
+    words = [f"q{k}" for k in range(60)]
+    i = spark.createDataFrame([(1, "en", " ".join(words)), (2, "zh", "一二三四五六七八九十百千万亿甲乙丙丁戊己庚辛")], "item_id bigint, lang string, text string")
+    d = spark.createDataFrame([(1, " ".join([*words[3:16], "x", *words[20:55]])), (2, "甲乙丙丁一二三四五六七八九十百千万亿甲乙丙丁戊")], "doc_id bigint, text string")
+    assert rows(leaks.find_leaks(d, i)) == [(1, 1, 35, 0), (2, 2, 19, 1)]
