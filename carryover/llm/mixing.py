@@ -115,6 +115,8 @@ class Plan:
                 step = tilt[s] + gap / slope if slope > 0 else math.inf
                 # a step out of the bracket is replaced by bisection
                 tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+        if open_:
+            raise ValueError(f"no rates meet the targets of {sorted(open_)} after {rounds} rounds")
         return tilt
 
     def _rate(self, tilt: dict[str, float]):  # noqa: ANN202
