@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 _SPACE = re.compile(r"[ \t\n\r]*")
 _SCALAR = re.compile(
@@ -39,7 +40,10 @@ class _Frame:
     path: tuple
     ordinals: tuple
     next: int = 0
-    seen: set = field(default_factory=set)
+    key: str = ""
+    start: int = 0
+    #: where the nodes of each member are
+    seen: dict = field(default_factory=dict)
 
 
 def _text(raw: str) -> str:
@@ -51,6 +55,7 @@ def triples(text: str) -> list[Triple]:
     """All nodes of ``text`` in document order; raises ValueError where it isn't JSON."""
     out: list[Triple] = []
     stack: list[_Frame] = []
+    replaced: list[tuple[int, int]] = []
     at, end, path, ordinals = _SPACE.match(text).end(), len(text), (), ()
     while True:
         # a value begins at ``at``
@@ -78,8 +83,10 @@ def triples(text: str) -> list[Triple]:
             if not stack:
                 if at != end:
                     raise ValueError(f"text after the value at {at}")
-                return out
+                return _without(out, replaced) if replaced else out
             frame = stack[-1]
+            if not frame.array:
+                frame.seen[frame.key] = (frame.start, len(out))
             c = text[at : at + 1]
             if c == ",":
                 at, opened = _SPACE.match(text, at + 1).end(), True
@@ -103,8 +110,17 @@ def triples(text: str) -> list[Triple]:
             at = _SPACE.match(text, at + 1).end()
             path, ordinals = (*frame.path, key), frame.ordinals
             if key in frame.seen:
-                out[:] = [t for t in out if t.path[: len(path)] != path]
-            frame.seen.add(key)
+                replaced.append(frame.seen[key])
+            frame.key, frame.start = key, len(out)
+
+
+def _without(nodes: list[Triple], ranges: list[tuple[int, int]]) -> list[Triple]:
+    """The nodes outside all ranges, which may nest."""
+    depth = [0] * (len(nodes) + 1)
+    for a, b in ranges:
+        depth[a] += 1
+        depth[b] -= 1
+    return [t for t, d in zip(nodes, accumulate(depth), strict=False) if not d]
 
 
 def pointer(path: tuple) -> str:

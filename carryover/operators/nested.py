@@ -6,9 +6,8 @@ group is pivoted, inside the record, into rows of one table. A record never leav
 task, so nothing is shuffled whatever the depth. ``pivot`` gives one of those tables
 its columns.
 
-``flatten_typed`` does the same for nested columns whose schema is known: there the
-paths and repeated ancestors are static, so the plan is a chain of generators that
-reads only the leaves that are asked for.
+``flatten_typed`` takes nested columns the same way: only the leaves that are asked for
+are read, written as JSON by the JVM, and parsed into triples like any other record.
 
 Defined results: a null, empty or invalid document has no rows (``flatten_json`` keeps
 an ``invalid`` root row when asked), an empty array has no children, a null element is a
@@ -112,10 +111,18 @@ def flatten_typed(df: DataFrame, key: str, array: str, leaves: dict[str, str], e
     """One row per element of ``array``: key, 0-based pos, and ``leaves`` (name -> path in the element).
 
     A null element is a row whose leaves are null; a null or empty array has none. Leaves
-    that clash are prefixed with ``value_``, the position with ``child_``.
+    that are arrays or structs come as JSON text. Leaves that clash are prefixed with
+    ``value_``, the position with ``child_``.
     """
     place = "child_pos" if key == "pos" else "pos"
     kept = {k: v for k, v in (extra or {}).items() if k not in {key, place}}
     taken = {key, place, *kept}
-    child = df.select(F.col(key).alias("_key"), F.struct(F.lit(0), *(v.alias(k) for k, v in kept.items())).alias("_kept"), F.posexplode(F.col(array)).alias("_pos", "_element"))
-    return child.select(F.col("_key").alias(key), *(F.col("_kept")[k].alias(k) for k in kept), F.col("_pos").cast("bigint").alias(place), *(F.col(f"_element.{p}" if p else "_element").alias(f"value_{n}" if n in taken else n) for n, p in leaves.items()))
+    # one array per leaf, so that the scan reads no other, side by side again as elements
+    column = lambda p: F.col(f"{array}.{p}" if p else array)
+    kinds = [f.dataType.elementType for f in df.select(*(column(p).alias(f"l{n}") for n, p in enumerate(leaves.values()))).schema]
+    atomic = [not isinstance(k, T.ArrayType | T.StructType | T.MapType) for k in kinds]
+    cells = [column(p) if plain else F.transform(column(p), lambda x: F.to_json(F.struct(x.alias("v")))) for p, plain in zip(leaves.values(), atomic, strict=True)]
+    source = df.select(F.struct(F.col(key).alias("k"), F.struct(F.lit(0), *(v.alias(k) for k, v in kept.items())).alias("x")).alias("_parent"), F.to_json(F.arrays_zip(*(c.alias(f"l{n}") for n, c in enumerate(cells)))).alias("_json"))
+    rows = pivot(flatten_json(source, "_parent", "_json"), "_parent", "", [f"/l{n}" for n in range(len(cells))])
+    back = lambda n: F.col(f"l{n}").cast(kinds[n]) if atomic[n] else F.regexp_extract(f"l{n}", r'(?s)\A\{"v":(.*)\}\z', 1)
+    return rows.select(F.col("_parent.k").alias(key), *(F.col(f"_parent.x.{k}").alias(k) for k in kept), F.col("pos").alias(place), *((back(n) if atomic[n] else F.when(back(n) != "", back(n))).alias(f"value_{name}" if name in taken else name) for n, name in enumerate(leaves)))

@@ -45,6 +45,9 @@ def test_invalid(text):
 
 def test_repeated_key_keeps_last_and_depth():
     assert [(t.path, t.value) for t in triples('{"a":[1,2],"b":0,"a":[3]}')] == [((), None), (("b",), "0"), (("a",), None), (("a", 0), "3")]
+    assert [(t.path, t.value) for t in triples('{"a":{"x":1,"x":[2]},"a":{"x":3},"b":[{"k":1,"k":2}]}')] == [((), None), (("a",), None), (("a", "x"), "3"), (("b",), None), (("b", 0), None), (("b", 0, "k"), "2")]
+    many = '{"a":[' + ",".join("1" * 20_000) + "]" + ',"a":[1]' * 20_000 + "}"
+    assert len(triples(many)) == 3
     assert len(triples("[" * 3000 + "]" * 3000)) == 3000
     assert len(triples(json.dumps("x" * 2_000_000))) == 1
     assert pointer(("a/b", 0, "m~n")) == "/a~1b/0/m~0n"
