@@ -7,15 +7,19 @@ arithmetic. Only values without an offset need the time-zone database.
 
 Defined results: null, empty, unparsable, date-only and impossible values give null,
 as do local times that never occur and local times without a usable zone. A local
-time that occurs twice gives the earlier instant. Digits finer than a microsecond are
-cut off.
+time that occurs twice gives the earlier instant. An abbreviation that the row's zone
+never used gives null. Digits finer than a microsecond are cut off.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import os
+import re
+import struct
+import zlib
 from functools import lru_cache
-from zoneinfo import ZoneInfo, available_timezones
+from importlib.resources import files
+from zoneinfo import TZPATH, available_timezones
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -83,24 +87,64 @@ def instant_pattern() -> tuple[str, str]:
     return rf"\A{sp}*(?:{'|'.join(alternatives)}){sp}*\z", f"{_MARK}{layout}"
 
 
+def _zone_file(zone: str) -> bytes:
+    for root in TZPATH:
+        path = os.path.join(root, zone)
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    return files("tzdata").joinpath("zoneinfo", *zone.split("/")).read_bytes()
+
+
+def zone_names(data: bytes) -> dict[str, list[int]]:
+    """Abbreviation -> offsets in seconds that it stood for, the latest first, of a TZif file (RFC 8536)."""
+
+    def block(at: int, width: int) -> tuple[int, list, list, bytes]:
+        utc, std, leap, times, types, chars = struct.unpack_from(">6l", data, at + 20)
+        at += 44
+        when = struct.unpack_from(f">{times}{'q' if width == 8 else 'l'}", data, at)
+        which = data[at + times * width : at + times * (width + 1)]
+        at += times * (width + 1)
+        kinds = [struct.unpack_from(">lbB", data, at + 6 * k) for k in range(types)]
+        at += types * 6
+        return at + chars + leap * (width + 4) + std + utc, list(zip(when, which, strict=True)), kinds, data[at : at + chars]
+
+    end, changes, kinds, chars = block(0, 4)
+    rule = ""
+    if data[4:5] >= b"2":
+        end, changes, kinds, chars = block(end, 8)
+        rule = data[end:].decode("ascii", "replace").strip().partition(",")[0]
+    last: dict[tuple[str, int], float] = {}
+    forever = set(re.findall(r"[A-Za-z]{3,}", rule))
+    for k, (_, which) in enumerate(changes or [(0, 0)]):
+        offset, _, at = kinds[which]
+        name = chars[at : chars.index(0, at)].decode()
+        until = changes[k + 1][0] if k + 1 < len(changes) else float("inf")
+        last[name, offset] = max(until, last.get((name, offset), until))
+    newest = {n: max((t, o) for (m, o), t in last.items() if m == n)[1] for n, _ in last}
+    for name in forever & set(newest):  # what the rule for the future names is in use still
+        last[name, newest[name]] = float("inf")
+    out: dict[str, list[int]] = {}
+    for (name, offset), _ in sorted(last.items(), key=lambda x: (-x[1], x[0])):
+        if name.isalpha() and name != "LMT":
+            out.setdefault(name.upper(), []).append(offset)
+    return out
+
+
 @lru_cache(maxsize=1)
-def _zone_tables() -> tuple[list[str], str]:
-    """Known zones, and 'zone abbreviation' -> minutes, derived from the tz database.
+def _zone_tables() -> tuple[list[str], list[str]]:
+    """Known zones, and a hash table 'zone abbreviation' -> seconds, from all of the tz database.
 
-    The abbreviation table has what each zone called its offsets in January and July
-    from 1995 to 2035; both are bounded by the tz database.
+    The table has a row for each CRC-32 modulo its length; both are bounded by the tz
+    database.
     """
     zones = sorted(z for z in available_timezones() if not z.startswith(("posix", "right", "localtime", "Factory")))
-    pairs: dict[str, int] = {}
+    table: list[list[str]] = [[] for _ in range(1024)]
     for z in zones:
-        info = ZoneInfo(z)
-        for year in range(1995, 2036):
-            for month in (1, 7):
-                at = datetime(year, month, 15, tzinfo=timezone.utc).astimezone(info)
-                name = at.tzname() or ""
-                if name.isalpha():
-                    pairs[f"{z} {name.upper()}"] = int(at.utcoffset().total_seconds() // 60)
-    return zones, ",".join(f"{k}={v}" for k, v in pairs.items())
+        for name, offsets in zone_names(_zone_file(z)).items():
+            key = f"{z} {name}"
+            table[zlib.crc32(key.encode()) % len(table)].append(f"{key}={';'.join(map(str, offsets))}")
+    return zones, ["|".join(x) for x in table]
 
 
 def utc_micros(value: Column, zone: Column) -> Column:
@@ -156,14 +200,19 @@ def _resolve(c: Column) -> Column:
     offset = F.when(
         (off_h <= 18) & (off_m <= 59), (off_h * 60 + off_m) * F.when(c["o"].startswith("-"), -1).otherwise(1)
     )
-    named = F.try_element_at(F.str_to_map(F.lit(abbreviations), F.lit(","), F.lit("=")), F.concat_ws(" ", c["zone"], c["a"])).try_cast("int")
-    by_name = F.when(c["a"].isin(ZERO_OFFSET_NAMES), 0).otherwise(named)
-    minutes = F.when(c["o"] != "", offset).when(c["a"] != "", by_name)
+    name = F.concat_ws(" ", c["zone"], c["a"])
+    row = F.get(F.split(F.lit("\n".join(abbreviations)), "\n"), F.pmod(F.crc32(name), F.lit(len(abbreviations))).cast("int"))
+    known = F.split(F.try_element_at(F.str_to_map(row, F.lit(r"\|"), F.lit("=")), name), ";")
+    # a name that stood for several offsets means the one the zone had then, else the latest
+    shown = lambda x: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(local - x.cast("bigint") * 1_000_000), c["zone"]))
+    named = F.when(F.size(known) > 1, F.coalesce(F.get(F.filter(known, lambda x: shown(x) == local), F.lit(0)), F.get(known, F.lit(0)))).otherwise(F.get(known, F.lit(0)))
+    by_name = F.when(c["a"].isin(ZERO_OFFSET_NAMES), 0).otherwise(named.try_cast("int"))
+    seconds = F.when(c["o"] != "", offset * 60).when(c["a"] != "", by_name)
     zone = F.when(c["r"] != "", c["r"]).otherwise(c["zone"])
     utc = F.to_utc_timestamp(F.timestamp_micros(local), zone)
     by_zone = F.when(zone.isin(zones), F.when(F.unix_micros(F.from_utc_timestamp(utc, zone)) == local, F.unix_micros(utc)))
     fixed = (c["o"] != "") | (c["a"] != "")
-    civil = F.when(fixed, local - minutes.cast("bigint") * 60_000_000).otherwise(by_zone)
+    civil = F.when(fixed, local - seconds.cast("bigint") * 1_000_000).otherwise(by_zone)
 
     n = F.length(c["e"])
     digits = c["e"].try_cast("decimal(20,0)")

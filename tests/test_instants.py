@@ -52,6 +52,12 @@ CASES = [
     ("2025-01-29 15:54:39 CST", "America/Chicago", us(2025, 1, 29, 21, 54, 39)),
     ("2025-01-29 15:54:39 CST", "Asia/Shanghai", us(2025, 1, 29, 7, 54, 39)),
     ("2025-01-29 15:54:39 CST", None, None),
+    ("2012-07-01 12:00:00 MSK", "Europe/Moscow", us(2012, 7, 1, 8)),  # four hours from 2011 to 2014
+    ("2020-07-01 12:00:00 MSK", "Europe/Moscow", us(2020, 7, 1, 9)),
+    ("2009-07-01 12:00:00 MSD", "Europe/Moscow", us(2009, 7, 1, 8)),
+    ("2025-07-07 10:37:16 CET", B, us(2025, 7, 7, 9, 37, 16)),
+    ("1945-06-01 12:00:00 CEMT", B, us(1945, 6, 1, 9)),
+    ("2025-01-29 15:54:39 EST", B, None),  # never used there
     ("2025-01-29 15:54:39 UTC", None, us(2025, 1, 29, 15, 54, 39)),
     ("yesterday", B, None),
     ("", B, None),
