@@ -1,10 +1,11 @@
 """Personal data in free text: locate, type, and replace by typed placeholders.
 
 Anchors come first: one Aho-Corasick automaton finds at-signs in all their spellings,
-street words and identifier labels; digit runs and capitalised words of the lexicon are
-anchors of their own. Deterministic local parsers then expand each anchor to the bounds of an
-item and validate it. Texts stay in their task; nothing is shuffled. The lexicon is
-shipped to the executors, behind a check of its size.
+schemes, digits, street words, identifier labels, and names of the lexicon or endings that
+recur among them. Deterministic local parsers then expand each anchor to the true bounds
+of an item, however far they are, and validate it; nothing is searched for apart from
+anchors. Texts stay in their task; nothing is shuffled. The lexicon is shipped to the
+executors, behind a check of its size.
 
 Defined results: null and empty texts have no items; items don't overlap (an e-mail
 goes before a number, a number before an address, an address before a name); positions
@@ -18,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import pandas as pd
@@ -29,7 +31,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "phone", "id_number", "address", "name")
 MAX_LEXICON = 200_000
 
-# Spellings of the at-sign, street words, identifier labels, file endings.
+# Spellings of the at-sign, schemes, street words, identifier labels, file endings.
+SCHEMES = ["://", "tel:"]
 AT_SIGNS = ["@", "＠", "(at)", "[at]", "{at}", " at "]
 STREETS_AFTER = [
     "street", "st.", "st", "road", "rd.", "rd", "avenue", "ave.", "ave", "lane", "ln.", "ln", "drive", "dr.", "court", "ct.",
@@ -58,33 +61,37 @@ FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "pdf", "md", "txt",
 _CJK_RANGES = "\u2e80-\u9fff\u3040-\u30ff\uac00-\ud7af\uf900-\ufaff"
 _LETTER = rf"[^\W\d_{_CJK_RANGES}]"
 _WORD = re.compile(rf"{_LETTER}+(?:['’]{_LETTER}+)*")
-_CAPITALISED = re.compile(rf"(?<!{_LETTER})(?=[^a-zß-öø-ÿ]){_LETTER}{_LETTER}+(?:['’]{_LETTER}+)*")
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile(r"\d", re.A)
+_AUTHORITY_END = re.compile(r"[/?#\s<>\"']|\Z")
 _WIDE = re.compile("[！-～]")
-_ADDRESS_LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\s?(?:\.|\(dot\)|\[dot\]|\{dot\})\s?|[A-Za-z0-9\-]+ (?:dot|\(dot\)|\[dot\]|\{dot\}) )+[A-Za-z]{2,24}(?![A-Za-z0-9\-])", re.I)
 _DOMAIN_PLAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
-_SPELLED_LOCAL = re.compile(r"([A-Za-z0-9][A-Za-z0-9._%+\-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9][A-Za-z0-9._%+\-]*)*)\s?\Z", re.I)
-
-_NUMBER = re.compile(r"(?<![A-Za-z0-9_])[+(]?\d(?:[\d()  ]|[ \-./](?=[\d(])){0,47}", re.A)
-
+_DOTS = ["(dot)", "[dot]", "{dot}", " dot "]
+_DIGITS = re.compile(r"\d+", re.A)
+#: What may follow the first digit of a telephone number.
+_NUMBER_REST = re.compile(r"(?:[\d()  ]|[ \-./](?=[\d(]))*", re.A)
 _AROUND = " ()-./\xa0\u202f"
+#: Digits of the longest telephone number; characters between a label and its number at most.
+MOST_DIGITS, LABEL_REACH = 15, 14
 
 _IDS = [
-    # pattern, needs a label before it
-    (re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PQR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])"), False),
-    (re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", re.A), False),
-    (re.compile(r"(?<![\w\-.])\d{3} \d{2} \d{4}(?![\w\-]| \d)", re.A), False),
-    (re.compile(r"(?<![\w\-.+])\d{3} \d{3} \d{3} \d{2}(?![\w\-]| \d)", re.A), False),
-    (re.compile(r"(?<![\w\-.+])\d{2} \d{3} \d{3} \d{3}(?![\w\-]| \d)", re.A), True),
-    (re.compile(r"(?<![\w\-.])\d{8}-[A-Z](?![\w\-])", re.A), False),
-    (re.compile(r"(?<![\w\-.])\d{8}[A-Z](?![\w\-])", re.A), False),
-    (re.compile(r"(?<![\w\-.])[XYZ]-?\d{7}-?[A-Z](?![\w\-])", re.A), False),
-    (re.compile(r"(?<![\w\-.])[A-Z]\d{8}(?![\w\-])", re.A), False),
-    (re.compile(r"(?<![\w\-.])[A-Z]{0,2}\d{7,9}(?![\w\-])", re.A), True),
-    (re.compile(r"(?<![\w\-.])\d{11}(?![\w\-])", re.A), True),
+    # pattern, lengths of its first run of digits, characters before it, needs a label before it
+    (re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PQR-TW-Z][A-CEGHJ-NPQR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D](?![A-Za-z0-9])", re.A), (2, 4, 6), (2, 3), False),
+    (re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", re.A), (3,), (0,), False),
+    (re.compile(r"(?<![\w\-.])\d{3} \d{2} \d{4}(?![\w\-]| \d)", re.A), (3,), (0,), False),
+    (re.compile(r"(?<![\w\-.+])\d{3} \d{3} \d{3} \d{2}(?![\w\-]| \d)", re.A), (3,), (0,), False),
+    (re.compile(r"(?<![\w\-.+])\d{2} \d{3} \d{3} \d{3}(?![\w\-]| \d)", re.A), (2,), (0,), True),
+    (re.compile(r"(?<![\w\-.])\d{8}-[A-Z](?![\w\-])", re.A), (8,), (0,), False),
+    (re.compile(r"(?<![\w\-.])\d{8}[A-Z](?![\w\-])", re.A), (8,), (0,), False),
+    (re.compile(r"(?<![\w\-.])[XYZ]-?\d{7}-?[A-Z](?![\w\-])", re.A), (7,), (1, 2), False),
+    (re.compile(r"(?<![\w\-.])[A-Z]\d{8}(?![\w\-])", re.A), (8,), (1,), False),
+    (re.compile(r"(?<![\w\-.])[A-Z]{0,2}\d{7,9}(?![\w\-])", re.A), (7, 8, 9), (0, 1, 2), True),
+    (re.compile(r"(?<![\w\-.])\d{11}(?![\w\-])", re.A), (11,), (0,), True),
 ]
+_IDS_BY_LENGTH = {n: [(k, p, lead) for k, (p, lengths, leads, _) in enumerate(_IDS) if n in lengths for lead in leads] for n in range(1, 12)}
 
+#: A house number with its letter and comma, and the character before it.
+HOUSE_CHARS = 12
 _HOUSE = r"\d{1,4}(?: ?[A-Za-z](?![A-Za-z]))?"
 _NAME_WORD = r"[A-ZÀ-ÞĀ-ž][\w'’\-]*"
 _NOT_AFTER = r"(?<![A-Za-z0-9À-ɏЀ-ӿ\-./,])"
@@ -132,6 +139,10 @@ class Lexicon:
             self.affixes[part] = ({h for h, n in heads.items() if n >= support}, {t for t, n in tails.items() if n >= support and len(t) >= 2})
         self._like: dict[tuple[str, str], bool] = {}
 
+    def anchors(self) -> set[str]:
+        """Whole names, and the endings of words that may be family names."""
+        return set(self.part) | self.affixes["family"][1]
+
     def known(self, word: str, part: str) -> bool:
         return part in self.part.get(word, ())
 
@@ -150,20 +161,23 @@ class Lexicon:
         return self._like[key]
 
 
+_AT, _SCHEME, _DIGIT_HIT, _STREET_AFTER, _STREET_BEFORE, _STREET_END, _LABEL, _NAME = (1 << k for k in range(8))
+
+
 class Finder:
     """Finds all items of a text; built once per task."""
 
     def __init__(self, lexicon: list[tuple[str, str]]) -> None:
         self.lexicon = Lexicon(lexicon)
-        a = ahocorasick.Automaton()
-        kinds: dict[str, set[str]] = defaultdict(set)
-        for words, kind in ((AT_SIGNS, "at"), (STREETS_AFTER, "street_after"), (STREETS_BEFORE, "street_before"), (STREET_ENDINGS, "street_end"), (ID_LABELS, "label")):
-            for w in words:
-                kinds[w].add(kind)
+        kinds: dict[str, int] = defaultdict(int)
+        words = ((AT_SIGNS, _AT), (SCHEMES, _SCHEME), ("0123456789", _DIGIT_HIT), (STREETS_AFTER, _STREET_AFTER), (STREETS_BEFORE, _STREET_BEFORE), (STREET_ENDINGS, _STREET_END), (ID_LABELS, _LABEL), (self.lexicon.anchors(), _NAME))
+        for group, kind in words:
+            for w in group:
+                kinds[w] |= kind
+        self.automaton = ahocorasick.Automaton()
         for w, k in kinds.items():
-            a.add_word(w, (len(w), tuple(sorted(k))))
-        a.make_automaton()
-        self.automaton = a
+            self.automaton.add_word(w, (len(w), k))
+        self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """Sorted (start, end, kind), 0-based, end exclusive."""
@@ -171,54 +185,62 @@ class Finder:
             return []
         flat = _narrow(text)
         low = _same_length_lower(flat)
-        anchors: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for end, (length, kinds) in self.automaton.iter(low):
-            for kind in kinds:
-                anchors[kind].append((end - length + 1, end + 1))
+        anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        runs: list[int] = []  # where runs of digits begin
+        names: list[int] = []  # where words end that may be names
+        digit = -2
+        for end, (length, kind) in self.automaton.iter(low):
+            if kind == _DIGIT_HIT:
+                if end != digit + 1:
+                    runs.append(end)
+                digit = end
+                continue
+            if kind & _NAME and not low[end + 1 : end + 2].isalpha() and (not names or names[-1] != end + 1):
+                names.append(end + 1)
+            if kind != _NAME:
+                for k in (_AT, _SCHEME, _STREET_AFTER, _STREET_BEFORE, _STREET_END, _LABEL):
+                    if kind & k:
+                        anchors[k].append((end - length + 1, end + 1))
         taken = bytearray(len(flat))
         items: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, kind: str) -> None:
-            if start < end and not any(taken[start:end]):
+            if start < end and taken.find(1, start, end) < 0:
                 taken[start:end] = b"\x01" * (end - start)
                 items.append((start, end, kind))
 
-        for s, e in anchors["at"]:
+        hosts = [e for s, e in anchors[_SCHEME] if low[s] == ":"]
+        for s, e in anchors[_AT]:
+            near = bisect_right(hosts, s)
+            # user information of a locator is no address
+            if near and s < _AUTHORITY_END.search(flat, hosts[near - 1]).start():
+                continue
             if span := self._email(flat, low, s, e):
                 add(*span, "email")
-        if _DIGIT.search(flat):
-            for s, e in self._ids(flat, sorted(x for _, x in anchors["label"])):
+        if runs:
+            for s, e in self._ids(flat, runs, sorted(x for _, x in anchors[_LABEL])):
                 add(s, e, "id_number")
-            for s, e in self._phones(flat, taken):
+            for s, e in self._phones(flat, runs, taken, {e for s, e in anchors[_SCHEME] if low[s] == "t"}):
                 add(s, e, "phone")
             for s, e in self._addresses(flat, low, anchors):
                 add(s, e, "address")
-        for s, e in self._names(flat, low):
+        for s, e in self._names(flat, low, names):
             add(s, e, "name")
         return sorted(items)
 
     @staticmethod
     def _email(flat: str, low: str, s: int, e: int) -> tuple[int, int] | None:
         sign = low[s:e]
-        begin = max(0, s - 80)
-        before = flat[begin:s]
         if sign == "@":
-            m = _ADDRESS_LOCAL.search(before)
-            if not m:
+            if not (s and flat[s - 1].isascii() and flat[s - 1].isalnum()):
                 return None
-            # the longest run of address characters, from its first letter or digit
-            k = len(before)
-            while k and (before[k - 1].isascii() and (before[k - 1].isalnum() or before[k - 1] in "._%+-")):
-                k -= 1
-            while k < len(before) and not before[k].isalnum():
-                k += 1
-            start = begin + k
+            start = _local_start(flat, s)
             d = _DOMAIN_PLAIN.match(flat, e) or _DOMAIN.match(flat, e)
         else:
-            m = _SPELLED_LOCAL.search(before)
-            if not m:
+            start = _spelled_start(flat, low, s)
+            if start < 0:
                 return None
-            start, after = begin + m.start(), e
+            after = e
             while after < len(flat) and flat[after] == " ":
                 after += 1
             d = _DOMAIN.match(flat, after)
@@ -231,20 +253,30 @@ class Finder:
         return start, d.end()
 
     @staticmethod
-    def _ids(flat: str, labels: list[int]) -> Iterator[tuple[int, int]]:
-        for pattern, needs_label in _IDS:
-            for m in pattern.finditer(flat):
-                near = bisect_right(labels, m.start())
-                labelled = near > 0 and m.start() - labels[near - 1] <= 14
-                if labelled or not needs_label:
-                    yield m.start(), m.end()
+    def _ids(flat: str, runs: list[int], labels: list[int]) -> Iterator[tuple[int, int]]:
+        """Numbers whose first run of digits is an anchor; shapes that come first win."""
+        found = set()
+        for d in runs:
+            for shape, pattern, lead in _IDS_BY_LENGTH.get(_DIGITS.match(flat, d).end() - d, ()):
+                if d >= lead and (m := pattern.match(flat, d - lead)):
+                    near = bisect_right(labels, m.start())
+                    if not _IDS[shape][3] or near > 0 and m.start() - labels[near - 1] <= LABEL_REACH:
+                        found.add((shape, m.start(), m.end()))
+        return ((s, e) for _, s, e in sorted(found))
 
     @staticmethod
-    def _phones(flat: str, taken: bytearray) -> Iterator[tuple[int, int]]:
+    def _phones(flat: str, runs: list[int], taken: bytearray, schemes: set[int]) -> Iterator[tuple[int, int]]:
+        word = lambda k: k >= 0 and flat[k].isascii() and (flat[k].isalnum() or flat[k] == "_")
         at = 0
-        while m := _NUMBER.search(flat, at):
-            at, s, raw = m.end(), m.start(), m[0].rstrip(_AROUND)
-            if taken[s] or (s and flat[s - 1] in "#№.,/-:@=&%" and raw[:1] not in "+("):
+        for d in runs:
+            if d < at:
+                continue
+            s = d - 1 if d and flat[d - 1] in "+(" and not word(d - 2) else d
+            if word(s - 1):
+                continue
+            at = _NUMBER_REST.match(flat, d + 1).end()
+            raw = _first_digits(flat, s, at).rstrip(_AROUND)
+            if taken[s] or (s and flat[s - 1] in "#№.,/-:@=&%" and raw[:1] not in "+(" and s not in schemes):
                 continue
             if raw.startswith("(") and raw.count("(") > raw.count(")"):
                 raw, s = raw[1:], s + 1
@@ -258,17 +290,18 @@ class Finder:
                 at = s + len(raw)
 
     @staticmethod
-    def _addresses(flat: str, low: str, anchors: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+    def _addresses(flat: str, low: str, anchors: dict[int, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
         edge = lambda k: k >= len(flat) or not (flat[k].isalnum() and flat[k].isascii() or "À" <= flat[k] <= "ɏ" or "Ѐ" <= flat[k] <= "ӿ")
         starts = lambda k: k == 0 or edge(k - 1)
         found = []
-        for s, e in anchors["street_before"]:
+        for s, e in anchors[_STREET_BEFORE]:
             if not starts(s) or not (edge(e) or flat[e - 1] in "./"):
                 continue
             if low[s:e] in ("rue", "boulevard", "avenue", "place", "allée", "chemin", "quai", "impasse"):
-                house, after = _HOUSE_COMMA_BEFORE.search(flat[max(0, s - 12) : s]), _FRENCH_AFTER.match(flat, e)
+                near = max(0, s - HOUSE_CHARS)
+                house, after = _HOUSE_COMMA_BEFORE.search(flat[near:s]), _FRENCH_AFTER.match(flat, e)
                 if house and after and after[0].strip():
-                    found.append((max(0, s - 12) + house.start(1), after.end()))
+                    found.append((near + house.start(1), after.end()))
                     continue
             if "Ѐ" <= low[s] <= "ӿ":
                 m = _CYRILLIC_AFTER.match(flat, e)
@@ -276,14 +309,17 @@ class Finder:
                 m = _LATIN_AFTER.match(flat, e) if flat[s].isupper() else None
             if m:
                 found.append((s, m.end()))
-        for s, e in anchors["street_after"]:
+        for s, e in anchors[_STREET_AFTER]:
             if not edge(e) and flat[e - 1] != "." or s == 0 or flat[s - 1] != " " or not flat[s].isupper():
                 continue
-            begin = max(0, s - 90)
+            begin = s
+            for _ in range(4):  # three words at most stand between the house number and the street word
+                begin = max(0, flat.rfind(" ", 0, begin - 1) + 1) if begin > 0 else 0
+            begin = max(0, begin - HOUSE_CHARS)
             m = _HOUSE_BEFORE.search(flat[begin:s])
             if m:
                 found.append((begin + m.start(1), e))
-        for s, e in anchors["street_end"]:
+        for s, e in anchors[_STREET_END]:
             m = _HOUSE_AFTER.match(flat, e)
             if not m or starts(s) and not flat[s].isupper():
                 continue
@@ -291,42 +327,50 @@ class Finder:
             while k and (flat[k - 1].isalpha() and not _cjk(flat[k - 1]) or flat[k - 1] in "-'’" and k > 1 and flat[k - 2].isalpha()):
                 k -= 1
             if k == s:  # the street word stands alone: take the name before it
-                m2 = re.search(rf"{_NAME_WORD} \Z", flat[max(0, s - 40) : s])
-                k = max(0, s - 40) + m2.start() if m2 else -1
+                before = flat.rfind(" ", 0, s - 1) + 1 if s > 1 else 0
+                m2 = re.search(rf"{_NAME_WORD} \Z", flat[before:s])
+                k = before + m2.start() if m2 else -1
             if k >= 0 and flat[k].isupper():
                 found.append((k, m.end()))
         # the longer item wins where two begin alike
         return iter(sorted(set(found), key=lambda x: (x[0], -x[1])))
 
-    def _names(self, flat: str, low: str) -> Iterator[tuple[int, int]]:
+    def _names(self, flat: str, low: str, ends: list[int]) -> Iterator[tuple[int, int]]:
         lex = self.lexicon
-        anchor = lambda a, b: low[a:b] in lex.part or b - a > 4 and lex.like(low[a:b], "family")
-        if not any(anchor(m.start(), m.end()) for m in _CAPITALISED.finditer(flat)):
+        anchored = set()
+        for e in ends:
+            a = e
+            while a and (_is_letter(flat[a - 1]) or flat[a - 1] in "'’" and a > 1 and _is_letter(flat[a - 2])):
+                a -= 1
+            if a < e and flat[a].isupper() and (low[a:e] in lex.part or e - a > 4 and lex.like(low[a:e], "family")):
+                anchored.add((a, e))
+        if not anchored:
             return
         # words of Latin and related scripts; they may touch scripts without spaces
         words = [m.span() for m in _WORD.finditer(flat)]
-        hits = [k for k, (a, b) in enumerate(words) if flat[a].isupper() and anchor(a, b)]
-
-        def group(k: int, step: int) -> int:
-            """The last word of a hyphenated run from k."""
-            for _ in range(4):  # longer chains aren't names
-                if not 0 <= k + step < len(words):
-                    break
-                a, b = (words[k], words[k + 1]) if step > 0 else (words[k - 1], words[k])
-                if flat[a[1] : b[0]] in ("-", "‐", "‑") and flat[b[0]].isupper():
-                    k += step
-                else:
-                    break
-            return k
+        hits = [k for k, span in enumerate(words) if span in anchored]
+        # the first and last word of the hyphenated run that each word is part of
+        left, right = list(range(len(words))), list(range(len(words)))
+        joined = [flat[a[1] : b[0]] in ("-", "‐", "‑") and flat[b[0]].isupper() for a, b in pairwise(words)]
+        for k, tied in enumerate(joined, 1):
+            if tied:
+                left[k] = left[k - 1]
+        for k in range(len(joined) - 1, -1, -1):
+            if joined[k]:
+                right[k] = right[k + 1]
+        group = lambda k, step: right[k] if step > 0 else left[k]
+        parts: dict[tuple[int, int, str], tuple[bool, bool]] = {}
 
         def is_part(lo: int, hi: int, part: str) -> tuple[bool, bool]:
             """(possible, known) of the words lo..hi as one part of a name."""
-            ws = [low[a:b] for a, b in words[lo : hi + 1]]
-            if any(not flat[a].isupper() or b - a < 2 for a, b in words[lo : hi + 1]):
-                return False, False
-            known = any(lex.known(w, part) for w in ws)
-            possible = known or not all(lex.other(w, part) for w in ws) and any(lex.like(w, part) for w in ws)
-            return possible, known
+            if (lo, hi, part) not in parts:
+                ws = [low[a:b] for a, b in words[lo : hi + 1]]
+                if any(not flat[a].isupper() or b - a < 2 for a, b in words[lo : hi + 1]):
+                    parts[lo, hi, part] = False, False
+                else:
+                    known = any(lex.known(w, part) for w in ws)
+                    parts[lo, hi, part] = known or not all(lex.other(w, part) for w in ws) and any(lex.like(w, part) for w in ws), known
+            return parts[lo, hi, part]
 
         done = -1
         for k in hits:
@@ -379,6 +423,46 @@ class Finder:
         yield lo
 
 
+def _is_letter(c: str) -> bool:
+    return "a" <= c <= "z" or "A" <= c <= "Z" or not c.isascii() and bool(_WORD.match(c))
+
+
+def _local_start(flat: str, s: int) -> int:
+    """Where the run of address characters before ``s`` begins, from its first letter or digit."""
+    k = s
+    while k and flat[k - 1].isascii() and (flat[k - 1].isalnum() or flat[k - 1] in "._%+-"):
+        k -= 1
+    while k < s and not flat[k].isalnum():
+        k += 1
+    return k
+
+
+def _spelled_start(flat: str, low: str, s: int) -> int:
+    """The same where points may be written out; -1 if nothing stands there."""
+    k = s - 1 if s and flat[s - 1].isspace() else s
+    start = -1
+    while True:
+        begin = _local_start(flat, k)
+        if begin == k:
+            return start
+        start = begin
+        for dot in _DOTS:
+            at = next((begin - len(dot) - n for n in (0, 1) if begin >= len(dot) + n and low.startswith(dot + " " * n, begin - len(dot) - n)), -1)
+            if at >= 0:
+                k = at - 1 if at and flat[at - 1] == " " else at
+                break
+        else:
+            return start
+
+
+def _first_digits(flat: str, s: int, e: int) -> str:
+    """``flat[s:e]``, up to a space before more digits than a telephone number has."""
+    for n, m in enumerate(_DIGIT.finditer(flat, s, e)):
+        if n == MOST_DIGITS:
+            return flat[s : m.start()].rpartition(" ")[0] if flat[m.start() - 1] != " " else flat[s : m.start()]
+    return flat[s:e]
+
+
 def _cjk(c: str) -> bool:
     return "⺀" <= c <= "鿿" or "぀" <= c <= "ヿ" or "가" <= c <= "힯"
 

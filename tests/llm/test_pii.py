@@ -47,6 +47,17 @@ CASES = [
     ("Herr Mark Ystoskarn wohnt", [("name", "Mark Ystoskarn")]),
     ("Will August be too late for the Rose branch?", []),
     ("Halvek.branaby@example.org", [("email", "Halvek.branaby@example.org")]),
+    # true edges, however far
+    ("x " + "a.b-" * 40 + "c@mail.example", [("email", "a.b-" * 40 + "c@mail.example")]),
+    ("to " + "kel dot " * 30 + "om at example dot com", [("email", "kel dot " * 30 + "om at example dot com")]),
+    (f"at 12 {'Vex' * 40} {'Jun' * 40} Crescent.", [("address", f"12 {'Vex' * 40} {'Jun' * 40} Crescent")]),
+    (f"in {'Kor' * 30} Straße 5 wohnt", [("address", f"{'Kor' * 30} Straße 5")]),
+    (f"Elsavi-{'Halvek-' * 8}Rose Branaby asked", [("name", f"Elsavi-{'Halvek-' * 8}Rose Branaby")]),
+    ("Call +49 " + "(30) " * 2 + "-" + " 0 1 2 3 4 5 6".replace(" ", " ( ") + " ok", []),
+    # schemes
+    ("see https://user:pw@host.example/x and http://a@b.example", []),
+    ("mailto:a@b.example, https://host.example/?m=c@d.example", [("email", "a@b.example"), ("email", "c@d.example")]),
+    ("tel:0301234567 or x:0301234567", [("phone", "0301234567")]),
 ]
 
 
@@ -66,7 +77,7 @@ def test_replace(finder):
 
 
 def test_long_texts(finder):
-    for text in ("@" * 50_000, "a" * 300_000, "1 " * 100_000, "A-" * 50_000, "Alvida " * 40_000, "+" * 100_000, "SSN " * 30_000 + "1" * 100_000, "Street " * 40_000, "(at)" * 50_000, "İ" * 1000 + " a@b.example"):
+    for text in ("@" * 50_000, "a" * 300_000, "1 " * 100_000, "A-" * 50_000, "Alvida " * 40_000, "+" * 100_000, "SSN " * 30_000 + "1" * 100_000, "Street " * 40_000, "(at)" * 50_000, "://@" * 50_000, "1" + "( " * 50_000 + "1", "x at " * 40_000, "a[dot]" * 30_000 + "[at]b", "12 345 " * 30_000, "St " * 50_000, "weg 1" * 40_000, "İ" * 1000 + " a@b.example"):
         finder.find(text)
 
 
