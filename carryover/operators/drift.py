@@ -4,7 +4,8 @@ Each valid line is read into paths with a tag for the JSON type of every value.
 tagged unions of lines fuse by bitwise or, first inside a task, then per file. Files
 follow each other inside their feed; what vanishes and what appears between two
 neighbours is compared by the values that shared records carry, joined on the value's
-digest, so no pairs of paths or records are spelled out.
+digest, so no pairs of paths or records are spelled out. Only lines of files where both
+happened are read again, and only for the paths that moved.
 
 ``consistent_table`` splits paths of conflicting types into one typed branch per tag
 plus a canonical text, under one name of renamed paths, in array elements too.
@@ -19,7 +20,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -55,7 +57,32 @@ def tag(value: object) -> int:
     return TAGS["array"] if isinstance(value, list) else TAGS["number"]
 
 
-def tagged_paths(record: dict) -> dict[str, list]:
+#: Tags beside those of the types: what decides the column type of a number.
+FRACTION, PAST_DOUBLE, PAST_LONG = 32, 64, 128
+#: Keys of an object that isn't a map, and columns a table may have.
+MOST_KEYS, MOST_PATHS = 1000, 20_000
+
+
+def wide_tag(value: object) -> int:
+    """``tag``, and for numbers whether they are fractions or too large for a type."""
+    bits = tag(value)
+    if bits != TAGS["number"]:
+        return bits
+    if isinstance(value, float):
+        return bits | (FRACTION if math.isfinite(value) else FRACTION | PAST_DOUBLE)
+    if abs(value) > 2**53:
+        bits |= PAST_DOUBLE
+    return bits if -(2**63) <= value < 2**63 else bits | PAST_LONG
+
+
+def number_type(tags: int) -> str:
+    """The column type that holds all numbers of a path exactly: bigint, double, or their text."""
+    if not tags & (FRACTION | PAST_LONG):
+        return "bigint"
+    return "double" if not tags & PAST_DOUBLE else "string"
+
+
+def tagged_paths(record: dict, tag_of: Callable[[object], int] = tag) -> dict[str, list]:
     """path -> [tags, values in order] of all keys with a non-null value."""
     found: dict[str, list] = {}
     todo: list[tuple[str, object]] = [("", record)]
@@ -70,7 +97,7 @@ def tagged_paths(record: dict) -> dict[str, list]:
                 continue
             path = f"{at}.{k}" if at else k
             entry = found.setdefault(path, [0, []])
-            entry[0] |= tag(v)
+            entry[0] |= tag_of(v)
             entry[1].append(v)
             if isinstance(v, dict | list):
                 below.append((path, v))
@@ -91,14 +118,15 @@ def _lines(df: DataFrame, feed: str, file: str, payload: str) -> DataFrame:
     return df.where(F.col(feed).isNotNull() & F.col(file).isNotNull()).select(F.col(feed).cast("bigint").alias("feed_id"), F.col(file).cast("bigint").alias("file_no"), F.col(payload).alias("payload"))
 
 
-def file_paths(lines: DataFrame) -> DataFrame:
-    """(feed_id, file_no, path, tags): the fused tagged union of each file."""
+def file_paths(lines: DataFrame, wide: bool = False) -> DataFrame:
+    """(feed_id, file_no, path, tags): the fused tagged union of each file; with ``wide_tag`` if asked for."""
+    tag_of = wide_tag if wide else tag
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fused: dict[tuple, int] = {}
             for feed, file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for path, (tags, _) in tagged_paths(read_object(text) or {}).items():
+                for path, (tags, _) in tagged_paths(read_object(text) or {}, tag_of).items():
                     fused[feed, file, path] = fused.get((feed, file, path), 0) | tags
             keys = list(zip(*fused, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.string()), pa.array(fused.values(), pa.int32())], names=["feed_id", "file_no", "path", "tags"])
@@ -107,36 +135,32 @@ def file_paths(lines: DataFrame) -> DataFrame:
     return parts.groupBy("feed_id", "file_no", "path").agg(F.bit_or("tags").alias("tags"))
 
 
-def record_values(lines: DataFrame, names: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
-    """(feed_id, file_no, record, path, digest) of every keyed record; path '' is the record itself."""
+def record_values(lines: DataFrame, wanted: DataFrame, names: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
+    """(feed_id, file_no, record, path, digest) of the keyed records of some files.
+
+    ``wanted`` has (feed_id, file_no, paths): one row per file, what to look at there.
+    Path '' is the record itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: dict[tuple, set] = {}
         for batch in batches:
             rows: dict[tuple, None] = {}
-            for feed, file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for n, (feed, file, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 record = read_object(text)
                 key = record and _record_key(record, names)
                 if key is not None:
+                    if (feed, file) not in paths:
+                        paths[feed, file] = set(batch.column(3)[n].as_py())
+                    asked = paths[feed, file]
                     rows[feed, file, key, "", 0] = None
                     for path, (_, values) in tagged_paths(record).items():
-                        rows[feed, file, key, path, _digest(values)] = None
+                        if path in asked:
+                            rows[feed, file, key, path, _digest(values)] = None
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["feed_id", "file_no", "record", "path", "digest"])
 
-    return lines.mapInArrow(run, "feed_id bigint, file_no bigint, record string, path string, digest bigint")
-
-
-def _best_pairs(pdf):  # noqa: ANN001, ANN202
-    """One new path per old one: most matches first, then the same parent, then by name."""
-    parent = lambda p: p.rpartition(".")[0]
-    order = sorted(pdf.itertuples(index=False), key=lambda r: (-r.matches, parent(r.old_path) != parent(r.new_path), r.old_path, r.new_path))
-    old, new, kept = set(), set(), []
-    for r in order:
-        if r.old_path not in old and r.new_path not in new:
-            old.add(r.old_path)
-            new.add(r.new_path)
-            kept.append(r[:4])
-    return type(pdf)(kept, columns=["feed_id", "file_no", "old_path", "new_path"])
+    return lines.join(wanted, ["feed_id", "file_no"]).select("feed_id", "file_no", "payload", "paths").mapInArrow(run, "feed_id bigint, file_no bigint, record string, path string, digest bigint")
 
 
 def schema_changes(df: DataFrame, feed: str, file: str, payload: str, names: tuple[str, ...] = RECORD_KEYS) -> DataFrame:
@@ -160,14 +184,21 @@ def schema_changes(df: DataFrame, feed: str, file: str, payload: str, names: tup
     # records of both files: which vanished values turn up under an appeared path
     pairs = moved.groupBy("feed_id", "file_no").agg(F.count("o").alias("gone"), F.count("w").alias("come")).where("gone > 0 AND come > 0").select("feed_id", "file_no")
     looked_at = moved.join(pairs, ["feed_id", "file_no"], "left_semi").select("feed_id", "file_no", "path", F.col("o").isNull().alias("new")).union(pairs.select("feed_id", "file_no", F.lit(""), F.lit(True)))
-    values = cut(sided(record_values(lines, names)).join(looked_at, ["feed_id", "file_no", "path", "new"], "left_semi").distinct())
+    # back from the pair to the file on either side
+    before = files.select("feed_id", "file_no", "before")
+    place = moved.join(pairs, ["feed_id", "file_no"], "left_semi").join(before, ["feed_id", "file_no"])
+    wanted = place.groupBy("feed_id", F.when(F.col("o").isNull(), F.col("file_no")).otherwise(F.col("before")).alias("file_no")).agg(F.collect_set("path").alias("paths"))
+    values = cut(sided(record_values(lines, wanted, names)).join(looked_at, ["feed_id", "file_no", "path", "new"], "left_semi").distinct())
     records = values.where("new AND path = ''").select("feed_id", "file_no", "record")
     held = values.where("NOT new AND path <> ''").join(records, ["feed_id", "file_no", "record"], "left_semi").select("feed_id", "file_no", "record", F.col("path").alias("old_path"), "digest")
     carried = values.where("new AND path <> ''").select("feed_id", "file_no", "record", F.col("path").alias("new_path"), "digest")
     total = held.groupBy("feed_id", "file_no", "old_path").agg(F.count_distinct("record").alias("total"))
     matched = held.join(carried, ["feed_id", "file_no", "record", "digest"]).groupBy("feed_id", "file_no", "old_path", "new_path").agg(F.count_distinct("record").alias("matches"))
     likely = matched.join(total, ["feed_id", "file_no", "old_path"]).where("2 * matches > total").select("feed_id", "file_no", "old_path", "new_path", "matches")
-    renamed = likely.groupBy("feed_id", "file_no").applyInPandas(_best_pairs, "feed_id bigint, file_no bigint, old_path string, new_path string")
+    # the best new path of each old one, then the best old path of each new one: most matches, the same parent, by name
+    parent = lambda c: F.regexp_extract(c, r"(?s)^(.*)\.[^.]*$", 1)
+    best = lambda df, mine, other: df.withColumn("_n", F.row_number().over(Window.partitionBy("feed_id", "file_no", mine).orderBy(F.desc("matches"), F.desc("near"), other))).where("_n = 1").drop("_n")
+    renamed = best(best(likely.withColumn("near", parent("old_path") == parent("new_path")), "old_path", "new_path"), "new_path", "old_path")
 
     left = lambda name: renamed.select("feed_id", "file_no", F.col(name).alias("path"), F.col("old_path").alias("r_old"), F.col("new_path").alias("r_new"))
     ends = left("old_path").unionByName(left("new_path"))
@@ -195,6 +226,24 @@ def fused_schema(df: DataFrame, family: str, feed: str, file: str, payload: str)
     )
 
 
+def table_schema(df: DataFrame, feed: str, file: str, payload: str, most_keys: int = MOST_KEYS) -> dict[str, int]:
+    """path -> wide tags of all lines, for ``consistent_table``.
+
+    An object with more than ``most_keys`` different keys is a map whose keys are data:
+    it stays one path, tagged as an object, and what is below it isn't spelled out.
+    """
+    paths = file_paths(_lines(df, feed, file, payload), wide=True).groupBy("path").agg(F.bit_or("tags").alias("tags"))
+    above = lambda c: F.regexp_extract(c, r"(?s)^(.*)\.[^.]*$", 1)
+    maps = paths.groupBy(above("path").alias("map")).agg(F.count("*").alias("n")).where((F.col("n") > most_keys) & (F.col("map") != "")).select("map")
+    steps = F.split("path", r"\.")
+    chain = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "."))
+    inside = paths.where(F.size(steps) > 1).select("path", F.explode(chain).alias("map")).join(maps, "map", "left_semi").select("path").distinct()
+    rows = paths.join(inside, "path", "left_anti").limit(MOST_PATHS + 1).collect()
+    if len(rows) > MOST_PATHS:
+        raise ValueError(f"more than {MOST_PATHS} paths")
+    return {r["path"]: r["tags"] for r in rows}
+
+
 def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, int], keep: list[str], payload: str, by_feed: dict[int, dict[str, str]] | None = None, feed: str = "feed_id") -> DataFrame:
     """One row per valid line: ``keep``, then a column per object path of ``schema`` (path -> tags).
 
@@ -202,7 +251,8 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
     names of each feed instead, and a line that holds two names of one field keeps the
     second in the column of its own name. A path of one scalar type is a column of that
     type; otherwise it has a branch ``path__type`` per type and the canonical text
-    ``path``. Column names that clash with ``keep`` get the prefix ``value_``, those that
+    ``path``. Numbers are bigint, double or text, whichever holds all of them exactly; an
+    object none of whose keys are in ``schema`` is a column of JSON text. Column names that clash with ``keep`` get the prefix ``value_``, those that
     differ from another in case alone an underscore at the end. Arrays are
     JSON text whose objects are laid out in the same way, by paths inside the array.
     """
@@ -221,26 +271,30 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
         into = {target(path, n) for n in by_feed.values()} | {path} if own and path in linked else {target(path, None)}
         for name in into:
             newest[name] = newest.get(name, 0) | tags
-    arrow = {"string": pa.string(), "number": pa.float64(), "boolean": pa.bool_(), "object": pa.string(), "array": pa.string()}
-    spark = {"string": "string", "number": "double", "boolean": "boolean", "object": "string", "array": "string"}
+    arrow = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64()}
+    spark = lambda path, k: number_type(newest[path]) if k == "number" else "boolean" if k == "boolean" else "string"
     kinds_of = {path: [k for k, v in TAGS.items() if tags & v] for path, tags in newest.items()}
+    parents = {p.rpartition(".")[0] for p in newest}
+    spelled = {p.rpartition(".")[0] for p in schema}
+    #: objects that are laid out as the paths below them
+    laid = {path for path, kinds in kinds_of.items() if kinds == ["object"] and path in parents}
     canonical = {name for names in (by_feed or {}).values() for name in names.values()}
     label, used = {}, set()  # names that differ in case alone would clash in files
     for path in sorted(kinds_of, key=lambda p: (p in linked and p not in canonical, p)):
-        if kinds_of[path] != ["object"] and "[]" not in path:
+        if path not in laid and "[]" not in path:
             label[path] = f"value_{path}" if path in keep else path
             while label[path].lower() in used:
                 label[path] += "_"
             used.add(label[path].lower())
     columns: list[tuple[str, str, str]] = []  # name, path, type or '' for the canonical text
     for path, kinds in sorted(kinds_of.items()):
-        if kinds == ["object"] or "[]" in path:
+        if path in laid or "[]" in path:
             continue
         name = label[path]
         columns += [(name, path, kinds[0])] if len(kinds) == 1 else [(name, path, ""), *((f"{name}__{k}", path, k) for k in kinds)]
     kept = df.select(*keep, *([F.col(feed).cast("bigint").alias("_feed")] if own else []), payload)
     names = [*keep, *(c[0] for c in columns)]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in (payload, "_feed")), *(f"`{n}` {spark[k or 'string']}" for n, _, k in columns)])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name not in (payload, "_feed")), *(f"`{n}` {spark(p, k)}" for n, p, k in columns)])
     text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, sort_keys=True)
 
     def flat(record: dict, at: str, named: dict[str, str] | None) -> dict[str, object]:
@@ -252,7 +306,7 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
                 if v is not None:
                     path = f"{above}.{k}" if above else k
                     found.append((path, v))
-                    if isinstance(v, dict):
+                    if isinstance(v, dict) and path in spelled:
                         todo.append((path, v))
         out: dict[str, object] = {}
         for path, v in sorted(found, key=lambda x: target(x[0], named) != x[0]):  # a field under its own name goes first
@@ -276,7 +330,7 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
                     if len(kinds) > 1:
                         cells[inner] = text(x)
                         cells[f"{inner}__{next(k for k, b in TAGS.items() if b == tag(x))}"] = x
-                    elif kinds != ["object"] or not x:
+                    elif name not in laid or not x:
                         cells[inner] = x
                 v = cells
             made.append(v)
@@ -300,7 +354,8 @@ def consistent_table(df: DataFrame, renames: dict[str, str], schema: dict[str, i
                 else:
                     bit = TAGS[kind]
                     cells = [v if v is not None and tag(v) == bit else None for v in cells]
-                    made.append(pa.array([None if v is None else float(v) if kind == "number" else text(v) if kind in ("object", "array") else v for v in cells], arrow[kind]))
+                    made_of = {"double": float, "string": text}.get(spark(path, kind), lambda v: v)
+                    made.append(pa.array([None if v is None else made_of(v) for v in cells], arrow[spark(path, kind)]))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(len(keep))), *made], names=names)
 
     return kept.mapInArrow(run, ddl)

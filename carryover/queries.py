@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carryover import record_queries
 from carryover.functions.instants import not_exact_utc, utc_micros
-from carryover.operators.drift import TAGS, canonical_names, consistent_table, fused_schema, schema_changes
+from carryover.operators.drift import canonical_names, consistent_table, fused_schema, schema_changes, table_schema
 from carryover.operators.nested import flatten_json, flatten_typed
 from carryover.operators.snapshots import snapshot_changes
 from carryover.session import table
@@ -60,9 +60,8 @@ def p6_schema(spark: SparkSession, d: str) -> DataFrame:
 
 def _consistent(spark: SparkSession, d: str, family: str) -> DataFrame:
     raw = table(spark, d, "raw_export", heavy=True).where(F.col("file_family") == family)
-    tags = F.aggregate(F.transform(F.split("types", ","), lambda t: F.try_element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), t)), F.lit(0), lambda a, b: a + b)
     # both are bounded by the number of distinct key paths, not by rows
-    schema = {r[0]: r[1] for r in fused_schema(raw, "file_family", "feed_id", "file_no", "payload").select("path", tags).collect()}
+    schema = table_schema(raw, "feed_id", "file_no", "payload")
     renames = [tuple(r) for r in schema_changes(raw, "feed_id", "file_no", "payload").where("change = 'renamed'").select("feed_id", "old_path", "new_path").distinct().orderBy("feed_id", "old_path", "new_path").collect()]
     return consistent_table(raw, {}, schema, ["feed_id", "file_no", "line_no"], "payload", canonical_names(renames))
 

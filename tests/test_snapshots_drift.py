@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from carryover.operators.drift import acyclic, canonical_names, consistent_table, fused_schema, schema_changes
+from carryover.operators.drift import acyclic, canonical_names, consistent_table, fused_schema, schema_changes, table_schema
 from carryover.operators.snapshots import snapshot_changes, tree_bits
 from tests.conftest import rows
 
@@ -116,3 +116,21 @@ def test_names_that_differ_in_case(spark, tmp_path):
     got = consistent_table(df, {}, {"loc": 1, "Loc": 1}, ["feed_id"], "payload", canonical_names([(1, "loc", "Loc")]))
     got.write.parquet(str(tmp_path / "t"))
     assert rows(spark.read.parquet(str(tmp_path / "t")), "feed_id", "loc", "Loc_") == [(1, "a", None), (1, "b", None), (2, None, "c")]
+
+
+def test_numbers_keep_every_digit(spark):
+    big = 2**53 + 1
+    data = [(1, 1, f'{{"i": {big}, "f": 1, "m": {big}, "h": 1}}'), (1, 1, f'{{"i": 2, "f": 1.5, "m": 0.5, "h": {10**30}}}')]
+    df = spark.createDataFrame(data, "feed_id int, file_no int, payload string")
+    got = consistent_table(df, {}, table_schema(df, "feed_id", "file_no", "payload"), ["feed_id"], "payload")
+    assert dict(got.dtypes) == {"feed_id": "int", "i": "bigint", "f": "double", "m": "string", "h": "string"}
+    assert rows(got, "i", "f", "m", "h") == sorted([(big, 1.0, str(big), "1"), (2, 1.5, "0.5", str(10**30))], key=repr)
+
+
+def test_maps_whose_keys_are_data_stay_whole(spark):
+    data = [(1, 1, json.dumps({"id": str(k), "by_id": {f"k{k}": {"v": k}}, "o": {"x": k}})) for k in range(30)]
+    df = spark.createDataFrame(data, "feed_id int, file_no int, payload string")
+    schema = table_schema(df, "feed_id", "file_no", "payload", most_keys=10)
+    assert set(schema) == {"id", "by_id", "o", "o.x"}
+    got = consistent_table(df, {}, schema, ["feed_id"], "payload")
+    assert got.columns == ["feed_id", "by_id", "id", "o.x"] and json.loads(got.where("id = '3'").first()["by_id"]) == {"k3": {"v": 3}}
