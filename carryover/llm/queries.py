@@ -106,5 +106,18 @@ m AS (SELECT k.src, k.id, u.u FROM k JOIN u ON k.src = u.src AND k.t = u.t)
 SELECT DISTINCT a.src, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM m a JOIN (SELECT ua, ub FROM p UNION ALL SELECT DISTINCT u, u FROM m) q ON a.u = q.ua JOIN m b ON b.u = q.ub WHERE a.id <> b.id"""
 
 
+# DuckDB has no NFKC: the full-width forms are put in place by hand, others don't occur in the tables
+_WIDE = "".join(chr(0xFF10 + k) for k in range(10)) + "".join(chr(a + k) for a in (0xFF21, 0xFF41) for k in range(26))
+_NARROW = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"string_split_regex(trim(regexp_replace(lower(regexp_replace(nfc_normalize(translate(text, '{_WIDE}', '{_NARROW}')), '\p{{Cf}}+', '', 'g')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+
+P7_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text <> ''),
+i AS (SELECT item_id, lower(left(lang, 2)) IN ('zh', 'ja') AS dense, {_WORDS} AS w FROM eval_item),
+c AS (SELECT item_id, array_to_string(w, '') AS s FROM i WHERE dense), e AS (SELECT doc_id, array_to_string(w, '') AS s FROM d),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i WHERE NOT dense)), dw AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ic AS (SELECT DISTINCT item_id, substr(s, k, 20) AS g FROM (SELECT item_id, s, unnest(range(1, length(s) - 18)) AS k FROM c)), dc AS (SELECT doc_id, substr(s, k, 20) AS g FROM (SELECT doc_id, s, unnest(range(1, length(s) - 18)) AS k FROM e))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g) UNION SELECT DISTINCT doc_id, item_id FROM dc JOIN ic USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL, "p7_found": P7_SQL}
