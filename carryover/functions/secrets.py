@@ -6,6 +6,7 @@ expression per rule; masking, which must merge overlapping spans, is an Arrow UD
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -35,7 +36,19 @@ def check_policy(action: str, allowlist: set[str]) -> None:
         raise ValueError(f"unknown rules {sorted(unknown)}")
 
 
-FINDING = "array<struct<rule_id:string,field_path:string,start:bigint,end:bigint,disposition:string>>"
+FINDING = "array<struct<rule_id:string,field_path:string,start:bigint,end:bigint,disposition:string,key_hash:string>>"
+
+#: What every shape contains; only texts with one of these go on to the rules.
+CUES = r"sk-|A3T|AKIA|ASIA|ABIA|ACCA|ghp_|github_pat_|(?i:private key)|(?i:password)"
+
+
+def _disposition(rule: str, action: str, allowlist: frozenset[str]) -> str:
+    return "allowlisted" if rule in allowlist else "blocked" if action == "block" else "passed"
+
+
+def _finding(rule: str, path: str, start: int, end: int, how: str, key: str | None = None) -> dict:
+    digest = None if key is None else "sha256:" + hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()
+    return {"rule_id": rule, "field_path": path, "start": start, "end": end, "disposition": how, "key_hash": digest}
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -47,7 +60,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def findings(text: Column, field_path: str, action: str = "pass", allowlist: frozenset[str] = frozenset()) -> Column:
-    """Array of (rule_id, field_path, start, end, disposition), byte spans, rule by rule; null text has none.
+    """Array of (rule_id, field_path, start, end, disposition, key_hash), byte spans, rule by rule; null text has none.
 
     A JVM test of the same rules lets only texts with a hit into Python.
     """
@@ -55,8 +68,7 @@ def findings(text: Column, field_path: str, action: str = "pass", allowlist: fro
 
     @F.pandas_udf(FINDING)
     def scan(values: pd.Series) -> pd.Series:
-        how = lambda rule: "allowlisted" if rule in allowlist else "blocked" if action == "block" else "passed"
-        return values.map(lambda v: [{"rule_id": r, "field_path": field_path, "start": s, "end": e, "disposition": how(r)} for r, s, e in find_secrets(v)])
+        return values.map(lambda v: [_finding(r, field_path, s, e, _disposition(r, action, allowlist)) for r, s, e in find_secrets(v)])
 
     return F.when(may_hold_secret(text), scan(text)).otherwise(F.array().cast(FINDING))
 
@@ -91,11 +103,13 @@ def mask(values: pd.Series) -> pd.Series:
 
 
 def may_hold_secret(text: Column) -> Column:
-    """A cheap JVM test that lets only possible hits into the masking UDF."""
-    found = F.lit(False)
-    for pattern in RULES.values():
-        found = found | text.rlike(pattern)
-    return F.coalesce(found, F.lit(False))
+    """A cheap JVM test, one pass for all rules, that lets only possible hits into Python."""
+    return F.coalesce(text.rlike(CUES), F.lit(False))
+
+
+def holds_secret(text: Column) -> Column:
+    """Whether masking would change the text."""
+    return F.when(may_hold_secret(text), mask(text) != text).otherwise(F.lit(False))
 
 
 def masked(text: Column) -> Column:
@@ -117,21 +131,31 @@ def _walk(value: object, at: str):  # noqa: ANN202
             todo += [(f"{here}/{str(k).replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(list(v.items()))]
 
 
-def find_in_json(value: object, at: str = "") -> list[tuple[str, str, int, int, bool]]:
-    """(rule, pointer, first byte, byte behind the last, in a key) over all values and keys.
-
-    A hit in a key has the pointer of the object. The value of a key ``password`` counts
-    as assigned to it, so a bare value is found too.
-    """
+def _json_hits(value: object, at: str = "") -> list[tuple[str, str, int, int, str | None]]:
+    """(rule, pointer, first byte, byte behind the last, key that holds it or None), in document order."""
     out = []
     for pointer, text, is_key in _walk(value, at):
         found = [(r, s, e) for r, s, e in find_secrets(text)]
         if not is_key and pointer.rpartition("/")[2].lower() == "password":
             found += [(r, s - 9, e - 9) for r, s, e in find_secrets(f"password={text}") if r == "password-assignment" and s == 9]
-        out += [(r, pointer, s, e, is_key) for r, s, e in found]
+        out += [(r, pointer, s, e, text if is_key else None) for r, s, e in found]
     return out
 
 
+def find_in_json(value: object, at: str = "") -> list[tuple[str, str, int, int, bool]]:
+    """(rule, pointer, first byte, byte behind the last, in a key) over all values and keys.
+
+    A hit in a key has the pointer of the object. The value of a key ``password`` counts
+    as assigned to it, so a bare value is found too.
+    """
+    return [(r, p, s, e, key is not None) for r, p, s, e, key in _json_hits(value, at)]
+
+
+def find_in_keys(value: object, at: str = "") -> list[tuple[str, str, int, int, bool]]:
+    """The findings of ``find_in_json`` that lie in keys."""
+    return [x for x in find_in_json(value, at) if x[4]]
+
+
 def mask_json(value: object) -> object:
     """The value with all its strings masked; keys stay as they are."""
     if isinstance(value, str):
@@ -153,11 +177,12 @@ def json_findings(column: Column, action: str = "pass", allowlist: frozenset[str
             if not isinstance(text, str):
                 return []
             try:
-                hits = find_in_json(json.loads(text))
+                hits = _json_hits(json.loads(text))
             except (ValueError, RecursionError):
-                hits = [(r, "", s, e, False) for r, s, e in find_secrets(text)]
-            return [{"rule_id": r, "field_path": p, "start": s, "end": e, "disposition": "allowlisted" if r in allowlist else "blocked" if action == "block" else "passed"} for r, p, s, e, _ in hits]
+                hits = [(r, "", s, e, None) for r, s, e in find_secrets(text)]
+            return [_finding(r, p, s, e, _disposition(r, action, allowlist), k) for r, p, s, e, k in hits]
 
         return values.map(one)
 
-    return F.when(column.isNotNull(), scan(column)).otherwise(F.array().cast(FINDING))
+    # escapes may spell a cue
+    return F.when(may_hold_secret(column) | column.contains(r"\u"), scan(column)).otherwise(F.array().cast(FINDING))

@@ -45,6 +45,7 @@ def calendar_date(text: Column) -> Column:
 # Source kinds that carry the owner's own statements, those that don't, and the kinds of the record exchange format.
 OWNER_KINDS = ["profile", "preference", "instruction"]
 PLAIN_KINDS = ["project", "tool"]
+KNOWN_KINDS = OWNER_KINDS + PLAIN_KINDS
 EXCHANGE_KINDS = {"profile": "identity", "identity": "identity", "instruction": "procedural", "procedural": "procedural", "episodic": "episodic", "working": "working"}
 
 
@@ -54,7 +55,7 @@ def dna_class(kind: Column) -> Column:
 
 def kind_is_inferred(kind: Column) -> Column:
     """Whether the class of a kind is a guess, because the kind is missing or unknown."""
-    return F.coalesce(~kind.isin(OWNER_KINDS + PLAIN_KINDS), F.lit(True))
+    return F.coalesce(~kind.isin(KNOWN_KINDS), F.lit(True))
 
 
 def exchange_kind(kind: Column) -> Column:

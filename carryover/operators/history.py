@@ -38,3 +38,9 @@ def merge_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def violations(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that should be unique and aren't, with their counts."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def latest_run(df: DataFrame, moment: str, run: str) -> DataFrame:
+    """All rows of the newest run; two runs of one moment are told apart by their id."""
+    newest = df.agg(F.max(F.struct(moment, run)).alias("m")).select(F.col(f"m.{run}").alias(run)).where(F.col(run).isNotNull())
+    return df.join(newest, run, "left_semi")

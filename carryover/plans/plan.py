@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.canonical_json import digest
-from carryover.functions.secrets import may_hold_secret
+from carryover.functions.secrets import holds_secret
 from carryover.operators.history import carry_forward, merge_latest, violations
 from carryover.operators.reconcile import field_differences, three_way
 
@@ -64,7 +64,7 @@ def make_plan(records: DataFrame, prior: DataFrame, target_state: DataFrame, tar
     for name, df in (("records", records), ("prior", prior), ("target", target_state)):
         if bad := violations(df.select("canonical_id"), ["canonical_id"]).limit(1).collect():
             raise ValueError(f"{name}: {bad[0][0]} occurs {bad[0][1]} times")
-    if records.where(may_hold_secret(F.col("canonical_id"))).limit(1).count():
+    if records.where(holds_secret(F.col("canonical_id"))).limit(1).count():
         raise ValueError("an identity holds a secret")
     state = three_way(prior, records, target_state, "canonical_id", "content_hash")
     write = F.col("outcome").isin("new", "source_changed")
@@ -117,8 +117,10 @@ def apply_plan(accepted_digest: str, again: Callable[[], Plan], records: DataFra
         entries = plan.entries.join(checked, "canonical_id", "left").select(F.lit(run_id).alias("run_id"), "canonical_id", "disposition", "reason", F.col("status").alias("verification"), F.array_join("differing", ",").alias("differing"))
         if receipts is None:
             return entries
-        missing = carry_forward(receipts.select("canonical_id", "disposition", "verification", "differing"), entries, ["canonical_id"])
-        return entries.unionByName(missing.select(F.lit(run_id).alias("run_id"), "canonical_id", "disposition", "reason", "verification", "differing"))
+        # what its source no longer has stays on record, as omitted and not verified by this run
+        missing = carry_forward(receipts.select("canonical_id"), entries, ["canonical_id"])
+        none = F.lit(None).cast("string")
+        return entries.unionByName(missing.select(F.lit(run_id).alias("run_id"), "canonical_id", F.lit("omitted").alias("disposition"), "reason", none.alias("verification"), none.alias("differing")))
 
 
 def merge_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover import record_queries
+from carryover import decision_queries, record_queries
 from carryover.functions.instants import not_exact_utc, utc_micros
 from carryover.operators.drift import canonical_names, consistent_table, fused_schema, schema_changes, table_schema
 from carryover.operators.nested import flatten_json, flatten_typed
@@ -78,7 +78,7 @@ def p6_memories_table(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     own = (p2_found, p3_found, p5_found, p6_found, p6_schema, p6_memory_table, p6_memories_table)
-    return {f.__name__: f for f in own} | record_queries.QUERIES
+    return {f.__name__: f for f in own} | record_queries.QUERIES | decision_queries.QUERIES
 
 
 P3_SQL = """WITH r AS (SELECT id, snapshot_no::BIGINT AS s, max(coalesce(content, text)) AS b, bool_or(coalesce(deleted, false)) AS x FROM memory WHERE id IS NOT NULL GROUP BY 1, 2)
@@ -150,4 +150,4 @@ FROM (SELECT family, p AS path, list(DISTINCT t) AS ts, count(DISTINCT (n.feed_i
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_schema": P6_SCHEMA_SQL} | record_queries.SQL
+    return {"p2_found": P2_SQL, "p3_found": P3_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_schema": P6_SCHEMA_SQL} | record_queries.SQL | decision_queries.SQL

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carryover.functions import identity as ident
 from carryover.functions import secrets
 from carryover.functions import text as txt
+from carryover.operators import gate
 from carryover.operators.coverage import json_leaves, unreported
 from carryover.operators.dedup import duplicate_key, exact_duplicates, resolve_aliases
 from carryover.operators.history import carry_forward, latest_per_chain, merge_latest, violations
@@ -44,6 +45,18 @@ def _b32_sql(digest: str, hex_chars: int) -> str:
     return f"array_to_string(list_transform(range({hex_chars // 5}), lambda i: {letters}), '')"
 
 
+def _nth(k: int) -> str:
+    """SQL for the number of the newest delivery but ``k``."""
+    return f"(SELECT DISTINCT snapshot_no FROM memory WHERE snapshot_no IS NOT NULL ORDER BY 1 DESC LIMIT 1 OFFSET {k})"
+
+
+def _deliveries(spark: SparkSession, d: str) -> list[int]:
+    """The numbers of the three newest deliveries, newest first; what isn't there is -1."""
+    m = table(spark, d, "memory").where("snapshot_no IS NOT NULL")
+    found = [r[0] for r in m.select("snapshot_no").distinct().orderBy(F.desc("snapshot_no")).limit(3).collect()]
+    return [*found, -1, -1, -1][:3]
+
+
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
 def content_hash_docs(spark: SparkSession, d: str) -> DataFrame:
     """Content hash of every document."""
@@ -111,11 +124,11 @@ def reader_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT export_no, account_uuid, memory_files IS NOT NULL AS has_files, conversations_memory, project_memories, unnest(range(len(memory_files))) AS pos, memory_files FROM memories),
-f AS (SELECT export_no, account_uuid || ':' || coalesce(memory_files[pos + 1].path, '#' || pos) AS source_record_id, 'memory_file' AS part, pos::BIGINT AS pos, 'sha256:' || sha256(memory_files[pos + 1].content) AS content_hash, CASE WHEN memory_files[pos + 1].path IS NULL OR memory_files[pos + 1].content IS NULL THEN 'invalid_memory_file' END AS anomaly FROM m)
+f AS (SELECT export_no, coalesce(account_uuid, 'unknown_account') || ':' || coalesce(memory_files[pos + 1].path, '#' || pos) AS source_record_id, 'memory_file' AS part, pos::BIGINT AS pos, 'sha256:' || sha256(memory_files[pos + 1].content) AS content_hash, CASE WHEN memory_files[pos + 1].path IS NULL OR memory_files[pos + 1].content IS NULL THEN 'invalid_memory_file' END AS anomaly FROM m)
 SELECT * FROM f
-UNION ALL SELECT export_no, account_uuid || ':conversations', 'conversations', 0, 'sha256:' || sha256(conversations_memory), NULL FROM memories WHERE memory_files IS NULL AND conversations_memory IS NOT NULL
-UNION ALL SELECT export_no, account_uuid || ':conversations', 'conversations', 0, 'sha256:' || sha256(conversations_memory), 'legacy_memory_fields_not_reimported' FROM memories WHERE memory_files IS NOT NULL AND conversations_memory IS NOT NULL
-UNION ALL SELECT export_no, account_uuid || ':project:' || e.key, 'project', 0, 'sha256:' || sha256(e.value), CASE WHEN e.has_files THEN 'legacy_memory_fields_not_reimported' WHEN e.value IS NULL THEN 'invalid_project_memory' END FROM (SELECT export_no, account_uuid, memory_files IS NOT NULL AS has_files, unnest(map_entries(project_memories)).key AS key, unnest(map_entries(project_memories)).value AS value FROM memories) e""")
+UNION ALL SELECT export_no, coalesce(account_uuid, 'unknown_account') || ':conversations', 'conversations', 0, 'sha256:' || sha256(conversations_memory), NULL FROM memories WHERE memory_files IS NULL AND conversations_memory IS NOT NULL
+UNION ALL SELECT export_no, coalesce(account_uuid, 'unknown_account') || ':conversations', 'conversations', 0, 'sha256:' || sha256(conversations_memory), 'legacy_memory_fields_not_reimported' FROM memories WHERE memory_files IS NOT NULL AND conversations_memory IS NOT NULL
+UNION ALL SELECT export_no, coalesce(account_uuid, 'unknown_account') || ':project:' || e.key, 'project', 0, 'sha256:' || sha256(e.value), CASE WHEN e.has_files THEN 'legacy_memory_fields_not_reimported' WHEN e.value IS NULL THEN 'invalid_project_memory' END FROM (SELECT export_no, account_uuid, memory_files IS NOT NULL AS has_files, unnest(map_entries(project_memories)).key AS key, unnest(map_entries(project_memories)).value AS value FROM memories) e""")
 def account_memories(spark: SparkSession, d: str) -> DataFrame:
     """Files and older memory fields of account exports as records."""
     return exports.account_memories(table(spark, d, "memories"))
@@ -140,14 +153,18 @@ def front_matter_split(spark: SparkSession, d: str) -> DataFrame:
     return files.select("export_no", F.col("pos").cast("bigint").alias("pos"), parts.alias("p")).select("export_no", "pos", "p.front", ident.content_hash(F.col("p.body")).alias("body_hash"), "p.unclosed")
 
 
-@query("""WITH l AS (SELECT row_no, '[' || coalesce(created_at, '') || '] [' || coalesce(kind, 'none') || '] ' || regexp_replace(coalesce(content, text), '\\s+', ' ', 'g') AS line FROM memory WHERE coalesce(content, text) IS NOT NULL),
-p AS (SELECT row_no, regexp_extract(line, '^\\[([^\\]]+)\\]\\s+\\[([^\\]]+)\\]\\s+(.+)$', 1) AS day, regexp_extract(line, '^\\[([^\\]]+)\\]\\s+\\[([^\\]]+)\\]\\s+(.+)$', 2) AS kind, trim(regexp_extract(line, '^\\[([^\\]]+)\\]\\s+\\[([^\\]]+)\\]\\s+(.+)$', 3)) AS body, regexp_matches(line, '^\\[([^\\]]+)\\]\\s+\\[([^\\]]+)\\]\\s+(.+)$') AS ok FROM l),
-k AS (SELECT *, sha256(day || chr(0) || kind || chr(0) || body) AS identity FROM p)
-SELECT row_no, CASE WHEN NOT ok THEN 'invalid_prompt_line' WHEN row_number() OVER (PARTITION BY CASE WHEN ok THEN identity ELSE row_no::VARCHAR END ORDER BY row_no) > 1 THEN 'duplicate_prompt_line' WHEN NOT (regexp_matches(day, '^\\d{4}-\\d{2}-\\d{2}$') AND try_cast(day AS DATE) IS NOT NULL) THEN 'invalid_prompt_date' END AS anomaly, CASE WHEN ok THEN kind END AS kind FROM k""")
+_PROMPT = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.+)$"
+_BREAKS = r"[\n\r\x{85}\x{2028}\x{2029}]"
+
+
+@query(f"""WITH l AS (SELECT row_no, '[' || coalesce(created_at, '') || '] [' || coalesce(kind, 'none') || '] ' || regexp_replace(coalesce(content, text), '{_BREAKS}', ' ', 'g') AS line FROM memory WHERE coalesce(content, text) IS NOT NULL),
+p AS (SELECT row_no, trim(regexp_extract(line, '{_PROMPT}', 1)) AS day, trim(regexp_extract(line, '{_PROMPT}', 2)) AS kind, trim(regexp_extract(line, '{_PROMPT}', 3)) AS body, regexp_matches(line, '{_PROMPT}') AS ok FROM l),
+k AS (SELECT *, sha256(day || chr(0) || kind || chr(0) || {_fold_sql("body")}) AS identity FROM p)
+SELECT row_no, CASE WHEN NOT ok THEN 'invalid_prompt_line' WHEN row_number() OVER (PARTITION BY CASE WHEN ok THEN identity ELSE row_no::VARCHAR END ORDER BY row_no) > 1 THEN 'duplicate_prompt_line' WHEN day <> 'unknown' AND NOT (regexp_matches(day, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND try_cast(day AS DATE) IS NOT NULL) THEN 'invalid_prompt_date' END AS anomaly, CASE WHEN ok THEN kind END AS kind FROM k""")
 def prompt_lines(spark: SparkSession, d: str) -> DataFrame:
     """Memories written as prompt lines and read back: the first of equal lines wins."""
     m = table(spark, d, "memory", heavy=True)
-    body = F.regexp_replace(F.coalesce("content", "text"), r"\s+", " ")
+    body = F.regexp_replace(F.coalesce("content", "text"), _BREAKS, " ")
     lines = m.select("row_no", F.concat(F.lit("["), F.coalesce("created_at", F.lit("")), F.lit("] ["), F.coalesce("kind", F.lit("none")), F.lit("] "), body).alias("line")).where("line IS NOT NULL")
     return exports.prompt_lines(lines, "row_no", "line").select("row_no", "anomaly", "kind")
 
@@ -170,12 +187,50 @@ def _with_password(docs: DataFrame) -> DataFrame:
     return docs.where("text IS NOT NULL").select("doc_id", F.concat("text", F.lit("\npassword="), F.md5("text")).alias("text"))
 
 
-@query("""SELECT lang, count(*) AS total, count(*) FILTER (WHERE regexp_matches(text, 'AKIA[A-Z2-7]{16}|ghp_[0-9a-zA-Z]{36}')) AS blocked FROM documents GROUP BY 1""")
+# One made-up token for each rule, in their order; the last two overlap.
+_TOKENS = [
+    "sk-" + "a1B2c3D4e5F6g7H8i9J0" + "T3BlbkFJ" + "k1L2m3N4o5P6q7R8s9T0", "sk-ant-api03-" + "x" * 93 + "AA", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "z" * 36, "github_pat_" + "w" * 82,
+    "-----BEGIN PRIVATE KEY-----" + "M" * 70 + "-----END PRIVATE KEY-----", "password=" + "correcthorse", "password=ghp_" + "y" * 36,
+]
+
+
+def _digit(k: int) -> str:
+    return f"('0x' || substr(md5(canonical_id), {k}, 1))::INT"
+
+
+_GATED = f"""WITH r AS (SELECT DISTINCT canonical_id, scope, source_kind, content, tags FROM canonical_record), v AS (SELECT canonical_id, scope, CASE WHEN {_digit(3)} = 3 THEN 'secretRef' ELSE source_kind END AS kind, {_digit(3)} AS d3,
+content || CASE {_digit(1)} {' '.join(f"WHEN {k} THEN ' {t}'" for k, t in enumerate(_TOKENS))} ELSE '' END AS content, CASE WHEN {_digit(2)} = 0 THEN ' {_TOKENS[2]} ' ELSE '' END AS tag, CASE WHEN {_digit(4)} = 0 THEN '{{"{_TOKENS[3]}": 1}}' ELSE '' END AS extra FROM r),
+rules(rule, pattern, rank) AS (VALUES {', '.join(f"('{n}', '{p}', {k})" for k, (n, p) in enumerate(secrets.RULES.items()))}),
+h AS (SELECT canonical_id, rule, field * 10 + rank AS place, len(regexp_extract_all(t, pattern, 1)) AS hits FROM (SELECT canonical_id, content AS t, 1 AS field FROM v UNION ALL SELECT canonical_id, extra, 2 FROM v UNION ALL SELECT canonical_id, tag, 3 FROM v), rules),
+f AS (SELECT canonical_id, sum(hits)::BIGINT AS findings, sum(hits) FILTER (WHERE rule = 'github-pat')::BIGINT AS allowed, min_by(rule, place) FILTER (WHERE hits > 0 AND rule <> 'github-pat') AS first FROM h GROUP BY 1),
+g AS (SELECT v.canonical_id, scope, findings, allowed, CASE WHEN kind = 'secretRef' THEN 'omitted' WHEN first IS NOT NULL OR d3 = 0 THEN 'rejected' WHEN d3 IN (1, 2) THEN 'unresolved' END AS gate_status,
+CASE WHEN kind = 'secretRef' THEN 'secret_reference_unsupported' WHEN first IS NOT NULL THEN first WHEN d3 = 0 THEN 'consent_export_disabled' WHEN d3 = 1 THEN 'memory_disabled' WHEN d3 = 2 THEN 'deletion_needs_decision' END AS gate_code FROM v JOIN f ON v.canonical_id = f.canonical_id)"""
+
+
+def _gated(spark: SparkSession, d: str) -> DataFrame:
+    """Records with planted tokens in three fields, consents and wishes to delete, through the gate; one rule is allowed."""
+    r = table(spark, d, "canonical_record", heavy=True).select("canonical_id", "scope", "source_kind", "content", "tags").distinct()
+    digit = lambda k: F.conv(F.substring(F.md5("canonical_id"), k, 1), 16, 10).cast("int")
+    token = F.coalesce(*(F.when(digit(1) == k, f" {t}") for k, t in enumerate(_TOKENS)), F.lit(""))
+    none = lambda t: F.lit(None).cast(t)
+    consent = F.struct((digit(3) != 0).alias("exportable"), none("string").alias("retention"), none("array<string>").alias("redact"), (digit(3) != 1).alias("memory_enabled"))
+    planted = r.select(
+        "canonical_id", "scope", F.when(digit(3) == 3, "secretRef").otherwise(F.col("source_kind")).alias("source_kind"), F.concat("content", token).alias("content"), ident.content_hash(F.col("content")).alias("content_hash"), consent.alias("consent"),
+        F.when(digit(2) == 0, F.array_append(F.coalesce("tags", F.array().cast("array<string>")), F.lit(_TOKENS[2]))).otherwise(F.col("tags")).alias("tags"), F.when(digit(4) == 0, F.lit(f'{{"{_TOKENS[3]}": 1}}')).alias("source_extra"), F.when(digit(3) == 2, "owner").alias("deletion_intent"),
+    )
+    return gate.gated(planted, "block", frozenset({"github-pat"}))
+
+
+@query(f"{_GATED} SELECT canonical_id, gate_status, gate_code, findings FROM g")
+def gate_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    """What the gate says of each record, and why: secrets anywhere in it, consent, deletion."""
+    return _gated(spark, d).select("canonical_id", "gate_status", "gate_code", F.size("sensitive_findings").cast("bigint").alias("findings"))
+
+
+@query(f"{_GATED} SELECT scope, count(*) AS total, sum(findings)::BIGINT AS findings, sum(findings - allowed)::BIGINT AS blocked, sum(allowed)::BIGINT AS allowlisted FROM g GROUP BY 1")
 def gate_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and those the gate would block, by language."""
-    docs = table(spark, d, "documents").select("lang", secrets.findings(F.col("text"), "/content", "block").alias("f"))
-    key = F.exists("f", lambda x: x["rule_id"].isin("aws-access-token", "github-pat"))
-    return docs.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(key).alias("blocked"))
+    """Records and findings by scope: all, blocked, allowed."""
+    return gate.summary(_gated(spark, d), ["scope"])
 
 
 _DEDUP_META = "coalesce(scope, '~') || chr(1) || coalesce(scope_qualifier, '~') || chr(1) || coalesce(dna_class, '~') || chr(1) || coalesce(evidence_level, '~') || chr(1) || coalesce(source_kind, '~')"
@@ -191,14 +246,15 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_duplicates(keyed, "canonical_id", "k").select("canonical_id", "duplicate_of", "group_size")
 
 
-@query("""WITH r AS (SELECT DISTINCT id, sha256(coalesce(content, text, '')) AS body, snapshot_no FROM memory WHERE id IS NOT NULL),
-p AS (SELECT body, min(id) AS rep FROM r WHERE snapshot_no = 4 GROUP BY 1 HAVING count(*) > 1), a AS (SELECT r.id, p.rep FROM r JOIN p USING (body) WHERE snapshot_no = 4 AND r.id <> p.rep), c AS (SELECT id, body FROM r WHERE snapshot_no = 5)
+@query(f"""WITH r AS (SELECT DISTINCT id, sha256(coalesce(content, text, '')) AS body, snapshot_no FROM memory WHERE id IS NOT NULL),
+p AS (SELECT body, min(id) AS rep FROM r WHERE snapshot_no = {_nth(1)} GROUP BY 1 HAVING count(*) > 1), a AS (SELECT r.id, p.rep FROM r JOIN p USING (body) WHERE snapshot_no = {_nth(1)} AND r.id <> p.rep), c AS (SELECT id, body FROM r WHERE snapshot_no = {_nth(0)})
 SELECT a.id, a.rep AS representative, CASE WHEN x.id IS NULL THEN 'absent' WHEN x.body = c.body THEN 'still' ELSE 'changed' END AS status FROM a JOIN c ON a.id = c.id LEFT JOIN c x ON x.id = a.rep""")
 def alias_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     """Duplicates of one snapshot against the next: do they still stand for each other?"""
     keyed = table(spark, d, "memory").where("id IS NOT NULL").select("id", "snapshot_no", F.sha2(F.coalesce("content", "text", F.lit("")), 256).alias("k")).distinct()
-    before = exact_duplicates(keyed.where("snapshot_no = 4"), "id", "k").where("duplicate_of IS NOT NULL").select("id", F.col("duplicate_of").alias("representative"))
-    return resolve_aliases(keyed.where("snapshot_no = 5"), before, "id", "k")
+    last, previous, _ = _deliveries(spark, d)
+    before = exact_duplicates(keyed.where(F.col("snapshot_no") == previous), "id", "k").where("duplicate_of IS NOT NULL").select("id", F.col("duplicate_of").alias("representative"))
+    return resolve_aliases(keyed.where(F.col("snapshot_no") == last), before, "id", "k")
 
 
 @query("""WITH r AS (SELECT satellite_id, received_at, run_id FROM receipts), m AS (SELECT satellite_id, max(received_at) AS received_at FROM r GROUP BY 1)
@@ -216,11 +272,12 @@ def shared_basis(spark: SparkSession, d: str) -> DataFrame:
     return latest_per_chain(receipts, ["target", "writer", "location"], [F.col("received_at")], ["run_id", "received_at"])
 
 
-@query("""WITH c AS (SELECT DISTINCT id FROM memory WHERE snapshot_no = 5), p AS (SELECT DISTINCT id, account_uuid FROM memory WHERE snapshot_no = 4 AND id IS NOT NULL) SELECT id, account_uuid, 'source_missing' AS reason FROM p WHERE id NOT IN (SELECT id FROM c WHERE id IS NOT NULL)""")
+@query(f"""WITH c AS (SELECT DISTINCT id FROM memory WHERE snapshot_no = {_nth(0)}), p AS (SELECT DISTINCT id, account_uuid FROM memory WHERE snapshot_no = {_nth(1)} AND id IS NOT NULL) SELECT id, account_uuid, 'source_missing' AS reason FROM p WHERE id NOT IN (SELECT id FROM c WHERE id IS NOT NULL)""")
 def carry_forward_missing(spark: SparkSession, d: str) -> DataFrame:
     """Memories on record whose source no longer has them."""
     m = table(spark, d, "memory").where("id IS NOT NULL")
-    return carry_forward(m.where("snapshot_no = 4").select("id", "account_uuid").distinct(), m.where("snapshot_no = 5"), ["id"])
+    last, before, _ = _deliveries(spark, d)
+    return carry_forward(m.where(F.col("snapshot_no") == before).select("id", "account_uuid").distinct(), m.where(F.col("snapshot_no") == last), ["id"])
 
 
 @query("""WITH n AS (SELECT path, source, count(*) AS n FROM documents WHERE path IS NOT NULL AND lang = 'en' GROUP BY ALL), o AS (SELECT path, source, count(*) AS n FROM documents WHERE path IS NOT NULL GROUP BY ALL)
@@ -246,13 +303,14 @@ def relocation_candidates_found(spark: SparkSession, d: str) -> DataFrame:
 _SIDE = "SELECT id, max(sha256(coalesce(content, text, '') || '|' || coalesce(kind, ''))) AS h FROM memory WHERE snapshot_no = {} AND id IS NOT NULL GROUP BY 1"
 
 
-@query(f"""WITH p AS ({_SIDE.format(3)}), t AS ({_SIDE.format(4)}), s AS ({_SIDE.format(5)})
+@query(f"""WITH p AS ({_SIDE.format(_nth(2))}), t AS ({_SIDE.format(_nth(1))}), s AS ({_SIDE.format(_nth(0))})
 SELECT coalesce(p.id, s.id, t.id) AS id, CASE WHEN p.h = s.h AND p.h = t.h THEN 'unchanged' WHEN p.h IS NOT NULL AND s.h = t.h THEN 'converged' WHEN p.h = t.h AND s.h IS NOT NULL THEN 'source_changed' WHEN p.h = s.h AND t.h IS NOT NULL THEN 'target_changed'
 WHEN p.h IS NOT NULL AND s.h IS NOT NULL AND t.h IS NOT NULL THEN 'conflict' WHEN p.h IS NULL AND t.h IS NULL THEN 'new' WHEN p.h IS NULL AND s.h IS NULL THEN 'target_untracked' WHEN p.h IS NULL THEN 'both_new' WHEN t.h IS NOT NULL THEN 'source_missing' WHEN s.h IS NOT NULL THEN 'deleted_in_target' ELSE 'gone' END AS outcome
 FROM p FULL JOIN s ON p.id = s.id FULL JOIN t ON coalesce(p.id, s.id) = t.id""")
 def reconcile_dispositions(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshot 3 as settled state, 5 as source, 4 as target: what happened to each record."""
-    prior, target, source = _sides(spark, d, 3, 4, 5)
+    """The third newest delivery as settled state, the newest as source, the one between as target."""
+    last, before, first = _deliveries(spark, d)
+    prior, target, source = _sides(spark, d, first, before, last)
     return three_way(prior, source, target, "id", "h").select("id", "outcome")
 
 
@@ -262,20 +320,22 @@ def _sides(spark: SparkSession, d: str, *numbers: int) -> list[DataFrame]:
     return [m.where(F.col("snapshot_no") == n).groupBy("id").agg(F.max(digest).alias("h")) for n in numbers]
 
 
-@query(f"""WITH p AS ({_SIDE.format(3)}), t AS ({_SIDE.format(4)}), s AS ({_SIDE.format(5)})
+@query(f"""WITH p AS ({_SIDE.format(_nth(2))}), t AS ({_SIDE.format(_nth(1))}), s AS ({_SIDE.format(_nth(0))})
 SELECT p.id, 'sha256:' || sha256('conflict' || p.id || p.h || s.h || t.h) AS cluster_id FROM p JOIN s ON p.id = s.id JOIN t ON p.id = t.id WHERE p.h <> s.h AND p.h <> t.h AND s.h <> t.h""")
 def conflict_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Identity of each conflict between source and target."""
-    prior, target, source = _sides(spark, d, 3, 4, 5)
+    last, before, first = _deliveries(spark, d)
+    prior, target, source = _sides(spark, d, first, before, last)
     conflicts = three_way(prior, source, target, "id", "h").where("outcome = 'conflict'")
     return conflicts.select("id", ident.cluster_id("conflict", F.col("id"), F.col("prior_hash"), F.col("source_hash"), F.col("target_hash")).alias("cluster_id"))
 
 
-@query(f"""WITH p AS ({_SIDE.format(4)}), s AS ({_SIDE.format(5)}), o AS (SELECT CASE WHEN p.h IS NULL THEN 'accepted' WHEN s.h IS NULL THEN 'omitted' WHEN p.h = s.h THEN 'already_migrated' ELSE 'transformed' END AS disposition FROM p FULL JOIN s ON p.id = s.id)
+@query(f"""WITH p AS ({_SIDE.format(_nth(1))}), s AS ({_SIDE.format(_nth(0))}), o AS (SELECT CASE WHEN p.h IS NULL THEN 'accepted' WHEN s.h IS NULL THEN 'omitted' WHEN p.h = s.h THEN 'already_migrated' ELSE 'transformed' END AS disposition FROM p FULL JOIN s ON p.id = s.id)
 SELECT disposition, count(*) AS n, CASE WHEN disposition IN ('accepted', 'transformed') THEN 0 ELSE 3 END AS exit_class FROM o GROUP BY ALL""")
 def plan_summary(spark: SparkSession, d: str) -> DataFrame:
     """Records to write, to change, settled and missing, with the exit class each leads to."""
-    prior, source = _sides(spark, d, 4, 5)
+    last, before, _ = _deliveries(spark, d)
+    prior, source = _sides(spark, d, before, last)
     both = prior.withColumnRenamed("h", "p").join(source.withColumnRenamed("h", "s"), "id", "full")
     how = F.when(F.col("p").isNull(), "accepted").when(F.col("s").isNull(), "omitted").when(F.col("p") == F.col("s"), "already_migrated").otherwise("transformed")
     return both.groupBy(how.alias("disposition")).agg(F.count("*").alias("n")).withColumn("exit_class", F.when(F.col("disposition").isin("accepted", "transformed"), 0).otherwise(3))
@@ -308,7 +368,7 @@ def vector_checks(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.size("embedding").alias("dim"), (F.size("embedding") != 64).alias("wrong_dim"), odd.alias("not_finite"))
 
 
-@query("""WITH a AS (SELECT id, max(content) AS content, max(kind) AS kind, max(created_at) AS created_at FROM memory WHERE snapshot_no = 4 AND id IS NOT NULL GROUP BY 1), b AS (SELECT id, max(content) AS content, max(kind) AS kind, max(created_at) AS created_at FROM memory WHERE snapshot_no = 5 AND id IS NOT NULL GROUP BY 1)
+@query(f"""WITH a AS (SELECT id, max(content) AS content, max(kind) AS kind, max(created_at) AS created_at FROM memory WHERE snapshot_no = {_nth(1)} AND id IS NOT NULL GROUP BY 1), b AS (SELECT id, max(content) AS content, max(kind) AS kind, max(created_at) AS created_at FROM memory WHERE snapshot_no = {_nth(0)} AND id IS NOT NULL GROUP BY 1)
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'unexpected' WHEN d = '' THEN 'verified' ELSE 'mismatch' END AS status, CASE WHEN a.id IS NULL OR b.id IS NULL THEN '' ELSE d END AS differing
 FROM (SELECT a, b, concat_ws(',', CASE WHEN a.content IS DISTINCT FROM b.content THEN 'content' END, CASE WHEN a.kind IS DISTINCT FROM b.kind THEN 'kind' END, CASE WHEN a.created_at IS DISTINCT FROM b.created_at THEN 'created_at' END) AS d FROM a FULL JOIN b ON a.id = b.id)""")
 def readback_verify(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +376,8 @@ def readback_verify(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "memory").where("id IS NOT NULL")
     fields = ["content", "kind", "created_at"]
     side = lambda n: m.where(F.col("snapshot_no") == n).groupBy("id").agg(*(F.max(c).alias(c) for c in fields))
-    return field_differences(side(4), side(5), "id", fields).select("id", "status", F.array_join("differing", ",").alias("differing"))
+    last, before, _ = _deliveries(spark, d)
+    return field_differences(side(before), side(last), "id", fields).select("id", "status", F.array_join("differing", ",").alias("differing"))
 
 
 @query("""SELECT source.satellite_id AS satellite_id, CASE WHEN count(DISTINCT source.system) = 0 THEN 'unknown' WHEN count(DISTINCT source.system) = 1 THEN min(source.system) ELSE 'mixed' END AS system, count(DISTINCT source.system) AS systems, count(*) AS records FROM canonical_record GROUP BY 1""")
@@ -332,17 +393,29 @@ def uniqueness_violations(spark: SparkSession, d: str) -> DataFrame:
     return violations(table(spark, d, "receipts"), ["run_id", "target"])
 
 
-@query("""SELECT event_id, '/' || k AS leaf, CAST(json_extract_string(props, '$.' || k) AS VARCHAR) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE k <> 'k' OR true""")
+_NESTED = """WITH RECURSIVE n AS (SELECT event_id, event_type, '{"p": ' || props || ', "t/y": {"kind": "' || event_type || '", "list": [1, {"a": 2}], "none": null, "empty": {}}, "id": ' || event_id || '}' AS j FROM events),
+e AS (SELECT event_id, event_type, '' AS leaf, j::JSON AS v FROM n UNION ALL SELECT event_id, event_type, leaf || '/' || replace(replace(k, '~', '~0'), '/', '~1'), x FROM (SELECT event_id, event_type, leaf, unnest(json_keys(v)) AS k, unnest(json_extract(v, '$.*')) AS x FROM e WHERE json_type(v) = 'OBJECT')),
+l AS (SELECT event_id, event_type, leaf, CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL WHEN 'NULL' THEN 'null' ELSE v::VARCHAR END AS value FROM e WHERE json_type(v) <> 'OBJECT' OR len(json_keys(v)) = 0)"""
+
+
+def _nested_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their properties inside a deeper document."""
+    e = table(spark, d, "events")
+    deep = F.concat(F.lit('{"p": '), "props", F.lit(', "t/y": {"kind": "'), "event_type", F.lit('", "list": [1, {"a": 2}], "none": null, "empty": {}}, "id": '), F.col("event_id").cast("string"), F.lit("}"))
+    return e.select("event_id", "event_type", deep.alias("props"))
+
+
+@query(f"{_NESTED} SELECT event_id, leaf, value FROM l")
 def event_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """Every leaf of the event properties."""
-    return json_leaves(table(spark, d, "events"), "event_id", "props")
+    """Every leaf of nested event documents; an array is one leaf."""
+    return json_leaves(_nested_events(spark, d), "event_id", "props")
 
 
-@query("""WITH l AS (SELECT event_id, unnest(json_keys(props)) AS k FROM events) SELECT event_id, '/' || k AS leaf FROM l SEMI JOIN (SELECT event_id FROM events WHERE event_type <> 'click') e USING (event_id)""")
+@query(f"{_NESTED} SELECT event_id, leaf FROM l WHERE leaf <> '/id' AND NOT (event_type = 'click' AND (leaf LIKE '/p/%' OR leaf = '/t~1y/kind'))")
 def unreported_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Leaves that no reader mapped, when only clicks map theirs."""
-    e = table(spark, d, "events")
-    mapped = e.where("event_type = 'click'").select("event_id", F.lit("/k").alias("path"))
+    """Leaves that no reader mapped: all map the id, clicks also a whole object and one leaf of another."""
+    e = _nested_events(spark, d)
+    mapped = e.select("event_id", F.explode(F.when(F.col("event_type") == "click", F.array(F.lit("/id"), F.lit("/p"), F.lit("/t~1y/kind"))).otherwise(F.array(F.lit("/id")))).alias("path"))
     return unreported(json_leaves(e, "event_id", "props"), mapped, "event_id").select("event_id", "leaf")
 
 
@@ -378,12 +451,12 @@ def record_problems(spark: SparkSession, d: str) -> DataFrame:
     return problems(table(spark, d, "canonical_record")).groupBy("canonical_id", "problem").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type <> 'click' THEN md5(props) END AS rest FROM (SELECT event_id, event_type, '{"k": ' || json_extract_string(props, '$.k') || '}' AS props FROM events)""")
+@query("""SELECT event_id, md5(CASE WHEN event_type = 'click' THEN '' ELSE '"p": ' || p || ', ' END || '"t/y": {"empty": {}, ' || CASE WHEN event_type = 'click' THEN '' ELSE '"kind": "' || event_type || '", ' END || '"list": [1, {"a": 2}], "none": null}}') AS rest FROM (SELECT event_id, event_type, '{"k": ' || json_extract_string(props, '$.k') || '}' AS p FROM events)""".replace("md5(CASE", "md5('{' || CASE"))
 def preserved_fields(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of the event properties when clicks have mapped theirs (digest of the JSON text)."""
+    """What is left of nested event documents when readers have mapped theirs (digest of the JSON text)."""
     from carryover.operators.coverage import preserved
 
-    e = table(spark, d, "events").select("event_id", "props", F.when(F.col("event_type") == "click", F.array(F.lit("/k"))).alias("mapped"))
+    e = _nested_events(spark, d).withColumn("mapped", F.when(F.col("event_type") == "click", F.array(F.lit("/id"), F.lit("/p"), F.lit("/t~1y/kind"))).otherwise(F.array(F.lit("/id"))))
     return preserved(e, "props", "mapped", "rest").select("event_id", F.md5("rest").alias("rest"))
 
 

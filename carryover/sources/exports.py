@@ -6,11 +6,11 @@ tells about instead of failing. Row-level damage never stops a run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carryover.functions.identity import content_hash
-from carryover.functions.text import calendar_date
+from carryover.functions.text import calendar_date, fold_whitespace
 
 
 def saved_memories(df: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def saved_memories(df: DataFrame) -> DataFrame:
 
 def account_memories(df: DataFrame) -> DataFrame:
     """Memory files of account exports; older fields are records only where there is no file list."""
-    account = F.col("account_uuid")
+    account = F.coalesce("account_uuid", F.lit("unknown_account"))
     row = lambda d, rid, part, pos, body, anomaly: d.select("export_no", rid.alias("source_record_id"), F.lit(part).alias("part"), pos.cast("bigint").alias("pos"), content_hash(body).alias("content_hash"), anomaly.alias("anomaly"))
     files = df.select("export_no", "account_uuid", F.posexplode("memory_files").alias("pos", "f"))
     bad = F.when(F.col("f.path").isNull() | F.col("f.content").isNull(), "invalid_memory_file")
@@ -62,18 +62,22 @@ PROMPT_LINE = r"^\[([^\]]+)\]\s+\[([^\]]+)\]\s+(.+)$"
 def prompt_lines(df: DataFrame, order: str, line: str) -> DataFrame:
     """Lines ``[date] [kind] content``: (day, kind, body, anomaly) beside the columns of ``df``.
 
-    The first of equal lines by ``order`` wins; a group of equal lines of any size is
-    found by one aggregate, not by sorting it.
+    The first of equal lines by ``order`` wins, whatever the spaces inside them; a group of
+    equal lines of any size is found by one aggregate, not by sorting it.
     """
-    part = lambda k: F.regexp_extract(line, PROMPT_LINE, k)
-    ok: Column = F.col(line).rlike(PROMPT_LINE)
+    # one pass lays the parts out behind marks; a line that doesn't fit has none
+    laid = F.split(F.regexp_replace(line, PROMPT_LINE, "\u0001$1\u0001$2\u0001$3"), "\u0001", 4)
+    part = lambda k: F.when(F.size(laid) == 4, F.get(laid, F.lit(k)))
     nul = F.lit("\0")
-    parsed = df.withColumns({"ok": ok, "day": part(1), "kind": part(2), "body": F.trim(part(3))})
-    parsed = parsed.withColumn("identity", F.when(F.col("ok"), F.sha2(F.concat("day", nul, "kind", nul, "body"), 256)))
-    first = parsed.where("ok").groupBy("identity").agg(F.min(order).alias("_first"))
-    joined = parsed.join(first, "identity", "left")
-    anomaly = F.when(~F.col("ok"), "invalid_prompt_line").when(F.col(order) != F.col("_first"), "duplicate_prompt_line").when(~calendar_date(F.col("day")), "invalid_prompt_date")
-    return joined.select(*df.columns, F.when(F.col("ok"), F.col("day")).alias("day"), F.when(F.col("ok"), F.col("kind")).alias("kind"), F.when(F.col("ok"), F.col("body")).alias("body"), anomaly.alias("anomaly"))
+    parsed = df.withColumns({"day": F.trim(part(1)), "kind": F.trim(part(2)), "body": F.trim(part(3))})
+    parsed = parsed.withColumn("identity", F.sha2(F.concat("day", nul, "kind", nul, fold_whitespace(F.col("body"))), 256))
+    good = parsed.where("identity IS NOT NULL")
+    first = good.groupBy("identity").agg(F.min(order).alias("_first"))
+    anomaly = F.when(F.col(order) != F.col("_first"), "duplicate_prompt_line").when((F.col("day") != "unknown") & ~calendar_date(F.col("day")), "invalid_prompt_date")
+    none = F.lit(None).cast("string")
+    told = good.join(first, "identity").select(*df.columns, "day", "kind", "body", anomaly.alias("anomaly"))
+    # lines that don't fit have no identity and stay out of the join
+    return told.unionByName(parsed.where("identity IS NULL").select(*df.columns, none.alias("day"), none.alias("kind"), none.alias("body"), F.lit("invalid_prompt_line").alias("anomaly")))
 
 
 def source_shape(names: DataFrame, path: str) -> DataFrame:

@@ -112,7 +112,7 @@ def test_plan_apply_round_trip(spark, tmp_path):
         plans.apply_plan("sha256:0", again, df, lambda x: notes.write_notes(x, root), state, None, "r0", ["content_hash"])
     old = spark.createDataFrame([("z" * 32, "accepted", "verified", "")], "canonical_id string, disposition string, verification string, differing string")
     receipt = plans.apply_plan(plan.digest, again, df, lambda x: notes.write_notes(x, root), state, old, "r1", ["content_hash"])
-    assert rows(receipt, "disposition", "verification", "reason") == sorted([("accepted", "verified", None)] * 2 + [("accepted", "verified", "source_missing")], key=repr)
+    assert rows(receipt, "disposition", "verification", "reason") == sorted([("accepted", "verified", None)] * 2 + [("omitted", None, "source_missing")], key=repr)
     settled = plans.make_plan(hashes, hashes, state(), root)
     assert rows(plans.summary(settled)) == [("omitted", "unchanged", 2)]
     assert rows(notes.write_notes(df, root), "status") == [("unchanged",)] * 2
