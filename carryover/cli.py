@@ -1,11 +1,13 @@
-"""Command line: init, plan, apply, show, discover, sync.
+"""Command line: init, plan, apply, decide, show, discover, sync.
 
     python -m carryover.cli init HOME
     python -m carryover.cli plan SOURCE --to HOME --report plan.json
     python -m carryover.cli apply plan.json --yes
 
-A source is a folder or ZIP of Markdown notes and chat exports. Exit codes: 0 clean, 1
-input or output, 3 incomplete, 4 stale basis.
+A source is a folder or ZIP of Markdown notes, note vaults and chat exports. A target is a
+folder, with the writer before it where it isn't ``notes`` (``exchange:DIR``). The report
+is masked JSON; entries, anomalies, inventory and conflicts lie beside it as parquet. Exit
+codes: 0 clean, 1 input or output, 3 incomplete, 4 stale basis.
 """
 
 from __future__ import annotations
@@ -20,107 +22,129 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carryover.functions.canonical_json import canonical, strict_load
-from carryover.functions.identity import canonical_id, content_hash
-from carryover.functions.secrets import RULES, findings, mask_json
-from carryover.functions.text import dna_class, fold_whitespace, kind_is_inferred
-from carryover.operators.dedup import duplicate_key, exact_duplicates
+from carryover.functions.secrets import RULES, check_policy, mask_json, masked
+from carryover.operators import gate
 from carryover.plans import home as homes
+from carryover.plans import pipeline as pipe
 from carryover.plans import plan as plans
 from carryover.session import cut, ship_code
-from carryover.sinks import notes
 from carryover.sinks.files import read_or_none, replace_file
-from carryover.sources import exports, inventory
-from carryover.sources.markdown import markdown_records
+from carryover.sinks.writers import WRITERS
 
-FIELDS = ["canonical_id", "scope", "scope_qualifier", "dna_class", "evidence_level", "source_kind", "source_locator", "created_at", "updated_at", "content", "content_hash"]
 
+def targets_of(given: list[str]) -> list[tuple[str, str, str]]:
+    """(target, writer, folder) of each ``[writer:]folder``; several of one writer are numbered."""
+    out = []
+    for text in given:
+        ident, _, at = text.partition(":") if text.partition(":")[0] in WRITERS else ("notes", "", text)
+        n = sum(w == ident for _, w, _ in out)
+        out.append((f"{ident}{n + 1}" if n else ident, ident, os.path.realpath(at)))
+    if len({at for *_, at in out}) != len(out):
+        raise ValueError("two targets are one folder")
+    return out
 
-def read_source(spark: SparkSession, source: str, satellite: str) -> DataFrame:
-    """Records of all files of a source that a reader claims; indexes are left out."""
-    files = inventory.scan_zip(spark, source) if os.path.isfile(source) else inventory.scan_folder(spark, source)
-    claims = exports.source_shape(files.select("path"), "path").select("path", "claim")
-    claimed = files.join(F.broadcast(claims), "path")
-    md = markdown_records(claimed.where("claim = 'markdown'"), satellite).where("NOT registered_only AND content IS NOT NULL").withColumn("source_locator", F.col("path"))
-    saved = exports.read_saved_memories(claimed.where("claim = 'saved_memories' AND path NOT LIKE '%user.json'")).where("body IS NOT NULL AND memory_enabled")
-    ident = canonical_id(F.lit("saved_memories"), F.lit(satellite), F.col("source_record_id"))
-    kind = F.coalesce("kind", "type")
-    chat = saved.select(ident.alias("canonical_id"), F.lit("user").alias("scope"), F.lit(None).cast("string").alias("scope_qualifier"), dna_class(kind).alias("dna_class"), F.when(kind_is_inferred(kind), "inferred").otherwise("official").alias("evidence_level"), kind.alias("source_kind"), F.concat("path", F.lit("#"), F.col("pos").cast("string")).alias("source_locator"), "created_at", "updated_at", F.col("body").alias("content"), "content_hash")
-    return md.select(*FIELDS).unionByName(chat.select(*FIELDS))
 
-
-def gated(records: DataFrame, policy: dict) -> DataFrame:
-    """``records`` with (blocked_by): the first rule that blocks each, by the home's policy."""
-    found = findings(F.col("content"), "/content", policy.get("gate", "pass"), frozenset(policy.get("allowlist", [])))
-    return records.withColumn("blocked_by", F.get(F.filter(found, lambda x: x["disposition"] == "blocked"), F.lit(0))["rule_id"])
-
-
-def chosen_records(spark: SparkSession, source: str, satellite: str, policy: dict) -> tuple[DataFrame, DataFrame]:
-    """(records to plan, records that are blocked or duplicates, with the reason)."""
-    every = gated(read_source(spark, source, satellite), policy).withColumn("k", duplicate_key([F.col(c) for c in ("scope", "scope_qualifier", "dna_class", "source_kind")], fold_whitespace(F.col("content"))))
-    marked = exact_duplicates(every, "canonical_id", "k", eligible=F.col("blocked_by").isNull())
-    out = marked.where("blocked_by IS NOT NULL OR duplicate_of IS NOT NULL").select("canonical_id", F.coalesce(F.concat(F.lit("rejected:"), "blocked_by"), F.concat(F.lit("duplicate_of:"), "duplicate_of")).alias("reason"))
-    return marked.where("blocked_by IS NULL AND duplicate_of IS NULL").select(*FIELDS), out
-
-
-def state_of(spark: SparkSession, root: str) -> DataFrame:
-    if not os.path.isdir(os.path.join(root, "memories")) or not any(n.endswith(".md") for n in os.listdir(os.path.join(root, "memories"))):
-        return spark.createDataFrame([], "canonical_id string, content_hash string")
-    return notes.read_notes(spark, root).where("canonical_id IS NOT NULL").select("canonical_id", content_hash(F.col("body")).alias("content_hash"))
-
-
-def prior_of(spark: SparkSession, root: str, satellite: str) -> DataFrame:
-    """What the newest runs of a satellite settled: (canonical_id, content_hash)."""
-    empty = spark.createDataFrame([], "canonical_id string, content_hash string")
-    if not os.path.isdir(os.path.join(root, homes.CONTROL, "receipts", f"satellite_id={satellite}")):
-        return empty
-    settled = homes.read_receipts(spark, root, satellite).where("settled_hash IS NOT NULL")
-    return settled.groupBy("canonical_id").agg(F.max(F.struct("filed_at", "settled_hash"))["settled_hash"].alias("content_hash"))
-
-
-def make(spark: SparkSession, source: str, root: str) -> tuple[plans.Plan, DataFrame, DataFrame, str]:
+def _policy(root: str, gate_action: str | None, allow: list[str]) -> dict:
+    """The home's settings, with what the call overrides."""
     config = homes.read_config(root)
-    known = [(s["satellite_id"], s.get("path")) for s in config.get("satellites", [])]
-    satellite = homes.resolve(known, os.path.realpath(source)).satellite_id
-    records, left_out = (cut(x) for x in chosen_records(spark, source, satellite, config))
-    plan = plans.make_plan(records.select("canonical_id", "content_hash"), prior_of(spark, root, satellite), cut(state_of(spark, root)), root)
-    # the target may hold notes of other satellites: what neither we nor history know is theirs
-    plan.entries = cut(plan.entries.where("NOT (reason <=> 'target_untracked')"))
-    plan.digest = plans.frame_digest(plan.entries, plan.entries.columns)
-    return plan, records, left_out, satellite
-
-
-def cmd_plan(spark: SparkSession, source: str, root: str, report: str) -> int:
-    plan, _, left_out, satellite = make(spark, source, root)
-    counts = [r.asDict() for r in plans.summary(plan).orderBy("disposition", "reason").collect()]
-    reasons = [r.asDict() for r in left_out.groupBy(F.split("reason", ":")[0].alias("reason")).count().orderBy("reason").collect()]
-    body = {"digest": plan.digest, "source": os.path.realpath(source), "target": os.path.realpath(root), "satellite_id": satellite, "summary": counts, "left_out": reasons}
+    config = config | ({"gate": gate_action} if gate_action else {}) | {"allowlist": sorted({*config.get("allowlist", []), *allow})}
+    check_policy(config.get("gate", "pass"), set(config["allowlist"]))
+    return config
+
+
+def _apart(source: str, targets: list[tuple[str, str, str]], report: str) -> None:
+    """Refuses a source, target or report that lies inside another."""
+    places = [os.path.realpath(source), *(at for *_, at in targets)]
+    inside = lambda a, b: a == b or a.startswith(b.rstrip("/") + "/")
+    for k, a in enumerate(places):
+        if any(inside(a, b) or inside(b, a) for b in places[:k]):
+            raise ValueError("source and targets overlap")
+    if inside(os.path.realpath(report), places[0]):
+        raise ValueError("the report would lie in the source")
+
+
+def _verdicts(spark: SparkSession, root: str) -> DataFrame:
+    at = os.path.join(root, homes.CONTROL, "verdicts")
+    return spark.read.schema(pipe.VERDICT).parquet(at) if os.path.isdir(at) else spark.createDataFrame([], pipe.VERDICT)
+
+
+def make(spark: SparkSession, body: dict) -> pipe.Prepared:
+    """The plan of a report's source, targets and settings, from what is there now."""
+    targets = [tuple(t) for t in body["targets"]]
+    return pipe.prepare(spark, body["source"], targets, body["satellite_id"], pipe.receipts(spark, body["home"]), _verdicts(spark, body["home"]), body["policy"], os.path.isfile(os.path.join(body["source"], homes.CONTROL, "config.json")))
+
+
+def cmd_plan(spark: SparkSession, source: str, to: list[str], report: str, home: str | None = None, satellite: str | None = None, fresh: bool = False, gate_action: str | None = None, allow: list[str] | None = None) -> int:
+    targets = targets_of(to)
+    home = os.path.realpath(home or targets[0][2])
+    _apart(source, targets, report)
+    path = os.path.realpath(source)
+    policy = _policy(home, gate_action, allow or [])
+    known = [(s["satellite_id"], s.get("path")) for s in homes.read_config(home).get("satellites", [])]
+    found = homes.resolve(known, path, satellite)
+    body = {"source": path, "home": home, "targets": [list(t) for t in targets], "satellite_id": found.satellite_id, "policy": {"gate": policy.get("gate", "pass"), "allowlist": policy["allowlist"]}}
+    plan = make(spark, body)
+    if found.how == "derived" and not fresh and (moved := pipe.moved_from(spark, plan.records, pipe.receipts(spark, home), found.satellite_id)):
+        told = ", ".join(f"{s} ({n} records, {r:.0%})" for s, n, r in moved[:5])
+        raise ValueError(f"this source looks like one that moved: {told}; name it with --satellite, or give --new")
+    g = plan.gathered
+    anomalies = cut(g.output.anomalies.unionByName(pipe.unreported_anomalies(plan.records.join(g.output.records.select("canonical_id", "path", "fields", "mapped"), "canonical_id"))))
+    listed = lambda df, *by: [r.asDict() for r in df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(*by).collect()]
+    total = gate.summary(plan.records, []).first().asDict()
+    body |= {
+        "digest": plan.digest, "kind": g.kind, "system": g.system, "summary": pipe.counts(plan.entries), "inventory": listed(g.inventory, "status", "state"), "anomalies": listed(anomalies, "code"), "gate": {k: v or 0 for k, v in total.items()},
+        "counts": [r.asDict() for r in g.output.counts.agg(F.coalesce(F.sum("registered_count"), F.lit(0)).alias("registered"), F.coalesce(F.sum("deleted_count"), F.lit(0)).alias("deleted")).collect()], "unavailable": [r.asDict() for r in g.output.unavailable.distinct().orderBy("system", "layer").collect()],
+    }
     replace_file(os.path.abspath(report), (canonical(mask_json(body)) + "\n").encode(), None)
-    print(json.dumps(body["summary"]), json.dumps(reasons))
-    return plans.exit_code(plan)
+    os.chmod(os.path.abspath(report), 0o600)
+    beside = {"entries": plan.entries.drop("own", "alias"), "anomalies": anomalies.select(masked(F.col("path")).alias("path"), "code", "line", masked(F.col("field_path")).alias("field_path")), "inventory": g.inventory, "clusters": plan.clusters}
+    for name, df in beside.items():
+        df.write.mode("errorifexists").parquet(f"{os.path.abspath(report)}.d/{name}")
+    print(json.dumps(body["summary"]))
+    return pipe.exit_class(plan.entries)
 
 
-def cmd_apply(spark: SparkSession, report: str, yes: bool) -> int:
-    body = strict_load((read_or_none(os.path.abspath(report)) or b"null").decode())
-    if not isinstance(body, dict):
+def _report(path: str) -> dict:
+    body = strict_load((read_or_none(os.path.abspath(path)) or b"null").decode())
+    if not isinstance(body, dict) or not {"digest", "source", "home", "targets", "satellite_id", "policy"} <= set(body):
         raise ValueError("no plan report")
-    if not yes and input(f"Write {body['summary']} to {body['target']}? [y/N] ").strip().lower() != "y":
+    return body
+
+
+def cmd_apply(spark: SparkSession, report: str, yes: bool) -> int:
+    body = _report(report)
+    if not yes and input(f"Write {body['summary']} to {body['targets']}? [y/N] ").strip().lower() != "y":
         return 3
-    source, root = body["source"], body["target"]
-    plan, records, _, satellite = make(spark, source, root)  # made again from what is there now
-    run = uuid.uuid4().hex
-    entries = plans.apply_plan(
-        body["digest"], lambda: plan, records, lambda chosen: notes.write_notes(chosen, root), lambda: state_of(spark, root), None, run, ["content_hash"],
-    )
-    planned = plan.entries.select("canonical_id", "prior_hash", "source_hash")
-    settled = F.when(F.col("verification") == "verified", F.col("source_hash")).when(F.col("reason").isin("unchanged", "converged"), F.col("source_hash")).otherwise(F.col("prior_hash"))
-    filed = entries.join(planned, "canonical_id", "left").select("canonical_id", "disposition", "reason", "verification", settled.alias("settled_hash"), F.current_timestamp().alias("filed_at"))
-    path = homes.file_receipt(filed, root, satellite, run)
-    config = homes.read_config(root)
-    if satellite not in {s["satellite_id"] for s in config.get("satellites", [])}:
-        homes.write_config(root, config | {"satellites": [*config.get("satellites", []), {"satellite_id": satellite, "path": source}]})
-    done = {r[0]: r[1] for r in spark.read.parquet(path).groupBy(F.coalesce("verification", "reason", "disposition")).count().collect()}
+    home = body["home"]
+    entries = pipe.apply(spark, body["digest"], lambda: make(spark, body), pipe.receipts(spark, home), home)
+    config = homes.read_config(home)
+    others = [s for s in config.get("satellites", []) if s["satellite_id"] != body["satellite_id"]]
+    if [s.get("path") for s in config.get("satellites", []) if s["satellite_id"] == body["satellite_id"]] != [body["source"]]:
+        homes.write_config(home, config | {"satellites": [*others, {"satellite_id": body["satellite_id"], "path": body["source"]}]})
+    done = [r.asDict() for r in entries.groupBy("target", F.coalesce("verification", "code", "status").alias("result")).agg(F.count("*").alias("n")).orderBy("target", "result").collect()]
     print(json.dumps(done))
-    return 3 if done.get("mismatch") or done.get("missing") else 0
+    return pipe.exit_class(entries)
+
+
+def cmd_decide(spark: SparkSession, report: str, chosen: list[str], keep: str) -> int:
+    """Records which side of conflicts to keep; ``all`` stands for every open one of the report."""
+    body = _report(report)
+    open_ = spark.read.parquet(f"{os.path.abspath(report)}.d/clusters").groupBy("cluster_id").agg(F.collect_set("canonical_id").alias("canonical_ids"))
+    if chosen != ["all"]:
+        open_ = open_.where(F.col("cluster_id").isin(chosen))
+    bases = ["source", "home"] if keep == "both" else [keep]
+    merged = cut(plans.merge_verdicts(_verdicts(spark, body["home"]), open_.withColumn("bases", F.array(*map(F.lit, bases)))))
+    merged.write.mode("overwrite").parquet(os.path.join(body["home"], homes.CONTROL, "verdicts"))
+    print(merged.count())
+    return 0
+
+
+def cmd_show(spark: SparkSession | None, report: str, conflicts: bool) -> int:
+    print(json.dumps(strict_load((read_or_none(os.path.abspath(report)) or b"null").decode()), indent=1, ensure_ascii=False))
+    if conflicts:
+        for r in spark.read.parquet(f"{os.path.abspath(report)}.d/clusters").orderBy("cluster_id", "basis").toLocalIterator():
+            print(json.dumps(mask_json(r.asDict())))
+    return 0
 
 
 def cmd_discover(spark: SparkSession, folders: list[str], root: str | None) -> int:
@@ -137,7 +161,7 @@ def cmd_discover(spark: SparkSession, folders: list[str], root: str | None) -> i
     return 0
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="carryover")
     sub = p.add_subparsers(dest="command", required=True)
     x = sub.add_parser("init")
@@ -145,42 +169,59 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     x.add_argument("--gate", choices=["pass", "block"], default="pass")
     x = sub.add_parser("plan")
     x.add_argument("source")
-    x.add_argument("--to", required=True)
+    x.add_argument("--to", required=True, action="append")
     x.add_argument("--report", required=True)
+    x.add_argument("--home")
+    x.add_argument("--satellite")
+    x.add_argument("--new", action="store_true")
+    x.add_argument("--gate", choices=["pass", "block"])
+    x.add_argument("--allow", action="append", default=[])
     x = sub.add_parser("apply")
     x.add_argument("report")
     x.add_argument("--yes", action="store_true")
+    x = sub.add_parser("decide")
+    x.add_argument("report")
+    x.add_argument("clusters", nargs="+")
+    x.add_argument("--keep", choices=["source", "home", "both"], required=True)
     x = sub.add_parser("show")
     x.add_argument("report")
+    x.add_argument("--conflicts", action="store_true")
     x = sub.add_parser("discover")
     x.add_argument("folders", nargs="+")
     x.add_argument("--home")
     x = sub.add_parser("sync")
     x.add_argument("home")
     sub.add_parser("rules")
-    a = p.parse_args(argv)
+    return p
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    a = _parser().parse_args(argv)
     if a.command == "init":
         print(*homes.init_home(a.home, a.gate))
         return 0
     if a.command == "rules":
         print(*RULES, sep="\n")
         return 0
-    if a.command == "show":
-        print(json.dumps(strict_load((read_or_none(os.path.abspath(a.report)) or b"null").decode()), indent=1, ensure_ascii=False))
-        return 0
+    if a.command == "show" and not a.conflicts:
+        return cmd_show(None, a.report, False)
     spark = spark or SparkSession.builder.appName("carryover").getOrCreate()
     ship_code(spark)
     try:
         if a.command == "plan":
-            return cmd_plan(spark, a.source, a.to, a.report)
+            return cmd_plan(spark, a.source, a.to, a.report, a.home, a.satellite, a.new, a.gate, a.allow)
         if a.command == "apply":
             return cmd_apply(spark, a.report, a.yes)
+        if a.command == "decide":
+            return cmd_decide(spark, a.report, a.clusters, a.keep)
+        if a.command == "show":
+            return cmd_show(spark, a.report, True)
         if a.command == "discover":
             return cmd_discover(spark, a.folders, a.home)
 
         def one(satellite: str, path: str) -> int:
             report = os.path.join(a.home, homes.CONTROL, f"plan-{uuid.uuid4().hex}.json")
-            code = cmd_plan(spark, path, a.home, report)
+            code = cmd_plan(spark, path, [a.home], report)
             return homes.worst_exit([code, cmd_apply(spark, report, True)])
 
         return homes.sync([(s["satellite_id"], s.get("path")) for s in homes.read_config(a.home).get("satellites", [])], one)

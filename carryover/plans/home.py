@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from carryover.functions.canonical_json import canonical, strict_load
 from carryover.functions.identity import SATELLITE_PREFIX
 from carryover.functions.secrets import check_policy
+from carryover.sinks.envelope import INDEX_MARK
 from carryover.sinks.files import read_or_none, replace_file, safe_join
 
 log = logging.getLogger(__name__)
@@ -66,10 +67,10 @@ CONTROL = ".control"
 
 
 def init_home(root: str, action: str = "pass") -> list[str]:
-    """Creates what a home lacks and says what it created; what is there stays."""
+    """Creates what a home lacks and says what it created; what is there stays. The log begins with the first run."""
     check_policy(action, set())
     made = []
-    for name, data in (("index.md", "# Index\n"), ("log.md", "# Log\n"), (f"{CONTROL}/config.json", canonical({"gate": action, "satellites": []}) + "\n")):
+    for name, data in (("index.md", f"{INDEX_MARK}\n# Index\n"), (f"{CONTROL}/config.json", canonical({"gate": action, "satellites": []}) + "\n")):
         at = safe_join(root, name)
         if read_or_none(at) is None:
             replace_file(at, data.encode(), None)

@@ -98,7 +98,7 @@ def test_times(spark):
 
 def test_home(spark, tmp_path):
     root = str(tmp_path / "home")
-    assert home.init_home(root, "block") == ["index.md", "log.md", ".control/config.json"] and home.init_home(root) == []
+    assert home.init_home(root, "block") == ["index.md", ".control/config.json"] and home.init_home(root) == []
     config = home.read_config(root)
     assert config["gate"] == "block"
     home.write_config(root, config | {"satellites": [{"satellite_id": "a", "path": "/x"}]})
