@@ -27,6 +27,7 @@ from carryover.operators import gate
 from carryover.plans import home as homes
 from carryover.plans import pipeline as pipe
 from carryover.plans import plan as plans
+from carryover.plans.schemas import validate
 from carryover.session import cut, ship_code
 from carryover.sinks.files import read_or_none, replace_file
 from carryover.sinks.writers import WRITERS
@@ -95,6 +96,7 @@ def cmd_plan(spark: SparkSession, source: str, to: list[str], report: str, home:
         "digest": plan.digest, "kind": g.kind, "system": g.system, "summary": pipe.counts(plan.entries), "inventory": listed(g.inventory, "status", "state"), "anomalies": listed(anomalies, "code"), "gate": {k: v or 0 for k, v in total.items()},
         "counts": [r.asDict() for r in g.output.counts.agg(F.coalesce(F.sum("registered_count"), F.lit(0)).alias("registered"), F.coalesce(F.sum("deleted_count"), F.lit(0)).alias("deleted")).collect()], "unavailable": [r.asDict() for r in g.output.unavailable.distinct().orderBy("system", "layer").collect()],
     }
+    validate("report", body)
     replace_file(os.path.abspath(report), (canonical(mask_json(body)) + "\n").encode(), None)
     os.chmod(os.path.abspath(report), 0o600)
     beside = {"entries": plan.entries.drop("own", "alias"), "anomalies": anomalies.select(masked(F.col("path")).alias("path"), "code", "line", masked(F.col("field_path")).alias("field_path")), "inventory": g.inventory, "clusters": plan.clusters}
@@ -106,8 +108,7 @@ def cmd_plan(spark: SparkSession, source: str, to: list[str], report: str, home:
 
 def _report(path: str) -> dict:
     body = strict_load((read_or_none(os.path.abspath(path)) or b"null").decode())
-    if not isinstance(body, dict) or not {"digest", "source", "home", "targets", "satellite_id", "policy"} <= set(body):
-        raise ValueError("no plan report")
+    validate("report", body)
     return body
 
 

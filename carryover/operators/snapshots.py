@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FAN_BITS = 6
+#: Snapshots whose numbers go to all tasks; more are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def tree_bits(keys: int, keys_per_leaf: int = 4) -> int:
@@ -55,7 +57,7 @@ def merkle_levels(rows: DataFrame, bits: int) -> list[DataFrame]:
 def _pairs(df: DataFrame, order: DataFrame) -> DataFrame:
     """Each row twice: on the new side of its snapshot, on the old side of the next."""
     sides = F.array(F.struct(F.col("snapshot").alias("pair"), F.lit(True).alias("new")), F.struct(F.col("following").alias("pair"), F.lit(False).alias("new")))
-    return df.join(F.broadcast(order), "snapshot").withColumn("_side", F.explode(sides)).where("_side.pair IS NOT NULL AND (_side.pair > first_snapshot)").select("*", "_side.pair", "_side.new").drop("_side", "following", "first_snapshot", "snapshot")
+    return df.join(order, "snapshot").withColumn("_side", F.explode(sides)).where("_side.pair IS NOT NULL AND (_side.pair > first_snapshot)").select("*", "_side.pair", "_side.new").drop("_side", "following", "first_snapshot", "snapshot")
 
 
 def snapshot_changes(df: DataFrame, key: str, snapshot: str, compared: list[Column], received: Column, keys_per_leaf: int = 4) -> DataFrame:
@@ -65,9 +67,10 @@ def snapshot_changes(df: DataFrame, key: str, snapshot: str, compared: list[Colu
     which snapshots exist; the list of snapshots is the only thing the driver sees.
     """
     counts = df.where(F.col(snapshot).isNotNull()).groupBy(F.col(snapshot).cast("bigint").alias("s")).count()
-    biggest = counts.agg(F.max("count")).first()[0] or 0
+    biggest, several = counts.agg(F.coalesce(F.max("count"), F.lit(0)), F.count("*")).first()
     bits = tree_bits(biggest, keys_per_leaf)
     order = counts.select(F.col("s").alias("snapshot")).withColumn("following", F.lead("snapshot").over(Window.orderBy("snapshot"))).withColumn("first_snapshot", F.min("snapshot").over(Window.orderBy("snapshot")))
+    order = F.broadcast(order) if several <= MOST_BROADCAST else order
     rows = keyed_rows(df, key, snapshot, compared, received, bits)
     differing = None
     for level in merkle_levels(rows, bits):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from carryover.functions.canonical_json import canonical, strict_load
 from carryover.functions.identity import SATELLITE_PREFIX
 from carryover.functions.secrets import check_policy
+from carryover.plans.schemas import validate
 from carryover.sinks.envelope import INDEX_MARK
 from carryover.sinks.files import read_or_none, replace_file, safe_join
 
@@ -82,8 +83,7 @@ def read_config(root: str) -> dict:
     """The home's settings: gate action, allowlist and satellites; raises ValueError where they don't hold."""
     data = read_or_none(safe_join(root, f"{CONTROL}/config.json"))
     config = strict_load((data or b'{"gate":"pass"}').decode())
-    if not isinstance(config, dict):
-        raise ValueError("the settings aren't an object")
+    validate("settings", config)
     check_policy(config.get("gate", "pass"), set(config.get("allowlist", [])))
     sats = config.get("satellites", [])
     if len({s["satellite_id"] for s in sats}) != len(sats) or len({s["path"] for s in sats if s.get("path")}) != len([s for s in sats if s.get("path")]):
@@ -92,6 +92,7 @@ def read_config(root: str) -> dict:
 
 
 def write_config(root: str, config: dict) -> None:
+    validate("settings", config)
     at = safe_join(root, f"{CONTROL}/config.json")
     replace_file(at, (canonical(config) + "\n").encode(), read_or_none(at))
 
@@ -112,7 +113,7 @@ def read_receipts(spark: SparkSession, root: str, satellite_id: str | None = Non
 def discovered(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     """(path, records, satellite_id, registered): folders that were found, with what is known of them."""
     known = registry.select("path", "satellite_id")
-    return candidates.join(F.broadcast(known), "path", "left").withColumn("registered", F.col("satellite_id").isNotNull())
+    return candidates.join(known, "path", "left").withColumn("registered", F.col("satellite_id").isNotNull())
 
 
 # Exit codes from mild to grave.

@@ -25,7 +25,7 @@ from carryover.operators.decide import clusters, decide
 from carryover.operators.history import latest_run, violations
 from carryover.operators.relocate import relocation_candidates
 from carryover.plans import home as homes
-from carryover.plans.plan import StaleBasis, frame_digest
+from carryover.plans.plan import StaleBasis, frame_digest, phase
 from carryover.session import cut
 from carryover.sinks.files import read_or_none, safe_join
 from carryover.sinks.writers import WRITERS, record_key
@@ -205,9 +205,11 @@ def apply(spark: SparkSession, accepted: str, again, filed: DataFrame, home: str
 
     ``again`` makes the plan from what is there now; another digest raises StaleBasis.
     """
-    plan: Prepared = again()
-    if plan.digest != accepted:
-        raise StaleBasis("the plan isn't what was accepted")
+    started = [False]
+    with phase("planning", started):
+        plan: Prepared = again()
+        if plan.digest != accepted:
+            raise StaleBasis("the plan isn't what was accepted")
     run, moment = uuid.uuid4().hex, datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
     done: DataFrame | None = None
     for target, ident, location in plan.targets:
@@ -217,13 +219,16 @@ def apply(spark: SparkSession, accepted: str, again, filed: DataFrame, home: str
         chosen = plan.records.join(mine.where(writes).select("canonical_id", "expected"), "canonical_id")
         if batch_digest(chosen) != plan.batches[target]:  # records that aren't the ones that were decided
             raise StaleBasis("the batch isn't what was planned")
-        wrote = cut(w.write(chosen, location))
-        if wrote.where("status = 'moved'").limit(1).count():
-            raise StaleBasis("a target moved while it was written")
-        new = mine.where(writes & F.col("expected").isNull()).count()
-        n = mine.where(writes).count()
-        w.finish(spark, location, moment[:10], new, n - new)
-        seen = cut(w.read_back(spark, location, mine.where(writes).select("canonical_id", "target_id", "record_hash")))
+        with phase("writing", started):
+            started[0] = True
+            wrote = cut(w.write(chosen, location))
+            if wrote.where("status = 'moved'").limit(1).count():
+                raise StaleBasis("a target moved while it was written")
+            new = mine.where(writes & F.col("expected").isNull()).count()
+            n = mine.where(writes).count()
+            w.finish(spark, location, moment[:10], new, n - new)
+        with phase("reading back", started):
+            seen = cut(w.read_back(spark, location, mine.where(writes).select("canonical_id", "target_id", "record_hash")))
         back = seen.select("canonical_id", F.col("record_hash").alias("b_record"), F.col("content_hash").alias("b_content"), F.col("target_hash").alias("b_target"))
         j = mine.join(back, "canonical_id", "left")
         same = (F.col("b_record") == F.col("record_hash")) & (F.col("b_content") == F.col("content_hash"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -28,13 +30,20 @@ def spread(df: DataFrame) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+def _own_folder(name: str) -> str:
+    """A temporary folder of the driver that goes with the process."""
+    path = tempfile.mkdtemp(prefix=f"carryover-{name}-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ship_code(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, so that UDFs import it there."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="carryover-"), "carryover_code.zip")
+    target = os.path.join(_own_folder("code"), "carryover_code.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for at, folders, files in os.walk(package):
             folders[:] = [f for f in folders if f != "__pycache__"]
@@ -62,7 +71,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "carryover-checkpoints")
+    path = _own_folder("checkpoints")
     sc.setCheckpointDir(path)
     return path
 

@@ -22,11 +22,11 @@ from carryover.functions.identity import canonical_id, content_hash
 from carryover.functions.text import KNOWN_KINDS, calendar_date, dna_class, fold_whitespace, front_matter, index_links, kind_is_inferred, rfc3339_text
 from carryover.functions.yaml_subset import front_matter_json
 from carryover.operators.coverage import json_leaves, preserved
+from carryover.sinks import envelope
 from carryover.sources.exports import PROMPT_LINE
 
-# Names of files that tell a service, of anomalies, and of the marker of a managed note.
+# Names of files that tell a service.
 CHAT_FILES = ["memory.json", "saved_memories.json", "memories.chatgpt.json"]
-ENVELOPE_MARK, ENVELOPE = "carryover_note", "record"
 ADAPTER_VERSION, EXPORT_VERSION = "1", "unknown"
 
 ANOMALY = "path string, code string, line bigint, field_path string"
@@ -100,7 +100,7 @@ def claims(files: DataFrame, control: str = ".control", home: bool = False) -> D
         "nothing": is_memories & F.coalesce(F.size(_items(F.col("v"))) == 0, F.lit(False)),
         "talk": F.when(is_talks & any_has("mapping"), "chat").when(is_talks & any_has("chat_messages", "messages"), "account"),
         "marker": marker, "front": F.try_parse_json(F.coalesce(front_matter_json(F.when(note, front_matter(F.col("text"))["front"]))["json"], F.lit("{}"))),
-    }).withColumn("permalink", note & F.coalesce(_string(F.col("front"), "$.permalink").isNotNull() & ~_has(F.col("front"), ENVELOPE_MARK), F.lit(False)))
+    }).withColumn("permalink", note & F.coalesce(_string(F.col("front"), "$.permalink").isNotNull() & ~_has(F.col("front"), envelope.MARK), F.lit(False)))
     sure = F.col("name").isin("projects.json", "users.json")
     beside = seen.groupBy("parent").agg(
         F.bool_or(F.col("marker")).alias("marked"), F.bool_or(F.col("marker") | F.col("chat_shape")).alias("chat"),
@@ -125,7 +125,8 @@ def claims(files: DataFrame, control: str = ".control", home: bool = False) -> D
     index = F.col("name") == "MEMORY.md"
     if home:
         index = index | F.col("path").isin("index.md", "log.md")
-    markdown = F.when(note & ~F.col("permalink"), F.when(index, "index").otherwise("memory"))
+    managed = F.coalesce(_has(F.col("front"), envelope.MARK), F.lit(False))
+    markdown = F.when(note & ~F.col("permalink"), F.when(index, "index").when(managed, "managed").otherwise("memory"))
     linked = F.when(note & F.col("permalink"), "note").when(F.col("name") == "memory.db", "vector_index")
     row = lambda reader, layer: F.when(layer.isNotNull(), F.struct(F.lit(reader).alias("reader"), layer.alias("layer")))
     each = F.array_compact(F.array(row("chat", chat), row("account", account), row("markdown", markdown), row("notes", linked)))
@@ -323,7 +324,16 @@ def read_markdown(files: DataFrame, satellite: str = "", linked: bool = False) -
     return Output(records, told, _empty(files, COUNTS), errors, _empty(files, UNAVAILABLE))
 
 
+def read_managed(files: DataFrame, satellite: str = "") -> Output:
+    """Notes that hold a whole record: it is restored with its own identity, and what owners edited is adopted and told."""
+    notes = envelope.restored(files)
+    kinds = {f.name: f.dataType for f in record_type().fields}
+    whole = notes.where("canonical_id IS NOT NULL").select("path", F.lit("{}").alias("fields"), F.array().cast("array<string>").alias("mapped"), *(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
+    return Output(whole, envelope.edit_anomalies(notes), _empty(files, COUNTS), _errors(notes, F.col("classification").isNotNull(), "a managed note is damaged"), _empty(files, UNAVAILABLE))
+
+
 READERS = {
+    ("markdown", "managed"): read_managed,
     ("chat", "saved_memory"): read_saved, ("chat", "prompt_extract"): read_prompts, ("account", "saved_memory"): read_accounts, ("account", "project_doc"): read_project_files,
     ("markdown", "memory"): read_markdown, ("notes", "note"): lambda files, satellite: read_markdown(files, satellite, linked=True),
 }

@@ -66,8 +66,10 @@ def test_whole_cycle(spark, tmp_path, capsys):
     assert main(["plan", src, "--to", home, "--report", second], spark) == 3
     assert summary(second) == [("notes", "omitted", "already_migrated", 3), ("notes", "omitted", "duplicate_of", 1), ("notes", "omitted", "home_modified", 1), ("notes", "unresolved", "conflict", 1), ("notes", "unresolved", "memory_disabled", 1)]
     assert entries(spark, second)[os.path.basename(edited)[:-3]] == ("notes", "omitted", "home_modified")
-    assert main(["apply", second, "--yes"], spark) == 3
-    assert open(torn).read().endswith("by hand") and open(edited).read().endswith("by hand")
+    assert main(["show", second, "--conflicts"], spark) == 0 and '"basis": "home"' in capsys.readouterr().out
+    assert main(["decide", second, "all", "--keep", "source"], spark) == 0
+    assert main(["sync", home], spark) == 3  # the disabled memory stays open
+    assert open(torn).read().endswith("Two\n") and open(edited).read().endswith("by hand")
     filed = spark.read.option("recursiveFileLookup", True).parquet(f"{home}/.control/receipts").where("code = 'source_missing'")
     assert rows(filed, "status", "verification", "own.verified") == sorted([("omitted", None, True)] * 2 + [("omitted", None, None)], key=repr)
     assert main(["plan", src, "--to", f"{src}/x", "--report", str(tmp_path / "p4.json")], spark) == 1  # they overlap
@@ -75,25 +77,6 @@ def test_whole_cycle(spark, tmp_path, capsys):
     assert main(["show", second]) == 0 and main(["rules"]) == 0
 
 
-def test_conflict_is_decided_and_synced(spark, tmp_path, capsys):
-    src, home = str(tmp_path / "src"), str(tmp_path / "home")
-    put(src, "a.md", "first")
-    main(["init", home])
-    first, second = (str(tmp_path / f"r{k}.json") for k in range(2))
-    assert main(["plan", src, "--to", home, "--report", first], spark) == 0 and main(["apply", first, "--yes"], spark) == 0
-    note = f"{home}/memories/{os.listdir(f'{home}/memories')[0]}"
-    put(src, "a.md", "from the source")
-    with open(note, "a") as f:
-        f.write(" and home")
-    assert main(["plan", src, "--to", home, "--report", second], spark) == 3
-    assert summary(second) == [("notes", "unresolved", "conflict", 1)]
-    assert main(["show", second, "--conflicts"], spark) == 0 and '"basis": "home"' in capsys.readouterr().out
-    assert main(["decide", second, "all", "--keep", "source"], spark) == 0
-    assert main(["apply", second, "--yes"], spark) == 4  # the basis moved
-    assert main(["sync", home], spark) == 0
-    assert open(note).read().endswith("from the source")
-
-
 def test_three_targets_and_a_moved_source(spark, tmp_path, capsys):
     src, home, rows_, vault = (str(tmp_path / x) for x in ("src", "home", "rows", "vault"))
     for k in range(6):  # as many as it takes to tell a moved source
@@ -111,7 +94,4 @@ def test_three_targets_and_a_moved_source(spark, tmp_path, capsys):
     assert main(["plan", src + "2", *to, "--report", third], spark) == 1 and "moved" in capsys.readouterr().err
     known = json.load(open(first))["satellite_id"]
     config = json.load(open(f"{home}/.control/config.json"))
-    config["satellites"][0]["path"] = None
-    put(home, ".control/config.json", json.dumps(config))
-    assert main(["plan", src + "2", *to, "--satellite", known, "--report", third], spark) == 0
-    assert summary(third) == [(t, "omitted", "already_migrated", 7) for t in ("exchange", "notes", "permalink")]
+    assert [(x["satellite_id"], x["path"]) for x in config["satellites"]] == [(known, os.path.realpath(src))]
