@@ -72,8 +72,9 @@ def token_pattern() -> regex.Pattern:
     dotted = lambda words: "|".join(regex.escape(w).replace(r"\ ", r"[^\S\r\n]?\s?") for w in sorted({x for x in words if " " in x or "." in x[:-1]}, key=len, reverse=True))
     edge = r"(?<![\p{L}\p{M}\p{N}])"
     parts = [
-        # the commonest tokens first, a word with its space as one; what follows shows that no rule below applies
-        r"(?P<pair>(?:[A-Za-z][a-z]*|[А-яё][а-яё]{3,}) (?=[^\s฀-๿]))",
+        # the commonest tokens first: plain words, each with a space behind it, as one word and a space, since no rule
+        # tells the words behind the first apart; what follows shows that no rule below applies
+        r"(?P<pair>(?:(?:[A-Za-z][a-z]*|[А-яё][а-яё]{3,}) )+(?=[^\s฀-๿]))",
         r"(?P<simple>(?:[A-Za-z][a-z]*|[А-яё][а-яё]{3,})(?=[,\n]))",
         r"(?P<gap> (?=[^\s฀-๿]))",
         rf"(?P<blank>{_BREAK}[^\S\r\n]*(?:{_BREAK}[^\S\r\n]*)+)",
