@@ -19,7 +19,8 @@ def planted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFram
 
     Target ``b`` doesn't round-trip record ids; files that records of ``c`` share moved.
     """
-    r = table(spark, d, "canonical_record").groupBy(F.col("canonical_id").alias("id")).agg(F.min("content_hash").alias("ch"))
+    # two digits make records copies of each other, so that some have a former representative
+    r = table(spark, d, "canonical_record").select(F.col("canonical_id").alias("id")).distinct().withColumn("ch", F.md5(F.substring(F.md5("id"), 20, 2)))
     rep = r.groupBy("ch").agg(F.min("id").alias("rep"))
     digit = lambda k: F.conv(F.substring(F.md5("id"), k, 1), 16, 10).cast("int")
     r = r.join(rep, "ch").withColumn("target", F.explode(F.array(*map(F.lit, "abc")))).withColumns({f"d{k}": digit(k) for k in range(1, 15)})
@@ -67,7 +68,7 @@ def _n(k: int, h: str = "h") -> str:
     return f"('0x' || substr({h}, {k}, 1))::INT"
 
 
-_DECIDED = f"""WITH g AS (SELECT canonical_id AS id, min(content_hash) AS ch FROM canonical_record GROUP BY 1), m AS (SELECT id, ch, md5(id) AS h, min(id) OVER (PARTITION BY ch) AS rep FROM g),
+_DECIDED = f"""WITH g AS (SELECT DISTINCT canonical_id AS id, md5(substr(md5(canonical_id), 20, 2)) AS ch FROM canonical_record), m AS (SELECT id, ch, md5(id) AS h, min(id) OVER (PARTITION BY ch) AS rep FROM g),
 r AS (SELECT id, ch, h, rep, t AS target, CASE WHEN {_n(2)} < 10 THEN 'own' WHEN {_n(2)} < 13 AND id <> rep THEN 'alias' END AS past, {_n(3)} <> 0 AS verified, {_n(1)} >= 8 AS source_moved, {_n(7)} AS proj, {_n(10)} <> 0 AS can_update, {_n(11)} AS verdict FROM m, (VALUES ('a'), ('b'), ('c')) v(t)),
 st AS (SELECT id, {_n(4)} AS kind, {_n(5)} >= 8 AS home_moved, {_n(6)} AS fields, CASE WHEN {_n(14)} = 0 THEN 'other' ELSE ch END AS key FROM m WHERE {_n(4)} <> 0 AND ({_n(2)} < 13 OR {_n(4)} < 4)),
 j AS (SELECT r.*, coalesce(s.kind, 0) AS kind, s.home_moved, CASE WHEN s.fields < 5 THEN '/body' WHEN s.fields < 10 THEN '{dec.ENVELOPE_FIELD}' ELSE '' END AS edited, s.key AS skey, o.id IS NOT NULL AS own_bytes FROM r LEFT JOIN st s ON s.id = CASE past WHEN 'own' THEN r.id WHEN 'alias' THEN rep END LEFT JOIN st o ON o.id = r.id),

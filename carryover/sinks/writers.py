@@ -218,12 +218,19 @@ class ExchangeWriter:
         r = held.select("*", self.row_hash(held).alias("target_hash"), F.explode(F.array(F.from_json("record", DDL))).alias("e"))
         ours = F.col("e.canonical_id") == F.col("id")
         names = record_type().names
-        full = with_record_hash(r.select("id", "target_hash", "content", ours.alias("ours"), *(F.col(f"e.{c}").alias(c) for c in names if c != "content")))
-        known = F.coalesce(F.col("ours"), F.lit(False))
+        given = F.struct("kind", "owner", "address", "observed").alias("given")
+        full = with_record_hash(r.select("id", "target_hash", "content", given, ours.alias("ours"), *(F.col(f"e.{c}").alias(c) for c in names if c != "content")))
+        # a row whose fields don't follow from the record that it carries is damaged
+        again = projection(full)
+        agrees = F.lit(True)
+        for f in ("kind", "owner", "address", "observed"):
+            agrees = agrees & again[f].eqNullSafe(again[f"given.{f}"])
+        full = again.withColumn("agrees", agrees).drop("kind", "owner", "address", "observed", "hash_holds", "given")
+        known = F.coalesce(F.col("ours") & F.col("agrees"), F.lit(False))
         body = ~F.col("content_hash").eqNullSafe(content_hash(F.col("content")))
         return full.select(
-            F.col("id").alias("target_id"), F.when(known, F.col("canonical_id")).alias("canonical_id"), F.when(known, F.col("record_hash")).alias("record_hash"), content_hash(F.col("content")).alias("content_hash"), "target_hash", F.when(~known, "unmanaged").alias("classification"),
-            F.when(known, F.col("record_hash")).alias("envelope_hash"), F.when(known & body, F.array(F.lit("/content"))).otherwise(F.array().cast("array<string>")).alias("home_fields"), F.when(known, record_key(full.drop("id", "target_hash", "ours"))).alias("key"),
+            F.col("id").alias("target_id"), F.when(known, F.col("canonical_id")).alias("canonical_id"), F.when(known, F.col("record_hash")).alias("record_hash"), content_hash(F.col("content")).alias("content_hash"), "target_hash", F.when(F.coalesce(F.col("ours"), F.lit(False)) & ~known, "managed_invalid").when(~known, "unmanaged").alias("classification"),
+            F.when(known, F.col("record_hash")).alias("envelope_hash"), F.when(known & body, F.array(F.lit("/content"))).otherwise(F.array().cast("array<string>")).alias("home_fields"), F.when(known, record_key(full.drop("id", "target_hash", "ours", "agrees"))).alias("key"),
         )
 
     def read_back(self, spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
