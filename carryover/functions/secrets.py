@@ -36,7 +36,8 @@ def check_policy(action: str, allowlist: set[str]) -> None:
         raise ValueError(f"unknown rules {sorted(unknown)}")
 
 
-FINDING = "array<struct<rule_id:string,field_path:string,start:bigint,end:bigint,disposition:string,key_hash:string>>"
+FINDING = "array<struct<rule_id:string,field_path:string,start:bigint,end:bigint,disposition:string>>"
+JSON_FINDING = "array<struct<rule_id:string,field_path:string,start:bigint,end:bigint,disposition:string,key_hash:string>>"
 
 #: What every shape contains; only texts with one of these go on to the rules.
 CUES = r"sk-|A3T|AKIA|ASIA|ABIA|ACCA|ghp_|github_pat_|(?i:private key)|(?i:password)"
@@ -46,9 +47,13 @@ def _disposition(rule: str, action: str, allowlist: frozenset[str]) -> str:
     return "allowlisted" if rule in allowlist else "blocked" if action == "block" else "passed"
 
 
-def _finding(rule: str, path: str, start: int, end: int, how: str, key: str | None = None) -> dict:
-    digest = None if key is None else "sha256:" + hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()
-    return {"rule_id": rule, "field_path": path, "start": start, "end": end, "disposition": how, "key_hash": digest}
+def _finding(rule: str, path: str, start: int, end: int, how: str) -> dict:
+    return {"rule_id": rule, "field_path": path, "start": start, "end": end, "disposition": how}
+
+
+def _key_hash(key: str | None) -> dict:
+    """What tells a key that holds a secret without naming it."""
+    return {"key_hash": None if key is None else "sha256:" + hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()}
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
@@ -60,7 +65,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def findings(text: Column, field_path: str, action: str = "pass", allowlist: frozenset[str] = frozenset()) -> Column:
-    """Array of (rule_id, field_path, start, end, disposition, key_hash), byte spans, rule by rule; null text has none.
+    """Array of (rule_id, field_path, start, end, disposition), byte spans, rule by rule; null text has none.
 
     A JVM test of the same rules lets only texts with a hit into Python.
     """
@@ -168,10 +173,10 @@ def mask_json(value: object) -> object:
 
 
 def json_findings(column: Column, action: str = "pass", allowlist: frozenset[str] = frozenset()) -> Column:
-    """Findings of a JSON text over values and keys; text that isn't JSON is scanned as it is."""
+    """Findings of a JSON text over values and keys, with key_hash of the latter; text that isn't JSON is scanned as it is."""
     check_policy(action, set(allowlist))
 
-    @F.pandas_udf(FINDING)
+    @F.pandas_udf(JSON_FINDING)
     def scan(values: pd.Series) -> pd.Series:
         def one(text: object) -> list[dict]:
             if not isinstance(text, str):
@@ -180,9 +185,9 @@ def json_findings(column: Column, action: str = "pass", allowlist: frozenset[str
                 hits = _json_hits(json.loads(text))
             except (ValueError, RecursionError):
                 hits = [(r, "", s, e, None) for r, s, e in find_secrets(text)]
-            return [_finding(r, p, s, e, _disposition(r, action, allowlist), k) for r, p, s, e, k in hits]
+            return [_finding(r, p, s, e, _disposition(r, action, allowlist)) | _key_hash(k) for r, p, s, e, k in hits]
 
         return values.map(one)
 
     # escapes may spell a cue
-    return F.when(may_hold_secret(column) | column.contains(r"\u"), scan(column)).otherwise(F.array().cast(FINDING))
+    return F.when(may_hold_secret(column) | column.contains(r"\u"), scan(column)).otherwise(F.array().cast(JSON_FINDING))

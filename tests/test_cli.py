@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 
 import pytest
 
@@ -55,7 +56,8 @@ def test_whole_cycle(spark, tmp_path, capsys):
     assert open(f"{home}/index.md").read().count("](memories/") == 7 and "- +7 ~0" in open(f"{home}/log.md").read()
     # the source changes one record and loses others, the owner edits two notes: one conflict, one edit
     put(src, "b.md", "Two\n")
-    os.unlink(f"{src}/acc/projects.json")
+    shutil.rmtree(f"{src}/acc")
+    os.unlink(f"{src}/chat/log.chatgpt.md")
     os.unlink(f"{src}/secret.md")
     named = lambda text: next(f"{home}/memories/{n}" for n in os.listdir(f"{home}/memories") if text in open(f"{home}/memories/{n}").read())
     edited, torn = named("hello"), named("Bee\n")
@@ -64,14 +66,14 @@ def test_whole_cycle(spark, tmp_path, capsys):
             f.write("by hand")
     second = str(tmp_path / "p2.json")
     assert main(["plan", src, "--to", home, "--report", second], spark) == 3
-    assert summary(second) == [("notes", "omitted", "already_migrated", 3), ("notes", "omitted", "duplicate_of", 1), ("notes", "omitted", "home_modified", 1), ("notes", "unresolved", "conflict", 1), ("notes", "unresolved", "memory_disabled", 1)]
+    assert summary(second) == [("notes", "omitted", "already_migrated", 1), ("notes", "omitted", "duplicate_of", 1), ("notes", "omitted", "home_modified", 1), ("notes", "unresolved", "conflict", 1), ("notes", "unresolved", "memory_disabled", 1)]
     assert entries(spark, second)[os.path.basename(edited)[:-3]] == ("notes", "omitted", "home_modified")
     assert main(["show", second, "--conflicts"], spark) == 0 and '"basis": "home"' in capsys.readouterr().out
     assert main(["decide", second, "all", "--keep", "source"], spark) == 0
     assert main(["sync", home], spark) == 3  # the disabled memory stays open
     assert open(torn).read().endswith("Two\n") and open(edited).read().endswith("by hand")
     filed = spark.read.option("recursiveFileLookup", True).parquet(f"{home}/.control/receipts").where("code = 'source_missing'")
-    assert rows(filed, "status", "verification", "own.verified") == sorted([("omitted", None, True)] * 2 + [("omitted", None, None)], key=repr)
+    assert rows(filed, "status", "verification", "own.verified") == sorted([("omitted", None, True)] * 4 + [("omitted", None, None)], key=repr)
     assert main(["plan", src, "--to", f"{src}/x", "--report", str(tmp_path / "p4.json")], spark) == 1  # they overlap
     assert main(["discover", src, "--home", home], spark) == 0 and "registered" in capsys.readouterr().out
     assert main(["show", second]) == 0 and main(["rules"]) == 0
