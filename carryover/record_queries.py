@@ -246,7 +246,7 @@ def exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_duplicates(keyed, "canonical_id", "k").select("canonical_id", "duplicate_of", "group_size")
 
 
-@query(f"""SELECT disposition, count(*) AS n, count(DISTINCT record_id) AS ids, count(DISTINCT content_hash) AS hashes FROM (SELECT record_id, content_hash, CASE WHEN rank = 1 THEN 'accepted' ELSE 'duplicate_of' END AS disposition
+@query(f"""SELECT disposition, count(*) AS n, min(record_id) AS first, max(content_hash) AS last FROM (SELECT record_id, content_hash, CASE WHEN rank = 1 THEN 'accepted' ELSE 'duplicate_of' END AS disposition
 FROM (SELECT record_id, 'sha256:' || sha256(text) AS content_hash, row_number() OVER (PARTITION BY sha256({_fold_sql("text")}) ORDER BY record_id) AS rank FROM (SELECT text, {_b32_sql("sha256('documents' || chr(0) || chr(0) || doc_id)", 40)} AS record_id FROM documents WHERE text IS NOT NULL))) GROUP BY 1""")
 def document_dispositions(spark: SparkSession, d: str) -> DataFrame:
     """Documents as records: identity, hash, and what exact deduplication makes of them."""
@@ -254,7 +254,7 @@ def document_dispositions(spark: SparkSession, d: str) -> DataFrame:
     made = docs.select(ident.canonical_id(F.lit("documents"), F.lit(""), F.col("doc_id").cast("string")).alias("record_id"), ident.content_hash(F.col("text")).alias("content_hash"), duplicate_key([], txt.fold_whitespace(F.col("text"))).alias("k"))
     marked = exact_duplicates(made, "record_id", "k")
     how = F.when(F.col("duplicate_of").isNull(), "accepted").otherwise("duplicate_of")
-    return marked.groupBy(how.alias("disposition")).agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("ids"), F.count_distinct("content_hash").alias("hashes"))
+    return marked.groupBy(how.alias("disposition")).agg(F.count("*").alias("n"), F.min("record_id").alias("first"), F.max("content_hash").alias("last"))
 
 
 @query(f"""WITH r AS (SELECT DISTINCT id, sha256(coalesce(content, text, '')) AS body, snapshot_no FROM memory WHERE id IS NOT NULL),

@@ -67,9 +67,10 @@ def prompt_lines(df: DataFrame, order: str, line: str) -> DataFrame:
     """
     # one pass lays the parts out behind marks; a line that doesn't fit has none
     laid = F.split(F.regexp_replace(line, PROMPT_LINE, "\u0001$1\u0001$2\u0001$3"), "\u0001", 4)
-    part = lambda k: F.when(F.size(laid) == 4, F.get(laid, F.lit(k)))
+    part = lambda k: F.when(F.size("_laid") == 4, F.get("_laid", F.lit(k)))
     nul = F.lit("\0")
-    parsed = df.withColumns({"day": F.trim(part(1)), "kind": F.trim(part(2)), "body": F.trim(part(3))})
+    # a generator keeps the parts apart, so that a line isn't parsed again for each of them
+    parsed = df.select("*", F.explode(F.array(laid)).alias("_laid")).withColumns({"day": F.trim(part(1)), "kind": F.trim(part(2)), "body": F.trim(part(3))})
     parsed = parsed.withColumn("identity", F.sha2(F.concat("day", nul, "kind", nul, fold_whitespace(F.col("body"))), 256))
     good = parsed.where("identity IS NOT NULL")
     first = good.groupBy("identity").agg(F.min(order).alias("_first"))
