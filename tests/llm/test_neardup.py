@@ -161,3 +161,11 @@ def test_sketch_margin(spark):
             a, b = union[own // 2 :], np.delete(union, slice(own // 2, own))
             x, y = nd.Indexer.sketch(a), nd.Indexer.sketch(b)
             assert sum(bin(int(v) & (2**64 - 1)).count("1") for v in x ^ y) < limit
+
+
+def test_neither_texts_nor_index_rows_go_through_the_driver(spark, tmp_path):
+    frame(spark, corpus(2, 40)).write.parquet(str(tmp_path / "t"))  # a file, so that the planner estimates its size
+    found = nd.links(nd.texts(spark.read.parquet(str(tmp_path / "t")), "content", "t", 40))
+    plan = found._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("SortMergeJoin") == 3 and "Broadcast" not in plan.toString()
+    assert found.count() > 0
