@@ -44,6 +44,8 @@ from pyspark.sql import functions as F
 from carryover.session import cut
 
 TABLE_BITS, MOST_TABLE_BITS = 22, 24
+#: counters that travel together
+BLOCK = 1 << 16
 SKETCH_BITS = 256
 MAX_COMBINATION = 8
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -85,8 +87,20 @@ def texts(df: DataFrame, text: str, ident: str, min_chars: int) -> DataFrame:
     return made.withColumns({"d1": F.xxhash64("t"), "d2": F.xxhash64(F.lit("second"), F.col("t"))})
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    return pa.compress(pa.py_buffer(counters), codec="zstd", asbytes=True)
+
+
+def _counters(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 4 * BLOCK, codec="zstd", asbytes=True), np.uint32)
+
+
 def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(hashed counters of the tokens of all rows, number of rows): 16 to 64 MB, whatever the corpus."""
+    """(hashed counters of the tokens of all rows, number of rows): 16 to 64 MB, whatever the corpus.
+
+    Counters travel as compressed blocks: as rows of slot and number they would be four
+    times the size of the table, and most of a small driver's heap.
+    """
     count = src.count()
     bits = min(MOST_TABLE_BITS, max(TABLE_BITS, (16 * count).bit_length()))
     shift = np.uint64(64 - bits)
@@ -97,14 +111,24 @@ def frequencies(src: DataFrame, width: int) -> tuple[np.ndarray, int]:
             hashes = token_hashes(batch.column(0).to_pylist(), width)
             if hashes:
                 total += np.bincount((np.concatenate(hashes) >> shift).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["slot", "n"])
+        blocks = total.reshape(-1, BLOCK)
+        for at in np.flatnonzero(blocks.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_packed(blocks[at])], pa.binary())], names=["block", "counters"])
+
+    def add(blocks: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.uint64)
+        for packed in blocks.column("counters").to_pylist():
+            total += _counters(packed)
+        most = np.minimum(total, 2**32 - 1).astype(np.uint32)
+        return pa.table({"block": blocks.column("block").slice(0, 1), "counters": pa.array([_packed(most)], pa.binary())})
 
     table = np.zeros(1 << bits, np.uint32)
-    # every task gives up to one row per counter, so there are no more tasks than the cluster can use
+    # every task gives up to one row per block, so there are no more tasks than the cluster can use
     few = src.select("t").coalesce(4 * src.sparkSession.sparkContext.defaultParallelism)
-    summed = few.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table[summed.column("slot").to_numpy()] = np.minimum(summed.column("n").to_numpy(), 2**32 - 1)
+    kind = "block int, counters binary"
+    summed = few.mapInArrow(run, kind).groupBy("block").applyInArrow(add, kind).toArrow()
+    for at, packed in zip(summed.column("block").to_pylist(), summed.column("counters"), strict=True):
+        table[at * BLOCK : (at + 1) * BLOCK] = _counters(packed.as_py())
     return table, count
 
 

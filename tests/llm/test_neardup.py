@@ -169,3 +169,15 @@ def test_neither_texts_nor_index_rows_go_through_the_driver(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan()
     assert plan.toString().count("SortMergeJoin") == 3 and "Broadcast" not in plan.toString()
     assert found.count() > 0
+
+
+def test_counters_come_to_the_driver_packed(spark, monkeypatch):
+    rng = random.Random(8)
+    data = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(2000)] + ["the same text"] * 400
+    src = spark.createDataFrame([(t,) for t in data], "t string")
+    came, whole = [], type(src).toArrow
+    monkeypatch.setattr(type(src), "toArrow", lambda df: came.append(whole(df)) or came[-1])
+    table, count = nd.frequencies(src, 5)
+    slots = (np.concatenate(nd.token_hashes(data, 5)) >> np.uint64(64 - nd.TABLE_BITS)).astype(np.int64)
+    assert count == len(data) and np.array_equal(table, np.bincount(slots, minlength=1 << nd.TABLE_BITS))
+    assert sum(t.nbytes for t in came) < 4 * np.count_nonzero(table)  # a slot and a number are 16 bytes
